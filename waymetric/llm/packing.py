@@ -20,7 +20,7 @@ from .common import materialise, slices, texts_as_bytes
 #: Tokens of a length class.
 UNIT = 16
 #: Distinct words whose ids a task remembers.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 #: Pieces that are ranked together in one task at most, about.
 RANK_ROWS = 1 << 17
 

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import assemble, rotate_perspectives
 from .exact_dedup import dedup_exact
+from .html_extract import extract_main_text
 from .packing import pack
 from .quality import quality_rules
+from .sentencepiece_sa import decode_ids, encode_texts
 from .url_filter import PAGE_RULES, filter_urls, rules_frame
 from .warc import warc_round_trip
 
@@ -37,6 +40,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble(rotate_perspectives(_table(spark, sf_dir, "conversations")))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).drop("verified")
 
@@ -45,12 +56,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("n_removed_words")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text and decodes the ids again: doc_id, n_tokens, ids_crc32, text_sha256 of the decoded text."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    back = decode_ids(encode_texts(_table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op7_html_extraction": op7_html_extraction,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,6 +95,22 @@ ORACLES: dict[str, str] = {
         WITH n AS (SELECT doc_id, {_FOLD.format("coalesce(text, '')")} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)""",
+    "op4_chat_formatting": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<||') AS body FROM conversations),
+        p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        s AS (
+          SELECT t.conv_id, perspective, turn, speaker, speaker = perspective AS own, body || '<|end|>' || chr(10) AS tail,
+                 CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>'
+                      ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+          FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+        o AS (
+          SELECT *, head || tail AS rendered,
+                 CAST(coalesce(sum(length(head || tail)) OVER w, 0) AS BIGINT) AS start,
+                 row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, head || tail) AS k
+          FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, head || tail ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT conv_id, perspective, start // 1048576 AS part, count(*) AS n_turns, string_agg(rendered, '' ORDER BY k) AS text,
+               coalesce(string_agg((start + length(head)) || '-' || (start + length(rendered) - 1), ',' ORDER BY k) FILTER (WHERE own), '') AS masks
+        FROM o GROUP BY ALL""",
     "op8_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
         g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
