@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import assemble, rotate_perspectives
 from .exact_dedup import dedup_exact
 from .html_extract import extract_main_text
+from .jaccard_join import jaccard_components
 from .packing import pack
 from .quality import quality_rules
 from .sentencepiece_sa import decode_ids, encode_texts
@@ -44,6 +45,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble(rotate_perspectives(_table(spark, sf_dir, "conversations")))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_formatting": op4_chat_formatting,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_html_extraction": op7_html_extraction,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
