@@ -9,13 +9,14 @@ patterns give slots, and the ranked pieces of each class take them by joins.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, texts_as_bytes
+from .common import FOLD, materialise, slices, texts_as_bytes, worker_state
 
 #: Tokens of a length class.
 UNIT = 16
@@ -25,6 +26,20 @@ MEMO_WORDS = 400_000
 RANK_ROWS = 1 << 17
 
 
+#: Commas and full stops after a word of ASCII letters or digits, which are tokens of their own.
+_STOPS = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=[ \n]|$)")
+
+
+def respaced(text: bytes) -> bytes:
+    """The text with fewer distinct words and the same ids.
+
+    The tokenizer drops white space and lower-cases everything, and letters and
+    stops are never in one token.  Texts that may spell a special token stay as
+    they are.
+    """
+    return text if b"<|" in text else _STOPS.sub(rb" \1", text.translate(FOLD))
+
+
 class WordIds:
     """Ids of texts, from the ids of their distinct words.
 
@@ -51,7 +66,7 @@ class WordIds:
 
         if len(self.memo) > MEMO_WORDS:
             self.clear()
-        words = [t.split() for t in texts]
+        words = [respaced(t).split() for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
         flat = np.empty(int(counts.sum()), object)
         flat[:] = [w for ws in words for w in ws]
@@ -82,7 +97,8 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, *, id_col: str, text_co
     def cut(batches):
         import pyarrow as pa
 
-        encoder = WordIds(tokenizer_path)
+        kept = worker_state()
+        encoder = kept.get(("ids", tokenizer_path)) or kept.setdefault(("ids", tokenizer_path), WordIds(tokenizer_path))
         for batch in batches:
             texts = texts_as_bytes(batch.column("text"))
             for lo, hi in slices([len(t) for t in texts]):
