@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -55,6 +57,11 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps between its tasks: vocabularies and bounded memos, never results."""
+    return sys.modules.setdefault("waymetric_worker_state", types.ModuleType("waymetric_worker_state")).__dict__
+
+
 def text_bytes(df: DataFrame, col: str) -> int:
     """Bytes of all texts: sizes the numbers of key ranges and owner tasks."""
     return df.agg(F.coalesce(F.sum(F.octet_length(F.col(col)).cast("long")), F.lit(0)).alias("b")).first()["b"]

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_as_bytes
+from .common import slices, texts_as_bytes, worker_state
 
 SPACE = "\u2581"
 SPACE_BYTES = SPACE.encode()
@@ -236,6 +236,11 @@ class SuffixArrayModel:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def _model(model_file: str) -> SuffixArrayModel:
+    kept = worker_state()
+    return kept.get(("pieces", model_file)) or kept.setdefault(("pieces", model_file), SuffixArrayModel(model_file))
+
+
 def encode_texts(df: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, ids (array<int>).  Null and empty texts have no ids; other columns are ignored.
 
@@ -246,7 +251,7 @@ def encode_texts(df: DataFrame, model_file: str, *, id_col: str = "doc_id", text
     def run(batches):
         import pyarrow as pa
 
-        model = SuffixArrayModel(model_file)
+        model = _model(model_file)
         for batch in batches:
             texts = texts_as_bytes(batch.column("text"))
             for lo, hi in slices([len(t) for t in texts]):
@@ -265,7 +270,7 @@ def decode_ids(df: DataFrame, model_file: str, *, id_col: str = "doc_id", ids_co
     def run(batches):
         import pyarrow as pa
 
-        model = SuffixArrayModel(model_file)
+        model = _model(model_file)
         for batch in batches:
             ids = [np.array(x if x is not None else [], "<u4") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
