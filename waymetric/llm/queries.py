@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_components
 from .packing import pack
 from .quality import quality_rules
 from .sentencepiece_sa import decode_ids, encode_texts
+from .suffix_dedup import remove_repeats
 from .url_filter import PAGE_RULES, filter_urls, rules_frame
 from .warc import warc_round_trip
 
@@ -45,6 +46,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble(rotate_perspectives(_table(spark, sf_dir, "conversations")))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_html_extraction": op7_html_extraction,
     "op8_warc": op8_warc,

@@ -127,8 +127,8 @@ def _gather(finish: Callable):
 
 
 def shared_tokens(df: DataFrame, emit: Callable, finish: Callable, schema: str, text_bytes: int) -> DataFrame:
-    """df: row, id, text.  emit(texts) gives packed tokens, sorted and
-    distinct, and meta (lists by document); finish(meta, values,
+    """df: row, id, text.  emit(texts) gives packed tokens, sorted,
+    and meta (lists by document); finish(meta, values,
     counts, edges) gets, for document i, its shared tokens values[edges[i]:edges[i+1]] in order of count and
     value, and returns an Arrow table of schema.
     """
