@@ -66,7 +66,7 @@ def _shift(col: str, by: Column) -> Column:
 
 
 def dedup_exact(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, bucket_entries: int = BUCKET_ENTRIES
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, bucket_entries: int = BUCKET_ENTRIES, with_row: bool = False
 ) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -76,7 +76,7 @@ def dedup_exact(
     ids are null, each is marked kept only if it is the first in scan order.  keep_id
     is null only in a group without any id.  Extra columns are ignored.
 
-    `key` replaces the 64-bit hash of `norm` (tests use a weak one, so that keys
+    with_row adds row, the row's monotonically_increasing_id in df.  `key` replaces the 64-bit hash of `norm` (tests use a weak one, so that keys
     collide).  Text is shuffled once, one row per distinct text and task.
     """
     rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).select(
@@ -104,5 +104,6 @@ def dedup_exact(
     discard(entries, directory)
     found = rows.select("at", "key", F.sha2("norm", 256).alias("sha")).join(index.select("key", "sha", "keep", "group_size"), ["key", "sha"])
     return found.select(
-        F.col("at.id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", F.col("at").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256")
+        F.col("at.id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", F.col("at").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"),
+        *([(-F.col("at.turn")).alias("row")] if with_row else []),
     )

@@ -323,7 +323,9 @@ def similar_links(reps: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -
     return links
 
 
-def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, block_sets: int = BLOCK_SETS) -> DataFrame:
+def jaccard_components(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, block_sets: int = BLOCK_SETS, with_row: bool = False
+) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id.
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a set has the distinct
@@ -332,7 +334,9 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     100 * intersection >= percent * union; component_id is the least id that links
     reach, itself included.  Identical sets are one set in the join.  Repeated rows
     are documents of their own; a component of null ids only has a null id.  Extra
-    columns are ignored.  Shingles are compared by 48 bits of hash.
+    columns are ignored.  Shingles are compared by 48 bits of hash.  with_row adds
+    row, the row's monotonically_increasing_id in df, and keep_row, the row of the
+    least (id, row) of its component.
     """
     docs = documents(df, id_col, text_col)
     emit = lambda texts: shingle_tokens(texts, words)
@@ -343,6 +347,9 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = live.join(member.where("row = rep").select("row"), "row").select("row", "n", "tokens", "spread")
     linked = connected_components(similar_links(reps, percent, block_sets)).withColumnRenamed("node", "rep")
     placed = materialise(member.join(linked, "rep", "left").select("row", "id", F.coalesce("component", "rep").alias("component")), "jaccard-components")
-    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    found = placed.join(least, "component").select("row", "component_id")
-    return sets.select("row", "id", "n").join(found, "row", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct("id", "row")).alias("keep"))
+    found = placed.join(least, "component").select("row", "component_id", F.col("keep.row").alias("keep_row"))
+    return sets.select("row", "id", "n").join(found, "row", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+        *(["row", F.coalesce("keep_row", "row").alias("keep_row")] if with_row else []),
+    )

@@ -150,6 +150,7 @@ def quality_rules(
     line_min_docs: int = LINE_MIN_DOCS,
     left_percent: int = LEFT_PERCENT,
     with_text: bool = False,
+    with_row: bool = False,
 ) -> DataFrame:
     """One row per input row: id_col, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_removed_words, kept (and clean_text).
@@ -160,7 +161,8 @@ def quality_rules(
     A document is kept when it passes the base rules and at least left_percent of
     its words stay after the frequent lines are removed.  A null host is a host of
     its own.  Repeated rows each get their row.  Extra columns are ignored.
-    with_text adds clean_text, the text without its frequent lines.
+    with_text adds clean_text, the text without its frequent lines; with_row adds
+    row, the row's monotonically_increasing_id in df.
     """
     src = _input(df, id_col, text_col, host_col)
     measured = materialise(src.mapInArrow(_measure, _MEASURED), "quality-measured")
@@ -178,6 +180,7 @@ def quality_rules(
     cols = [
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), removed.alias("n_removed_words"),
         (~failed & (100 * (F.col("n_words") - removed) >= left_percent * F.col("n_words"))).alias("kept"),
+        *(["row"] if with_row else []),
     ]
     if not with_text:
         return out.select(*cols)

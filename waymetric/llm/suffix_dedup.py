@@ -354,7 +354,9 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, with_text: bool = False, with_row: bool = False
+) -> DataFrame:
     """One row per input row: id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
 
     Texts are UTF-8 bytes, null is empty; no window crosses documents.  Every byte
@@ -362,7 +364,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     id, or before in the same one.  Windows are judged on the input.  A null id is
     before all others, and rows of the same id follow each other in scan order.
     Documents shorter than `length` bytes stay whole.  Extra columns are ignored.
-    with_text adds what is left as text (parts of a character that was cut go).
+    with_text adds what is left as text (parts of a character that was cut go);
+    with_row adds row, the row's monotonically_increasing_id in df.
 
     Exact copies are settled by their digests: all but the earliest lose
     everything.  The table is read twice, so that df must be a table.
@@ -389,6 +392,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        *(["row"] if with_row else []),
     ]
     if not with_text:
         return out.select(*cols)
