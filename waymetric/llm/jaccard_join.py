@@ -277,21 +277,23 @@ def _near_pivot(percent: int):
     return run
 
 
-def similar_links(reps: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -> DataFrame:
+def similar_links(live: DataFrame, reps: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(a, b): links that connect what similar pairs of the sets (row, n, tokens, spread) connect.
 
+    live: the sets; reps: the rows of the different ones.
+
     Candidate groups of up to block_sets sets are joined by one trie.  In a larger
     one all sets meet a pivot, the set whose shingles are the most common; those
     similar to it are connected already and never meet each other.  The rest meets
     itself and them, block by block, so that a group of near copies takes work in
     proportion to its size and every pair that could still connect is compared.
     """
-    postings = materialise(reps.select("row", "n", "tokens").mapInArrow(_prefix_postings(percent), "token long, row long"), "jaccard-postings")
+    postings = materialise(live.select("row", "n", "tokens").mapInArrow(_prefix_postings(percent), "token long, row long").join(reps, "row", "left_semi"), "jaccard-postings")
     leads = postings.groupBy("token").agg(F.min("row").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "lead")
     groups = materialise(connected_components(postings.join(leads, "token").select("row", "lead").where("row <> lead"), "row", "lead"), "jaccard-groups")
     discard(postings)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sets = materialise(reps.join(groups.join(sizes, "component").withColumnRenamed("node", "row"), "row"), "jaccard-sets")
+    sets = materialise(live.select("row", "n", "tokens", "spread").join(groups.join(sizes, "component").withColumnRenamed("node", "row"), "row"), "jaccard-sets")
     buckets = max(1, sets.count() // block_sets)
     small = sets.where(F.col("size") <= block_sets).select(
         F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("work"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "component", "row", "n", "tokens", F.lit(2).alias("side")
@@ -344,8 +346,7 @@ def jaccard_components(
     live = sets.where("tokens is not null")
     classes = live.groupBy("sig_a", "sig_b", "n").agg(F.min("row").alias("rep"))
     member = materialise(live.select("row", "id", "sig_a", "sig_b", "n").join(classes, ["sig_a", "sig_b", "n"]).select("row", "id", "rep"), "jaccard-classes")
-    reps = live.join(member.where("row = rep").select("row"), "row").select("row", "n", "tokens", "spread")
-    linked = connected_components(similar_links(reps, percent, block_sets)).withColumnRenamed("node", "rep")
+    linked = connected_components(similar_links(live, member.where("row = rep").select("row"), percent, block_sets)).withColumnRenamed("node", "rep")
     placed = materialise(member.join(linked, "rep", "left").select("row", "id", F.coalesce("component", "rep").alias("component")), "jaccard-components")
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct("id", "row")).alias("keep"))
     found = placed.join(least, "component").select("row", "component_id", F.col("keep.row").alias("keep_row"))

@@ -2,12 +2,13 @@
 
 Near-duplicate search and substring search both need, for every document, those
 of its tokens (hashed n-grams, hashed anchors) that other documents have as well.
-A row per token would make the shuffle many times the text.  So a slice of
+A row per token would make the shuffle many times the text.  So a unit of
 documents sends each key range one block of numbers instead: 48 bits of hash and
-16 bits for the document within the slice.  Owners of key ranges find the tokens
-that occur twice or more, and send back blocks to the slice's own group.
+16 bits for the document within the unit, sorted, as differences.  Owners of key
+ranges find the tokens that occur twice or more, and send back blocks to the
+unit's own group.
 
-Nothing is collected: blocks are bounded by the slice, ranges by their number,
+Nothing is collected: blocks are bounded by the unit, ranges by their number,
 which follows the bytes of text.  A token in a third of all documents is eight
 bytes a document in one range.
 """
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import slices, texts_as_bytes
 
-#: Bytes of text per key range.
-RANGE_BYTES = 4 << 20
+#: Bytes of text per key range, and per unit of documents that are addressed together.
+RANGE_BYTES = 8 << 20
+UNIT_BYTES = 24 << 20
+UNIT_ROWS = 60000
+MOST_COUNT = 0xFFFF
 IDX = np.uint64(0xFFFF)
-_BLOCK = "range int, slice long, kind int, tokens binary, counts binary, meta binary"
+_BLOCK = "range int, unit long, n int, tokens binary, counts binary, meta binary"
 
 
 def n_ranges(text_bytes: int) -> int:
@@ -37,8 +41,29 @@ def range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
     return (((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Ascending numbers as the first one and differences of as few bytes as they need."""
+    if not len(tokens):
+        return b""
+    step = np.diff(tokens)
+    width = (int(step.max()).bit_length() + 7) // 8 if len(step) else 0
+    return bytes([width]) + tokens[:1].astype("<u8").tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(block: bytes, n: int) -> np.ndarray:
+    """The n numbers of a block."""
+    out = np.zeros(n, np.uint64)
+    if n:
+        out[0] = np.frombuffer(block, "<u8", 1, 1)[0]
+        if block[0]:
+            step = np.zeros((n - 1, 8), np.uint8)
+            step[:, : block[0]] = np.frombuffer(block, np.uint8, (n - 1) * block[0], 9).reshape(n - 1, block[0])
+            out[1:] = step.view("<u8").ravel()
+    return np.cumsum(out)
+
+
 def _send(emit: Callable, ranges: int):
-    """Task code: per slice a row of meta for its own group, and a block of tokens for each range."""
+    """Task code: per unit a row of meta for its own group, and a block of tokens for each range."""
 
     def run(batches):
         import pickle
@@ -46,77 +71,93 @@ def _send(emit: Callable, ranges: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        slice_no = TaskContext.get().partitionId() << 32
+        unit = TaskContext.get().partitionId() << 32
+        tokens: list[np.ndarray] = []
+        meta: dict[str, list] = {}
+        held = 0
+
+        def flush():
+            nonlocal unit, held
+            found = np.sort(np.concatenate(tokens))
+            at = range_of(found, ranges)
+            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(found) else np.zeros(0, np.int64)
+            blocks = np.split(found, heads[1:]) if len(found) else []
+            n = len(blocks)
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*at[heads].tolist(), unit % ranges], pa.int32()), pa.array([unit] * (n + 1), pa.int64()), pa.array([*(len(b) for b in blocks), 0], pa.int32()),
+                    pa.array([*(packed(b) for b in blocks), None], pa.binary()), pa.array([None] * (n + 1), pa.binary()), pa.array([None] * n + [pickle.dumps(meta, 5)], pa.binary()),
+                ],
+                names=["range", "unit", "n", "tokens", "counts", "meta"],
+            )
+            tokens.clear()
+            meta.clear()
+            unit, held = unit + 1, 0
+            return out
+
         for batch in batches:
             texts = texts_as_bytes(batch.column("text"))
-            for lo, hi in slices([len(t) for t in texts]):
-                tokens, meta = emit(texts[lo:hi])
-                meta = {"row": batch.column("row").slice(lo, hi - lo).to_pylist(), "id": batch.column("id").slice(lo, hi - lo).to_pylist(), **meta}
-                at = range_of(tokens, ranges)
-                cuts = np.flatnonzero(np.diff(at)) + 1
-                blocks = [b.tobytes() for b in np.split(tokens, cuts)] if len(tokens) else []
-                own = at[np.concatenate([[0], cuts])].tolist() if len(tokens) else []
-                n = len(blocks)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*own, slice_no % ranges], pa.int32()), pa.array([slice_no] * (n + 1), pa.int64()), pa.array([1] * n + [0], pa.int32()),
-                        pa.array([*blocks, None], pa.binary()), pa.array([None] * (n + 1), pa.binary()), pa.array([None] * n + [pickle.dumps(meta, 5)], pa.binary()),
-                    ],
-                    names=["range", "slice", "kind", "tokens", "counts", "meta"],
-                )
-                slice_no += 1
+            rows, ids = batch.column("row").to_pylist(), batch.column("id").to_pylist()
+            for lo, hi in slices([len(t) for t in texts], most_rows=10000):
+                if tokens and (held > UNIT_BYTES or len(meta["row"]) + hi - lo > UNIT_ROWS):
+                    yield flush()
+                found, more = emit(texts[lo:hi])
+                tokens.append(found + np.uint64(len(meta.get("row", []))))
+                for k, v in {"row": rows[lo:hi], "id": ids[lo:hi], **more}.items():
+                    meta.setdefault(k, []).extend(v)
+                held += sum(len(t) for t in texts[lo:hi])
+        if tokens:
+            yield flush()
 
     return run
 
 
 def _own(key, table):
-    """Owner of one key range: the blocks' tokens that occur twice or more, back by slice, with their counts."""
+    """Owner of one key range: the blocks' tokens that occur twice or more, back by unit, with their counts."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    meta = table.filter(pc.equal(table.column("kind"), 0))
-    part = table.filter(pc.equal(table.column("kind"), 1))
-    blocks = [np.frombuffer(b, np.uint64) for b in part.column("tokens").to_pylist()]
-    got: list[tuple[int, bytes, bytes]] = []
-    if blocks:
-        tokens = np.concatenate(blocks)
-        block = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+    meta = table.filter(pc.is_valid(table.column("meta")))
+    part = table.filter(pc.is_null(table.column("meta")))
+    units, sizes = part.column("unit").to_pylist(), part.column("n").to_pylist()
+    got: list[tuple[int, int, bytes, bytes]] = []
+    if units:
+        tokens = np.concatenate([unpacked(b, n) for b, n in zip(part.column("tokens").to_pylist(), sizes, strict=True)])
+        block = np.repeat(np.arange(len(units)), sizes)
         order = np.argsort(tokens >> np.uint64(16), kind="stable")
         value = (tokens >> np.uint64(16))[order]
         heads = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         count = np.diff(np.append(heads, len(value)))
         count = np.repeat(count, count)
         live = order[count > 1]
-        count = count[count > 1]
+        count = np.minimum(count[count > 1], MOST_COUNT).astype(np.uint16)
         back = np.argsort(block[live], kind="stable")
         live, count = live[back], count[back]
-        cuts = np.flatnonzero(np.diff(block[live])) + 1
-        slice_ids = part.column("slice").to_pylist()
-        if len(live):
-            for x, c in zip(np.split(live, cuts), np.split(count, cuts), strict=True):
-                got.append((slice_ids[block[x[0]]], tokens[x].tobytes(), np.minimum(c, 0xFFFFFFFF).astype(np.uint32).tobytes()))
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(block[live]) != 0])) if len(live) else np.zeros(0, np.int64)
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(live)], strict=False):
+            got.append((units[block[live[a]]], b - a, packed(np.sort(tokens[live[a:b]])), count[a:b].tobytes()))
     back = pa.table(
         {
-            "range": pa.array([key[0].as_py()] * len(got), pa.int32()), "slice": pa.array([g[0] for g in got], pa.int64()), "kind": pa.array([1] * len(got), pa.int32()),
-            "tokens": pa.array([g[1] for g in got], pa.binary()), "counts": pa.array([g[2] for g in got], pa.binary()), "meta": pa.array([None] * len(got), pa.binary()),
+            "range": pa.array([key[0].as_py()] * len(got), pa.int32()), "unit": pa.array([g[0] for g in got], pa.int64()), "n": pa.array([g[1] for g in got], pa.int32()),
+            "tokens": pa.array([g[2] for g in got], pa.binary()), "counts": pa.array([g[3] for g in got], pa.binary()), "meta": pa.array([None] * len(got), pa.binary()),
         }
     )
-    return pa.concat_tables([back, meta.select(back.column_names)]).cast(back.schema)
+    return pa.concat_tables([back, meta.select(back.column_names).cast(back.schema)])
 
 
 def _gather(finish: Callable):
-    """Task code for one slice: its documents' meta and their tokens that occur elsewhere, by (document, count, token)."""
+    """Task code for one unit: its documents' meta and their tokens that occur elsewhere, by (document, count, token)."""
 
     def run(key, table):
         import pickle
 
         import pyarrow.compute as pc
 
-        metas = [m for m in table.column("meta").to_pylist() if m is not None]
-        meta = pickle.loads(metas[0])
-        part = table.filter(pc.equal(table.column("kind"), 1))
-        tokens = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in part.column("tokens").to_pylist())])
-        counts = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(b, np.uint32) for b in part.column("counts").to_pylist())])
+        meta = pickle.loads(next(m for m in table.column("meta").to_pylist() if m is not None))
+        part = table.filter(pc.is_null(table.column("meta")))
+        blocks = zip(part.column("tokens").to_pylist(), part.column("n").to_pylist(), strict=True)
+        tokens = np.concatenate([np.zeros(0, np.uint64), *(unpacked(b, n) for b, n in blocks)])
+        counts = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(b, np.uint16) for b in part.column("counts").to_pylist())])
         doc, value = (tokens & IDX).astype(np.int64), tokens >> np.uint64(16)
         order = np.lexsort((value, counts, doc))
         doc, value, counts = doc[order], value[order], counts[order]
@@ -134,7 +175,7 @@ def shared_tokens(df: DataFrame, emit: Callable, finish: Callable, schema: str,
     """
     sent = df.mapInArrow(_send(emit, n_ranges(text_bytes)), _BLOCK)
     owned = sent.groupBy("range").applyInArrow(_own, _BLOCK)
-    return owned.groupBy("slice").applyInArrow(_gather(finish), schema)
+    return owned.groupBy("unit").applyInArrow(_gather(finish), schema)
 
 
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

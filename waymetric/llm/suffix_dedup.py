@@ -24,8 +24,8 @@ from .shared_tokens import IDX, documents, n_ranges, range_of, shared_tokens
 LENGTH = 100
 #: Bytes of the strings whose least hash is a window's anchor.
 ANCHOR = 32
-#: An anchor in more than so many slices' documents sends its windows one by one, each by its own hash.
-HOT = 1 << 16
+#: An anchor that occurs so often, counted up to 65535, sends its windows one by one, each by its own hash.
+HOT = 0xFFFF
 _B = 0xD6E8FEB86659FD93
 _INFO = "row long, id long, n_bytes long, sha string, anchors binary"
 _STRINGS = "range int, kind int, ids binary, rows binary, starts binary, sizes binary, keys binary, data binary, removed binary"
@@ -97,7 +97,7 @@ def _finish(hot: int):
     def run(meta, values, counts, edges):
         import pyarrow as pa
 
-        values = values | (np.where(counts > hot, np.uint64(1), np.uint64(0)) << np.uint64(63))
+        values = values | (np.where(counts >= hot, np.uint64(1), np.uint64(0)) << np.uint64(63))
         blobs = [values[a:b].tobytes() if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         return pa.table(
             {
