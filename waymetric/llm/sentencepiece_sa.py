@@ -18,12 +18,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_as_bytes, worker_state
+from .common import SLICE_BYTES, slices, texts_as_bytes, worker_state
 
 SPACE = "\u2581"
 SPACE_BYTES = SPACE.encode()
 #: Distinct words whose ids a task remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: A word with the white space before it, or trailing white space.
 _CHUNK = re.compile(rb" *[^ ]+| +")
 
@@ -254,7 +254,7 @@ def encode_texts(df: DataFrame, model_file: str, *, id_col: str = "doc_id", text
         model = _model(model_file)
         for batch in batches:
             texts = texts_as_bytes(batch.column("text"))
-            for lo, hi in slices([len(t) for t in texts]):
+            for lo, hi in slices([len(t) for t in texts], SLICE_BYTES // 2):
                 got = model.encode(texts[lo:hi])
                 offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
                 flat = np.concatenate(got).astype(np.int32) if got else np.zeros(0, np.int32)
@@ -272,7 +272,9 @@ def decode_ids(df: DataFrame, model_file: str, *, id_col: str = "doc_id", ids_co
 
         model = _model(model_file)
         for batch in batches:
-            ids = [np.array(x if x is not None else [], "<u4") for x in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            ids = [flat[a:b] if ok else flat[:0] for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([model.decode(x.tolist()) for x in ids], pa.string()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())],
                 names=["id", "text", "n_tokens", "ids_crc32"],
