@@ -17,6 +17,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Rounds are written to the shared folder, which cuts their lineage.
     """
     now = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "components")
+    before = None
     while True:
         both = now.union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -27,9 +28,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = materialise(small, "components")
-        changed = small.exceptAll(now).limit(1).count() + now.exceptAll(small).limit(1).count()
+        state = small.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         discard(large, now)
-        now = small
+        now, changed, before = small, state != before, state
         if not changed:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
