@@ -7,6 +7,7 @@ state is written to the checkpoint folder.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,6 @@ def ways_for_profile(ways: DataFrame, profile: str) -> DataFrame:
 
 def clip_ways(ways: DataFrame, districts: DataFrame, department: str, cell: float = 0.5) -> DataFrame:
     """Whole ways that meet a district of the department.  Candidates share a grid cell; a vectorised helper decides."""
-    import pandas as pd
-
     shapes = districts.where((F.upper("department") == department.upper()) & F.col("polygons").isNotNull()).select(F.col("ubigeo").alias("d"), "polygons")
     if shapes.isEmpty():
         raise ValueError(f"no district of {department}")
@@ -80,15 +79,16 @@ def build_edges(segments: DataFrame, profile: str) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected graph of edges (u, v); component is the least node.  Large-star and small-star rounds."""
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "components")
+    before = None
     while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = cut(now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = cut(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct(), "components")
-        same = small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty()
+        state = small.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop(now, large)
-        now = small
+        now, same, before = small, state == before, state
         if same:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
 
@@ -203,8 +203,8 @@ def urban_walk_any(edges: DataFrame, snapped: DataFrame, demand: DataFrame, sour
 def nearest_facility(matrix: DataFrame) -> DataFrame:
     """The row of least duration of each origin, of equal ones the least facility_id; origins without a route have none."""
     rest = [c for c in matrix.columns if c != "demand_id"]
-    best = F.min_by(F.struct(*rest), F.struct("duration_min", "facility_id")).alias("m")
-    return matrix.where("routable").groupBy("demand_id").agg(best).select("demand_id", "m.*")
+    best = F.min_by(F.struct(*rest), F.struct("duration_min", "facility_id")).alias("_best")
+    return matrix.where("routable").groupBy("demand_id").agg(best).select("demand_id", "_best.*")
 
 
 def reachability_count(matrix: DataFrame, demand: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ on the original values, so that a chain of rules is one projection.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +56,6 @@ def check_district_containment(df: DataFrame, districts: DataFrame, tolerance_m:
     The districts (code, polygons) join by code; Spark broadcasts them below its
     threshold and shuffles both sides beyond it.  The helper sees one Arrow batch.
     """
-    import pandas as pd
-
     shapes = districts.where("polygons is not null").select(F.col("ubigeo").alias("d_code"), "polygons")
     x, y = utm_project(F.col("lon"), F.col("lat"), zone)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +22,17 @@ PLACE_COLUMNS = {
 BOUNDARY_COLUMNS = {"IDDIST": "ubigeo", "NOMBDEP": "department", "NOMBPROV": "province", "NOMBDIST": "district"}
 
 
-def standardize(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Renames known columns, makes coordinates doubles (NaN is null), pads the district code."""
+def standardize(df: DataFrame, columns: dict[str, str], *keep: str) -> DataFrame:
+    """Renames known columns and keeps others that are asked for, makes coordinates doubles (NaN is null), pads the district code."""
     found = {k.upper(): k for k in df.columns}
-    out = df.select(*[F.col(found[k]).alias(v) if k in found else F.lit(None).cast("string").alias(v) for k, v in columns.items()])
+    out = df.select(*[F.col(found[k]).alias(v) if k in found else F.lit(None).cast("string").alias(v) for k, v in columns.items()], *keep)
     for c in ("lat", "lon"):
         out = out.withColumn(c, F.when(~F.isnan(F.expr(f"try_cast({c} AS double)")), F.expr(f"try_cast({c} AS double)")))
     return out.withColumn("ubigeo", pad_code(F.col("ubigeo").cast("string")))
 
 
-def standardize_registry(df: DataFrame) -> DataFrame:
-    return standardize(df, REGISTRY_COLUMNS).withColumn("category", normalize_category(F.col("category_raw")))
+def standardize_registry(df: DataFrame, *keep: str) -> DataFrame:
+    return standardize(df, REGISTRY_COLUMNS, *keep).withColumn("category", normalize_category(F.col("category_raw")))
 
 
 def standardize_places(df: DataFrame) -> DataFrame:
@@ -98,8 +99,6 @@ def detect_encoding(files: DataFrame, candidates: tuple[str, ...] = P.ENCODINGS)
 
     UTF-8 is checked in the JVM; other codecs need a vectorised helper.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def first(content: pd.Series) -> pd.Series:
         def codec(raw):
