@@ -18,10 +18,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, materialise, mix, slices, text_bytes, texts_as_bytes
+from .common import materialise, mix, slices, text_bytes, texts_as_bytes
 from .shared_tokens import IDX, documents, n_ranges, range_of, shared_tokens
 
 LENGTH = 100
+#: Bytes of text whose windows are numbered at once: some twenty numbers of 8 bytes for each.
+PIECE_BYTES = 768 << 10
 #: Bytes of the strings whose least hash is a window's anchor.
 ANCHOR = 32
 #: An anchor that occurs so often, counted up to 65535, sends its windows one by one, each by its own hash.
@@ -60,13 +62,13 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 def pieces(texts: list[bytes], length: int) -> list[tuple[int, int, bytes]]:
     """(document, offset, bytes): every window of every text is in exactly one piece of bounded size."""
-    return [(i, at, t[at : at + SLICE_BYTES + length - 1]) for i, t in enumerate(texts) for at in range(0, max(len(t) - length + 1, 0), SLICE_BYTES)]
+    return [(i, at, t[at : at + PIECE_BYTES + length - 1]) for i, t in enumerate(texts) for at in range(0, max(len(t) - length + 1, 0), PIECE_BYTES)]
 
 
 def windows(texts: list[bytes], length: int, anchor: int):
     """For each lot of pieces: hashes, bytes, and of all windows the document, start in it, place among the bytes, anchor, and whether a run begins."""
     all_pieces = pieces(texts, length)
-    for lo, hi in slices([len(p[2]) for p in all_pieces]):
+    for lo, hi in slices([len(p[2]) for p in all_pieces], PIECE_BYTES):
         part = all_pieces[lo:hi]
         data = b"".join(p[2] for p in part)
         hashes = _Hashes(np.frombuffer(data, np.uint8))
@@ -308,7 +310,7 @@ def _expand(length: int):
     return run
 
 
-def _lots(rest: list, per_key: dict, most: int = 2 << 20):
+def _lots(rest: list, per_key: dict, most: int = 1 << 20):
     """Sorts by anchor and cuts between anchors, into lots of about `most` bytes."""
     rest.sort(key=lambda x: x[1][4])
     lo = size = 0
