@@ -34,6 +34,30 @@ def mean_access(by: str, source: str = "o_access") -> str:
         FROM {source} WHERE {by} IS NOT NULL GROUP BY {by}"""
 
 
+def utm(lon: str, lat: str) -> tuple[str, str]:
+    """Easting and northing of the projection, by its series to the third order."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    e = (f * (2 - f)) ** 0.5
+    k = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    lam = f"radians({lon} - ({P.UTM_ZONE * 6 - 183}))"
+    t = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))"
+    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1 + pow({t}, 2)))"
+    x = " + ".join([eta, *(f"{a!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(alpha, 1))])
+    y = " + ".join([xi, *(f"{a!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(alpha, 1))])
+    return f"(500000 + {k!r} * ({x}))", f"(10000000 + {k!r} * ({y}))"
+
+
+def contained(source: str, key: str, usable: str) -> str:
+    """The rows of source and within_declared_district, from crossings of and distances to the edges of the district."""
+    along = "least(greatest(((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)), 0), 1)"
+    return f"""SELECT s.*, w.within_declared_district FROM {source} s LEFT JOIN (
+        SELECT {key}, sum(CASE WHEN (ay > py) <> (by_ > py) AND px < ax + (py - ay) * (bx - ax) / (by_ - ay) THEN 1 ELSE 0 END) % 2 = 1
+               OR min(sqrt(pow(px - ax - {along} * (bx - ax), 2) + pow(py - ay - {along} * (by_ - ay), 2))) < 500 AS within_declared_district
+        FROM (SELECT {key}, ubigeo, {utm("lon", "lat")[0]} AS px, {utm("lon", "lat")[1]} AS py FROM {source} WHERE {usable}) p JOIN o_edge USING (ubigeo) GROUP BY {key}) w USING ({key})"""
+
+
 MEAN_COLUMNS = "round(mean_access_min, 5) AS mean_access_min, round(population, 3) AS population, n_points, round(pct_unroutable, 5) AS pct_unroutable"
 
 #: name -> (SQL, what it reads)
@@ -105,18 +129,14 @@ COMMON: dict[str, tuple[str, list[str]]] = {
         in0 OR was_coord_swapped AS in_bbox, lpad(ubigeo, 6, '0') AS ubigeo, {CATEGORY} AS category, {RESOLUTIVE} AS is_resolutive FROM o_flags""",
         ["o_flags"],
     ),
-    # points that lie in their square, or at most a bit more than the tolerance beside it: degrees are enough, as no point is near the limit
-    "o_contained": (
-        """SELECT f.*, CASE WHEN has_valid_coords AND in_bbox AND d.has_shape = 1 THEN greatest(x0 - lon, lon - x0 - 1, 0) * 111320 * cos(radians(lat)) END AS dx,
-        CASE WHEN has_valid_coords AND in_bbox AND d.has_shape = 1 THEN greatest(y0 - lat, lat - y0 - 1, 0) * 110700 END AS dy
-        FROM o_fixed f LEFT JOIN v_district d USING (ubigeo)""",
-        ["o_fixed", "v_district"],
-    ),
-    "o_clean": (
-        """SELECT * FROM (SELECT *, sqrt(dx * dx + dy * dy) < 500 AS within_declared_district FROM o_contained)
-        QUALIFY row_number() OVER (PARTITION BY facility_code ORDER BY ordinal) = 1""",
-        ["o_contained"],
+    "o_edge": (
+        f"""SELECT ubigeo, {utm("ax", "ay")[0]} AS ax, {utm("ax", "ay")[1]} AS ay, {utm("bx", "by_")[0]} AS bx, {utm("bx", "by_")[1]} AS by_ FROM (
+        SELECT ubigeo, x0 AS ax, y0 AS ay, x0 + 1 AS bx, y0 AS by_ FROM v_district WHERE has_shape = 1 UNION ALL SELECT ubigeo, x0 + 1, y0, x0 + 1, y0 + 1 FROM v_district WHERE has_shape = 1
+        UNION ALL SELECT ubigeo, x0 + 1, y0 + 1, x0, y0 + 1 FROM v_district WHERE has_shape = 1 UNION ALL SELECT ubigeo, x0, y0 + 1, x0, y0 FROM v_district WHERE has_shape = 1)""",
+        ["v_district"],
     ),
+    "o_contained": (contained("o_fixed", "ordinal", "has_valid_coords AND in_bbox"), ["o_fixed", "o_edge"]),
+    "o_clean": ("SELECT * FROM o_contained QUALIFY row_number() OVER (PARTITION BY facility_code ORDER BY ordinal) = 1", ["o_contained"]),
     "o_segments": (
         """SELECT way_id, highway, other_tags, lon1, lat1, lon2, lat2 FROM v_ways UNION ALL SELECT way_id, highway, other_tags, lon2, lat2, lon3, lat3 FROM v_ways""",
         ["v_ways"],
@@ -235,7 +255,7 @@ ORACLES: dict[str, str] = {
     "dq_missing_coordinates": _q("SELECT ordinal, has_valid_coords FROM o_flags", "o_flags"),
     "dq_out_of_bbox": _q("SELECT ordinal, in0 AS in_bbox FROM o_flags", "o_flags"),
     "dq_swapped_lat_lon": _q("SELECT ordinal, lat, lon, in_bbox, was_coord_swapped FROM o_fixed", "o_fixed"),
-    "dq_district_containment": _q("SELECT ordinal, sqrt(dx * dx + dy * dy) < 500 AS within_declared_district FROM o_contained", "o_contained"),
+    "dq_district_containment": _q("SELECT ordinal, within_declared_district FROM o_contained", "o_contained"),
     "dq_duplicate_codes": _q("SELECT min(ordinal) AS ordinal, facility_code FROM v_registry GROUP BY facility_code", "v_registry"),
     "dq_unclassified_category": _q(
         "SELECT 'unclassified_category' AS rule, count(*) FILTER (WHERE category = 'SIN_CATEGORIA') AS n_flagged, round(100.0 * count(*) FILTER (WHERE category = 'SIN_CATEGORIA') / count(*), 2) AS pct_flagged FROM o_clean", "o_clean"),
@@ -245,12 +265,12 @@ ORACLES: dict[str, str] = {
         CAST(NULL AS BIGINT) AS n_checkable, CAST(NULL AS BIGINT) AS n_involved_rows, 'registry' AS source FROM o_flags
         UNION ALL SELECT 'out_of_bbox', count(*) FILTER (WHERE NOT in0), NULL, NULL, NULL, 'registry' FROM o_flags
         UNION ALL SELECT 'swapped_lat_lon', count(*) FILTER (WHERE was_coord_swapped), NULL, NULL, NULL, 'registry' FROM o_flags
-        UNION ALL SELECT 'district_containment', count(*) FILTER (WHERE sqrt(dx * dx + dy * dy) >= 500), NULL, count(dx), NULL, 'registry' FROM o_contained
+        UNION ALL SELECT 'district_containment', count(*) FILTER (WHERE NOT within_declared_district), NULL, count(within_declared_district), NULL, 'registry' FROM o_contained
         UNION ALL SELECT 'duplicate_codes', CAST(coalesce(sum(n - 1), 0) AS BIGINT), NULL, NULL, CAST(coalesce(sum(n), 0) AS BIGINT), 'registry' FROM (SELECT count(*) AS n FROM v_registry GROUP BY facility_code HAVING count(*) > 1)
         UNION ALL SELECT 'unclassified_category', count(*) FILTER (WHERE category = 'SIN_CATEGORIA'), round(100.0 * count(*) FILTER (WHERE category = 'SIN_CATEGORIA') / count(*), 2), NULL, NULL, 'registry' FROM o_clean
         UNION ALL SELECT 'population_without_code', count(*) FILTER (WHERE trim(ubigeo) = ''), round(100.0 * count(*) FILTER (WHERE trim(ubigeo) = '') / count(*), 2), NULL, NULL, 'population' FROM v_population""",
         "o_flags", "o_contained", "o_clean", "v_population"),
-    "containment_pct": _q("SELECT 'registry' AS source, round(100.0 * count(*) FILTER (WHERE sqrt(dx * dx + dy * dy) >= 500) / count(dx), 6) AS pct_outside FROM o_contained", "o_contained"),
+    "containment_pct": _q("SELECT 'registry' AS source, round(100.0 * count(*) FILTER (WHERE NOT within_declared_district) / count(within_declared_district), 6) AS pct_outside FROM o_contained", "o_contained"),
     "registry_summary": _q(
         """SELECT coalesce(a.department, b.department) AS department, coalesce(n_facilities, 0) AS n_facilities, coalesce(n_resolutive, 0) AS n_resolutive, coalesce(n_places, 0) AS n_places
         FROM (SELECT department, count(*) AS n_facilities, count(*) FILTER (WHERE is_resolutive) AS n_resolutive FROM o_clean GROUP BY department) a
@@ -258,9 +278,9 @@ ORACLES: dict[str, str] = {
     "apportion_population": _q("SELECT demand_id, round(population_est, 6) AS population_est FROM o_spread", "o_spread"),
     "classify_urban": _q("SELECT demand_id, is_urban FROM o_people", "o_people"),
     "clean_places": _q(
-        """SELECT demand_id AS ordinal, true AS has_valid_coords, true AS in_bbox, false AS was_coord_swapped, CASE WHEN has_shape = 1 THEN
-        sqrt(pow(greatest(x0 - lon, lon - x0 - 1, 0) * 111320 * cos(radians(lat)), 2) + pow(greatest(y0 - lat, lat - y0 - 1, 0) * 110700, 2)) < 500 END AS within_declared_district
-        FROM v_demand p LEFT JOIN (SELECT ubigeo, x0, y0, has_shape FROM v_district) USING (ubigeo)""", "v_demand", "v_district"),
+        f"""SELECT ordinal, true AS has_valid_coords, true AS in_bbox, false AS was_coord_swapped, within_declared_district FROM (
+        {contained("(SELECT demand_id AS ordinal, ubigeo, lon, lat FROM v_demand)", "ordinal", "true")})""", "v_demand", "o_edge"),
+    "utm_projection": _q(f"SELECT demand_id, round({utm('lon', 'lat')[0]}, 3) AS x, round({utm('lon', 'lat')[1]}, 3) AS y FROM v_demand", "v_demand"),
     "reconcile_totals": _q(
         """SELECT departamento AS department, CAST(sum(poblacion_2017) AS BIGINT) AS sum_districts, CAST(sum(poblacion_2017) AS BIGINT) AS declared, 0 AS n_missing,
         count(DISTINCT provincia) FILTER (WHERE provincia = 'NATION_7') AS n_bad_provinces, count(*) FILTER (WHERE provincia = 'NATION_7') = 0 AS accepted
