@@ -48,7 +48,8 @@ def clip_ways(ways: DataFrame, districts: DataFrame, department: str, cell: floa
 
 def ways_to_segments(ways: DataFrame, *keep: str) -> DataFrame:
     """Consecutive pairs of coordinates; each row expands by itself, without a shuffle."""
-    pairs = F.arrays_zip(F.slice("coords", 1, F.size("coords") - 1).alias("a"), F.slice("coords", 2, F.size("coords") - 1).alias("b"))
+    n = F.greatest(F.size("coords") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("coords", F.lit(1), n).alias("a"), F.slice("coords", F.lit(2), n).alias("b"))
     return ways.where(F.size("coords") > 1).select(*keep, F.explode(pairs).alias("s")).select(
         *keep, F.col("s.a.lon").alias("lon1"), F.col("s.a.lat").alias("lat1"), F.col("s.b.lon").alias("lon2"), F.col("s.b.lat").alias("lat2")
     )
