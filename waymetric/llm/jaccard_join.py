@@ -344,7 +344,8 @@ def jaccard_components(
     emit = lambda texts: shingle_tokens(texts, words)
     sets = materialise(shared_tokens(docs, emit, _finish(percent), _SETS, text_bytes(docs, "text")), "jaccard-documents")
     live = sets.where("tokens is not null")
-    classes = live.groupBy("sig_a", "sig_b", "n").agg(F.min("row").alias("rep"))
+    # a table of its own, so that Spark can split the join where one set has very many copies
+    classes = materialise(live.groupBy("sig_a", "sig_b", "n").agg(F.min("row").alias("rep")), "jaccard-sets")
     member = materialise(live.select("row", "id", "sig_a", "sig_b", "n").join(classes, ["sig_a", "sig_b", "n"]).select("row", "id", "rep"), "jaccard-classes")
     linked = connected_components(similar_links(live, member.where("row = rep").select("row"), percent, block_sets)).withColumnRenamed("node", "rep")
     placed = materialise(member.join(linked, "rep", "left").select("row", "id", F.coalesce("component", "rep").alias("component")), "jaccard-components")

@@ -130,4 +130,27 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM g""",
+    "op9_quality_rules": f"""
+        WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        win AS (SELECT doc_id, i, list_slice(words, i, i + 4) AS k FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w)),
+        rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+        cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM rep) GROUP BY doc_id),
+        raw AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM w),
+        lines AS (
+          SELECT *, len(parts) AS n, array_to_string(parts, ' ') AS norm FROM (
+            SELECT *, list_filter(string_split_regex({_FOLD.format("line")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS parts FROM raw) WHERE len(parts) > 0),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+        hosts AS (SELECT source, count(DISTINCT text) AS n_docs FROM w GROUP BY source),
+        often AS (
+          SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n_with FROM lines GROUP BY source, norm) l
+          JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n_with > 20 AND n_with * 100 > n_docs * 10),
+        gone AS (SELECT doc_id, sum(n) AS n FROM lines l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY doc_id),
+        m AS (
+          SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                 CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                 coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_gone
+          FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - n_gone) >= 20 * n_words AS kept
+        FROM m""",
 }
