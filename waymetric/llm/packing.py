@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, materialise, slices, texts_as_bytes, worker_state
+from .common import FOLD, SLICE_BYTES, materialise, slices, texts_as_bytes, worker_state
 
 #: Tokens of a length class.
 UNIT = 16
@@ -73,11 +73,13 @@ class WordIds:
         codes, distinct = pd.factorize(flat) if len(flat) else (np.zeros(0, np.int64), [])
         new = [w for w in distinct if w not in self.memo]
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            got = []
+            for k in range(0, len(new), 4096):  # a tokenizer's results are large while they last
+                got += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[k : k + 4096]], add_special_tokens=False)]
             lens = np.array([len(x) for x in got], np.int64)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
             self.lens = np.concatenate([self.lens, lens])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum()))])
+            self.ids = np.concatenate([self.ids, *got])
             self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
         place = np.array([self.memo[w] for w in distinct], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
         # the closing id is one more word of each text
@@ -101,7 +103,7 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, *, id_col: str, text_co
         encoder = kept.get(("ids", tokenizer_path)) or kept.setdefault(("ids", tokenizer_path), WordIds(tokenizer_path))
         for batch in batches:
             texts = texts_as_bytes(batch.column("text"))
-            for lo, hi in slices([len(t) for t in texts]):
+            for lo, hi in slices([len(t) for t in texts], SLICE_BYTES // 2):
                 ids, ends = encoder.encode(texts[lo:hi], last_id)
                 sizes = np.diff(np.concatenate([[0], ends]))
                 n = -(-sizes // capacity)
