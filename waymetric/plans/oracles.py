@@ -155,6 +155,36 @@ COMMON: dict[str, tuple[str, list[str]]] = {
         AND coalesce(other_tags NOT LIKE '%"access"=>"private"%' AND other_tags NOT LIKE '%"motor_vehicle"=>"no"%', true)""",
         ["o_segments"],
     ),
+    "o_road": (
+        """SELECT DISTINCT CAST(round((y + 90) * 1e7) AS BIGINT) * 4000000000 + CAST(round((x + 180) * 1e7) AS BIGINT) AS node, round(x, 7) AS x, round(y, 7) AS y
+        FROM (SELECT lon1 AS x, lat1 AS y FROM o_segments UNION SELECT lon2, lat2 FROM o_segments)""",
+        ["o_segments"],
+    ),
+    "o_both": ("SELECT u, v FROM o_edges UNION SELECT v, u FROM o_edges", ["o_edges"]),
+    # labels spread along the edges until each node has the least of its component
+    "o_part": (
+        """SELECT DISTINCT u AS node, u AS c FROM o_both UNION
+        SELECT b.v AS node, min(a.c) AS c FROM o_part a JOIN o_both b ON a.node = b.u JOIN recurring.o_part r ON r.node = b.v WHERE a.c < r.c GROUP BY b.v""",
+        ["o_both"],
+    ),
+    "o_largest": (
+        "SELECT node, x, y FROM o_road WHERE node IN (SELECT node FROM o_part WHERE c = (SELECT c FROM o_part GROUP BY c ORDER BY count(*) DESC, c LIMIT 1))",
+        ["o_part", "o_road"],
+    ),
+    "o_snapped": (
+        """SELECT key, kind, node, round(d, 9) AS d FROM (SELECT p.key, p.kind, n.node, sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) AS d FROM (
+        SELECT demand_id AS key, 'demand' AS kind, CASE WHEN demand_id % 17 <> 0 THEN -77 + (demand_id * 31 % 4000) / 1e4 END AS x, -12 + (demand_id * 17 % 3700) / 1e4 AS y FROM v_demand UNION ALL
+        SELECT facility_id, 'facility', CASE WHEN facility_id % 17 <> 0 THEN -77 + (facility_id * 31 % 4000) / 1e4 END, -12 + (facility_id * 17 % 3700) / 1e4 FROM v_facility) p
+        LEFT JOIN o_largest n ON p.x IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY d, node) = 1""",
+        ["v_demand", "v_facility", "o_largest"],
+    ),
+    "o_hop": ("SELECT u, v, min(travel_time) AS w FROM o_edges WHERE u IN (SELECT node FROM o_largest) GROUP BY u, v", ["o_edges", "o_largest"]),
+    "o_walk": (
+        """SELECT DISTINCT node, CAST(0 AS DOUBLE) AS dist FROM o_snapped WHERE kind = 'facility' AND node IS NOT NULL UNION
+        SELECT h.v AS node, min(a.dist + h.w) AS dist FROM o_walk a JOIN o_hop h ON a.node = h.u LEFT JOIN recurring.o_walk r ON r.node = h.v
+        WHERE r.dist IS NULL OR a.dist + h.w < r.dist GROUP BY h.v""",
+        ["o_snapped", "o_hop"],
+    ),
     "o_open": (
         """SELECT DISTINCT m.facility_id, m.demand_id, p.department, p.population_est AS pop FROM v_matrix m JOIN o_people p USING (demand_id)
         WHERE m.routable AND m.duration_min <= 60 AND NOT m.facility_is_resolutive
@@ -308,6 +338,12 @@ ORACLES: dict[str, str] = {
     "road_nodes": _q(
         "SELECT DISTINCT CAST(round((y + 90) * 1e7) AS BIGINT) * 4000000000 + CAST(round((x + 180) * 1e7) AS BIGINT) AS node, round(x, 7) AS x, round(y, 7) AS y FROM (SELECT lon1 AS x, lat1 AS y FROM o_segments UNION SELECT lon2, lat2 FROM o_segments)", "o_segments"),
     "road_edges": _q("SELECT u, v, round(length, 3) AS length, round(travel_time, 4) AS travel_time, highway FROM o_edges", "o_edges"),
+    "largest_component": _q("SELECT node, x, y FROM o_largest", "o_largest"),
+    "snap_points": _q("SELECT key AS demand_id, CAST(node AS STRING) AS node, d AS snap_dist_m FROM o_snapped WHERE kind = 'demand'", "o_snapped"),
+    "snap_report": _q(
+        """SELECT department, count(*) AS n_points, count(*) - count(node) AS n_failed, round(avg(d), 7) AS mean_snap_distance_m, max(d) AS max_snap_distance_m
+        FROM o_snapped s JOIN v_demand v ON s.key = v.demand_id WHERE kind = 'demand' GROUP BY department""", "o_snapped", "v_demand"),
+    "nearest_from_sources": _q("SELECT node, round(dist, 4) AS dist FROM o_walk", "o_walk"),
     "greedy_siting": _q(f"SELECT department, rank, facility_id, {SITING} FROM o_siting", "o_siting"),
     "siting_recommendations": _q(f"SELECT s.department, rank, facility_id, {SITING}, facility_name, category, district, institution FROM o_siting s LEFT JOIN (SELECT facility_id, facility_name, category, district, institution FROM v_facility) USING (facility_id)", "o_siting", "v_facility"),
     "siting_top_vs_rest": _q(

@@ -86,6 +86,8 @@ VIEWS: dict[str, str] = {
                || lpad(CAST(1 + event_id % 12 AS STRING), 2, '0') || '-' || CAST(2015 + event_id % 10 AS STRING) || '.csv' AS url
         FROM events""",
 }
+#: Recursive tables keep one row per key.
+HEADS = {"o_part": "o_part(node, c) USING KEY (node)", "o_walk": "o_walk(node, dist) USING KEY (node)"}
 #: What each view reads, views first.
 NEEDS = {"v_population": ["v_demand"], "v_district": ["v_demand"]}
 
@@ -106,7 +108,7 @@ def with_views(sql: str, *names: str) -> str:
         add(n)
     if not out:
         return sql
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in out.items()) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{HEADS.get(k, k)} AS ({v})" for k, v in out.items()) + "\n" + sql
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
