@@ -1 +1,11 @@
-"""Geographic access-to-service analytics as Spark jobs."""
+"""Geographic access-to-service analytics as Spark jobs.
+
+The Python helpers that run inside tasks are pickled by value, so that executors
+need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
