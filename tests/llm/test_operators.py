@@ -15,7 +15,7 @@ from waymetric.llm import packing as K
 from waymetric.llm.chat_format import assemble, rotate_perspectives
 from waymetric.llm.components import connected_components
 from waymetric.llm.exact_dedup import build_directory, dedup_exact
-from waymetric.llm.jaccard_join import Trie, jaccard_components
+from waymetric.llm.jaccard_join import Trie, jaccard_components, word_hashes
 from waymetric.llm.packing import cutting_stock, pack
 from waymetric.llm.quality import quality_rules
 from waymetric.llm.sentencepiece_sa import SuffixArrayModel, decode_ids, encode_texts
@@ -274,6 +274,13 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == [("4", 2, "4"), ("4", 2, "4"), ("9", 0, "9"), ("None", 1, "None"), ("None", 2, "4")]
 
 
+def test_word_hashes_do_not_depend_on_pieces():
+    texts = [(t or "").encode() for t in corpus(12)]
+    whole, small = word_hashes(texts), word_hashes(texts, 7)
+    assert all((a == b).all() for a, b in zip(whole, small, strict=True))
+    assert len(whole[0]) == sum(len(t.split()) for t in texts) and len(set(whole[0].tolist())) == len({w for t in texts for w in low(t).split()})
+
+
 def test_trie_finds_what_pairs_find():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 14, r.integers(1, 14))) for _ in range(60)]

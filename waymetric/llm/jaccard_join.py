@@ -11,6 +11,8 @@ when the remaining lengths cannot reach the threshold.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ PERCENT = 80
 WORDS = 5
 #: Sets joined in one trie at most; larger groups are split into pairs of blocks.
 BLOCK_SETS = 256
+#: Bytes of text whose words are hashed at once, whatever the length of a text.
+PIECE_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SETS = "row long, id long, n long, sig_a long, sig_b long, tokens binary, spread double"
 _B = 0x9E3779B97F4A7C15 | 1
 
@@ -35,17 +40,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, A-Z lower-cased, and each word's document."""
-    raw = np.frombuffer(b"\n".join(texts).translate(FOLD), np.uint8)
+def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word."""
+    raw = np.frombuffer(data, np.uint8)
     space = (raw == 0x20) | ((raw >= 0x09) & (raw <= 0x0D))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     up, down = _powers(len(raw))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
+
+
+def word_hashes(texts: list[bytes], piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, A-Z lower-cased, and each word's document.  Texts go piece by piece, cut at white space."""
+    data = b"\n".join(texts).translate(FOLD)
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        space = _SPACE.search(data, at + piece)
+        end = space.start() if space else len(data)
+        h, start = _hash_words(data[at:end])
+        hashes.append(h)
+        starts.append(start + at)
+        at = end
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    return h, np.searchsorted(begins, start, side="right") - 1
+    return np.concatenate(hashes), np.searchsorted(begins, np.concatenate(starts), side="right") - 1
 
 
 def shingle_tokens(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, dict]:
