@@ -299,6 +299,7 @@ def _expand(length: int):
                     late.append(me[1:4])
         # a text that is the only one with its anchor has no window in common with another
         rest = [(t, m) for t, m in first.items() if per_key[m[4]] > 1]
+        first.clear()
         for lo, hi in _lots(rest, per_key):
             part = rest[lo:hi]
             ids, rows, starts = (np.array([m[j] for _, m in part], np.int64) for j in range(3))
@@ -310,7 +311,7 @@ def _expand(length: int):
     return run
 
 
-def _lots(rest: list, per_key: dict, most: int = 1 << 20):
+def _lots(rest: list, per_key: dict, most: int = 256 << 10):
     """Sorts by anchor and cuts between anchors, into lots of about `most` bytes."""
     rest.sort(key=lambda x: x[1][4])
     lo = size = 0
@@ -381,7 +382,8 @@ def remove_repeats(
     reps = live.groupBy("sha", "n_bytes").agg(earliest.alias("e")).select(F.col("e.row").alias("row"))
     marked = materialise(live.join(reps.withColumn("rep", F.lit(True)), "row", "left").select("row", "anchors", "rep"), "repeats-marked")
     texts = materialise(docs.join(marked.where("rep").select("row", "anchors"), "row"), "repeats-texts")
-    strings = texts.mapInArrow(_cut_strings(length, anchor, n_ranges(n)), _STRINGS)
+    # strings are several times the text they come from
+    strings = texts.mapInArrow(_cut_strings(length, anchor, n_ranges(4 * n)), _STRINGS)
     late = materialise(strings.groupBy("range").applyInArrow(_expand(length), "row long, start long, windows long"), "repeats-late")
     cut = (
         texts.select("row", "text")
