@@ -174,6 +174,59 @@ def nearest_from_sources(edges: DataFrame, sources: DataFrame, weight: str = "tr
     return shortest_paths(edges, sources, weight, None, limit)
 
 
+#: Edges up to which a task searches the network in memory (larger ones go by rounds), and facilities of a task, about.
+SEARCH_EDGES, SEARCH_BATCH = 1_000_000, 16
+
+
+def searched_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(facility_id, node, seconds, distance_m) of both weights, by Dijkstra's search from each facility.
+
+    The network goes to each batch of facilities once; sums are those of
+    shortest_paths, term by term.
+    """
+    n = max(1, sources.count() // SEARCH_BATCH)
+    dealt = cut(sources.select("facility_id", "node", F.pmod(F.xxhash64("facility_id"), F.lit(n)).alias("batch")), "sources")
+    sent = edges.crossJoin(dealt.select(F.col("batch").alias("to")).distinct())
+
+    def search(network: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        from heapq import heappop, heappush
+
+        import numpy as np
+
+        ids = np.unique(np.concatenate([network["u"], network["v"], own["node"]]).astype(np.int64))
+        u, v = (np.searchsorted(ids, network[c]).tolist() for c in ("u", "v"))
+        own = own.assign(at=np.searchsorted(ids, own["node"])).groupby("facility_id")["at"].apply(list)
+        found = {}
+        for weight in ("travel_time", "length"):
+            near = [[] for _ in ids]
+            for a, b, w in zip(u, v, network[weight].tolist(), strict=True):
+                near[a].append((b, w))
+            found[weight] = []
+            for starts in own:
+                dist = [float("inf")] * len(ids)
+                heap = [(0.0, s) for s in sorted(set(starts))]
+                for _, s in heap:
+                    dist[s] = 0.0
+                while heap:
+                    d, a = heappop(heap)
+                    if d > dist[a]:
+                        continue
+                    for b, w in near[a]:
+                        if d + w < dist[b]:
+                            dist[b] = d + w
+                            heappush(heap, (d + w, b))
+                found[weight].append(np.array(dist))
+        out = [
+            pd.DataFrame({"facility_id": f, "node": ids[ok], "seconds": s[ok], "distance_m": m[ok]})
+            for f, s, m in zip(own.index, found["travel_time"], found["length"], strict=True)
+            for ok in [np.isfinite(s)]
+        ]
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("facility_id", "node", "seconds", "distance_m")})
+
+    schema = f"facility_id {dict(sources.dtypes)['facility_id']}, node long, seconds double, distance_m double"
+    return sent.groupBy("to").cogroup(dealt.groupBy("batch")).applyInPandas(search, schema)
+
+
 def travel_matrix(edges: DataFrame, origins: DataFrame, facilities: DataFrame, limit_s: float | None = None) -> DataFrame:
     """origins (demand_id, node), facilities (facility_id, node, facility_is_resolutive): one row per pair.
 
@@ -182,13 +235,19 @@ def travel_matrix(edges: DataFrame, origins: DataFrame, facilities: DataFrame, l
     pairs with origins without a node only.
     """
     sources = facilities.where("node is not null").select("facility_id", "node")
-    fast = shortest_paths(edges, sources, "travel_time", "facility_id", limit_s).withColumnRenamed("dist", "seconds")
-    short = shortest_paths(edges, sources, "length", "facility_id").withColumnRenamed("dist", "distance_m")
+    least = cut(edges.groupBy("u", "v").agg(F.min("travel_time").alias("travel_time"), F.min("length").alias("length")), "edges")
+    if least.count() <= SEARCH_EDGES:
+        paths = searched_paths(least, sources)
+        paths = paths if limit_s is None else paths.where(F.col("seconds") <= limit_s)
+    else:
+        fast = shortest_paths(least, sources, "travel_time", "facility_id", limit_s).withColumnRenamed("dist", "seconds")
+        short = shortest_paths(least, sources, "length", "facility_id").withColumnRenamed("dist", "distance_m")
+        paths = fast.join(short, ["facility_id", "node"])
     # the result is a row per pair; facilities of a network are few and Spark decides how to pair them
     pairs = origins.join(facilities.select("facility_id", F.col("node").alias("f_node"), "facility_is_resolutive"), F.col("node").isNull() | F.col("f_node").isNotNull())
-    out = pairs.join(fast, ["facility_id", "node"], "left").join(short, ["facility_id", "node"], "left")
+    out = pairs.join(paths, ["facility_id", "node"], "left")
     routable = F.col("seconds").isNotNull()
-    return out.select("demand_id", "facility_id", (F.col("seconds") / 60).alias("duration_min"), F.when(routable, F.col("distance_m")).alias("distance_m"), routable.alias("routable"), "facility_is_resolutive")
+    return out.select("demand_id", "facility_id", (F.col("seconds") / 60).alias("duration_min"), "distance_m", routable.alias("routable"), "facility_is_resolutive")
 
 
 def nearest_by_profile(edges: DataFrame, snapped: DataFrame, sources: DataFrame) -> DataFrame:

@@ -386,7 +386,7 @@ def _network(s, d, profile="car"):
 @query
 def travel_matrix(s, d):
     _, e, fac, origins = _network(s, d)
-    return rounded(N.travel_matrix(e, origins, fac.where(F.col("facility_id") % 20 == 0), 600.0), duration_min=6, distance_m=3)
+    return rounded(N.travel_matrix(e, origins, fac), duration_min=6, distance_m=3)
 
 
 @query
