@@ -1,11 +1,14 @@
 """Column functions and geometry."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waymetric.functions import scalars as S
 from waymetric.functions.geometry import line_meets, utm_arrays, utm_project, within
+from waymetric.plans import queries as Q
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +48,22 @@ def test_names(one):
     assert one(S.name_key, ["San Martín", "Lambayeque"]) == ["SanMartin", "Lambayeque"]
 
 
+def test_registered_names_read_whole_texts(spark, tmp_path):
+    """Texts far longer than a line, against plain Python."""
+    texts = ["San Martín-de  Porres!\n" * 300 + "EL Último, ß y 7", "de la UNIÓN\t" + "x" * 5000 + " del Señor", "corto", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda f: {r[0]: tuple(r[1:]) for r in f(spark, str(tmp_path)).collect()}
+    plain = lambda t: t.translate(str.maketrans(S.ACCENTED, S.PLAIN))
+    names = [t if t is None else " ".join(re.sub("[^A-Z0-9 ]", " ", plain(t).upper()).split()) for t in texts]
+    keys = [t if t is None else "".join(w.capitalize() for w in re.findall("[A-Za-z]+", plain(t))) for t in texts]
+    words = lambda t: re.sub(r"\s+", " ", t).upper().lower().split(" ")
+    small = {"y", "de", "del", "la", "las", "los"}
+    titles = [(t, t) if t is None else (" ".join(w if w in small | {"el"} else w.capitalize() for w in words(t)), " ".join(w if i and w in small else w.capitalize() for i, w in enumerate(words(t)))) for t in texts]
+    assert run(Q.normalize_name) == {i: (x,) for i, x in enumerate(names)} and len(names[0]) > 6000
+    assert run(Q.name_key) == {i: (x,) for i, x in enumerate(keys)} and len(keys[0]) > 5000
+    assert run(Q.title_es) == dict(enumerate(titles)) and len(titles[1][0]) > 5000
+
+
 def test_haversine(spark):
     row = spark.range(1).select(S.haversine_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)), S.haversine_m(F.lit(5.0), F.lit(7.0), F.lit(5.0), F.lit(7.0))).first()
     assert row[0] == pytest.approx(111194.93, abs=0.01) and row[1] == 0

@@ -174,18 +174,18 @@ def utm_projection(s, d):
 
 @query
 def normalize_name(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.normalize_name(F.substring("text", 1, 80)).alias("name"))
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.normalize_name(F.col("text")).alias("name"))
 
 
 @query
 def title_es(s, d):
-    text = F.upper(F.regexp_replace(F.substring("text", 1, 80), r"\s+", " "))
+    text = F.upper(F.regexp_replace("text", r"\s+", " "))
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.title_es(text).alias("title"), S.title_es(text, True).alias("census_title"))
 
 
 @query
 def name_key(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.name_key(F.substring("text", 1, 80)).alias("key"))
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.name_key(F.col("text")).alias("key"))
 
 
 @query
