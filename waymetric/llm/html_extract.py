@@ -1,108 +1,151 @@
 """Operator 7: main text of web pages by a minimum cut over their blocks.
 
-A page becomes a row of text blocks.  A linear classifier over markup and text
-features gives each block a score, which is the capacity of its edge to the
-content or the boilerplate terminal; neighbouring blocks and blocks with the same
-parent are tied by smoothness edges.  The minimum cut separates the two.  Pages
-are independent, so that this runs inside the tasks of one scan.
+A page becomes a row of text blocks.  A linear classifier over text density, links,
+sentence marks, position and class names gives each block log odds, which are the
+capacity of its edge to the content or the boilerplate terminal; neighbouring
+blocks and blocks of one parent are tied by smoothness edges on the same scale, so
+that a short paragraph goes with those around it.  The minimum cut separates the
+two.  The classifier starts from stated weights and is fitted on a bounded sample of
+the table, whose labels are the pages' own article elements.  Pages are independent,
+so that extraction runs inside the tasks of one scan.
 """
 
 from __future__ import annotations
 
 import html as html_entities
 import re
-from collections import deque
+from collections import Counter, deque
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of HTML: elements without content, with raw text, and inline ones.
+# Fixed values of HTML: elements without content, with raw or undisplayed text, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select".split())
+RAW = frozenset("script style noscript template iframe textarea title object canvas select".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
-) | {"br", "wbr", "img"}
-#: A start tag that ends an open element of these names.
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " math mi mn mo mrow msup msub mfrac msqrt mtext semantics annotation svg g text tspan".split()
+) | {"br", "wbr", "img"}
+#: A start tag that ends an open element of these names; every block start ends a paragraph.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
 }
 #: Elements that an implied end does not reach beyond.
 SCOPES = frozenset("ul ol dl table td th button article section div main aside nav header footer form body html".split())
 
-# Parts of class names, ids and roles that tell boilerplate.
+# Parts of class names, ids and roles that tell boilerplate, and parts that make a name say something else.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay"
-    " newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget widgets related recommended recommendations share sharing social footer"
+    " newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended recommendations share sharing social footer"
     " masthead topbar toolbar comment comments commentlist disqus reply replies respond pagination pager tagcloud skip copyright legal disclaimer login search complementary contentinfo dialog".split()
 )
+NEUTRAL_WORDS = frozenset("no non not has with without by layout wrap wrapper content main article page".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside dialog menu".split())
-WEAK_TAGS = frozenset("form fieldset button header".split())
+FORM_TAGS = frozenset("form fieldset button".split())
 CONTENT_TAGS = frozenset("article main".split())
+PARAGRAPHS = frozenset("p pre blockquote li dt dd td th figcaption h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-# Weights of the classifier, in log odds for content.
-BIAS, IN_CONTENT, IN_BOILERPLATE, OUTSIDE, PER_LOG_WORD, LINKED, SENTENCE, HEADING = -1.5, 4.0, -8.0, -2.0, 0.6, -4.0, 0.8, 0.5
-# Smoothness: between neighbours, by their distance in the tree, and between blocks of one parent.
-NEIGHBOUR, SIBLING = 1.0, 0.5
+FEATURES = ("bias", "log_words", "link_share", "sentence", "heading", "list_item", "page_edge", "density", "flagged")
+#: Log odds of the classifier before it sees labels; the fit is drawn towards them.
+PRIOR = (-1.5, 0.6, -4.0, 0.8, 1.0, -1.0, -0.5, 1.0, -5.0)
+#: The fit: pages at most, their length at most, the weight of all their blocks together and of the prior.
+FIT_PAGES, FIT_PAGE_CHARS, FIT_ROWS, FIT_PRIOR = 256, 65536, 400.0, 1.0
+#: Bound of the classifier's log odds, and what the page's own markup adds.
+MOST = 4.0
+MARKUP = {"content": 1.0, "outside": -1.5, "flagged": -1.5, "boilerplate": -6.0, "plain": 0.0}
+# Smoothness: between neighbours, over their distance in the tree, and between blocks of one parent.
+NEIGHBOUR, SIBLING, ACROSS = 2.0, 1.0, 0.25
 #: Capacities are whole numbers of this fraction.
 SCALE = 1000
 
 _TOKEN = re.compile(r"""<!--|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<""")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _kind(tag: str, attrs: str, above: str) -> str:
-    """What an element makes of its text: content, boilerplate, weak (until an article or main element) or plain."""
-    if above == "boilerplate" or tag in BOILERPLATE_TAGS:
-        return "boilerplate"
-    if tag in CONTENT_TAGS:
-        return "content"
-    words = set()
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters inside links
+    source: int  # characters of the page that it takes
+    place: str  # what the elements around it say: content, boilerplate or plain
+    flag: list  # [True] while its flagged container is no mere wrapper
+    tag: str
+    parent: int
+    depth: int
+
+
+_PLAIN = [False]
+
+
+def tells_boilerplate(name: str) -> bool:
+    """Whether a class, id or role names boilerplate: any of its parts does, and none makes it a layout or a negation."""
+    parts = {p.lower() for p in _PART.findall(name)}
+    return bool(parts & BOILERPLATE_WORDS) and not parts & NEUTRAL_WORDS
+
+
+def _reads(tag: str, attrs: str, above: str) -> tuple[str, bool]:
+    """Place of an element's text, and whether the element is flagged."""
+    if above == "boilerplate" or tag in BOILERPLATE_TAGS or (tag == "header" and above != "content"):
+        return "boilerplate", False
+    flagged = tag in FORM_TAGS
     if attrs and tag not in ("html", "body"):
         for name, value in _ATTR.findall(attrs):
-            name = name.lower()
-            if name == "hidden" or (name == "aria-hidden" and "true" in value) or (name == "style" and _HIDDEN.search(value)):
-                return "boilerplate"
+            name, value = name.lower(), value.strip("\"'")
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
+                return "boilerplate", False
             if name in ("class", "id", "role"):
-                words.update(w.lower() for w in _WORD.findall(value))
-    if tag == "header":
-        return above if above == "content" else "weak"
-    if tag in WEAK_TAGS or words & BOILERPLATE_WORDS:
-        return "boilerplate" if above == "content" else "weak"
-    return above
-
-
-def blocks(page: str) -> list[tuple[str, int, str, str, int, int]]:
-    """(text, linked characters, kind, tag, parent, depth) of each block in page order."""
-    out: list[tuple[str, int, str, str, int, int]] = []
-    stack: list[tuple[str, str, int]] = [("", "plain", 0)]  # tag, kind, number
+                flagged = flagged or any(tells_boilerplate(v) for v in value.split())
+    return ("content" if tag in CONTENT_TAGS and not flagged else above), flagged
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in its order."""
+    out: list[Block] = []
+    stack: list[tuple[str, str, list, int]] = [("", "plain", _PLAIN, 0)]  # tag, place, flag, number
+    holders = [stack[0]]  # the open elements that are not inline
+    newest = 0
+    open_tags: Counter = Counter()
+    scopes: list[Counter] = [Counter()]  # open elements within each scope
+    raised: list[list] = []  # flags of open elements
     text: list[str] = []
-    linked = links = number = pos = 0
+    linked = number = pos = begin = 0
     end = len(page)
 
-    def close() -> None:
-        nonlocal linked
+    def close(upto: int, leaf: bool = False) -> None:
+        nonlocal linked, begin
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                top = next(e for e in reversed(stack) if e[0] not in INLINE)
-                out.append((whole, min(linked, len(whole)), stack[-1][1], top[0], top[2], len(stack)))
+                tag, _, _, own = holders[-1]
+                # a paragraph's parent is what holds it, that of text between other blocks is its element
+                parent = holders[-2][3] if len(holders) > 1 and (tag in PARAGRAPHS or (leaf and own == newest)) else own
+                out.append(Block(whole, min(linked, len(whole)), max(upto - begin, len(whole)), stack[-1][1], stack[-1][2], tag, parent, len(scopes)))
             text.clear()
-        linked = 0
+        linked, begin = 0, upto
 
     def say(raw: str) -> None:
         nonlocal linked
         if raw:
             t = html_entities.unescape(raw) if "&" in raw else raw
             text.append(t)
-            if links:
+            if open_tags["a"]:
                 linked += len(t.strip())
 
     def pop(to: int) -> None:
-        nonlocal links
         while len(stack) > to:
-            links -= stack.pop()[0] == "a"
+            tag, _, flag, own = stack.pop()
+            if own == holders[-1][3]:
+                holders.pop()
+            open_tags[tag] -= 1
+            if tag in SCOPES:
+                scopes.pop()
+            scopes[-1][tag] -= 1
+            if raised and raised[-1] is flag and stack[-1][2] is not flag:
+                raised.pop()
 
     while pos < end:
         m = _TOKEN.search(page, pos)
@@ -110,7 +153,7 @@ def blocks(page: str) -> list[tuple[str, int, str, str, int, int]]:
             say(page[pos:])
             break
         say(page[pos : m.start()])
-        pos = m.end()
+        before, pos = m.start(), m.end()
         tag = m[2]
         if tag is None:
             if m[0] == "<!--":
@@ -126,24 +169,25 @@ def blocks(page: str) -> list[tuple[str, int, str, str, int, int]]:
         tag = tag.lower()
         inline = tag in INLINE
         if m[1]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if not inline:
-                close()
-            if at:
+                close(before, True)
+            if open_tags[tag] > 0:
+                at = len(stack) - 1
+                while stack[at][0] != tag:
+                    at -= 1
                 pop(at)
             continue
         if not inline:
-            close()
-            over = ENDS.get(tag)
+            close(before)
             if tag not in VOID or tag == "hr":
-                i = len(stack) - 1
-                while i > 0:
-                    name = stack[i][0]
-                    if name == "p" or (over and name in over):
-                        pop(i)
-                    elif name in SCOPES:
-                        break
-                    i -= 1
+                for name in ("p", *ENDS.get(tag, ())):
+                    if scopes[-1][name] > 0 and not (name == tag and tag in SCOPES):
+                        at = len(stack) - 1
+                        while stack[at][0] != name:
+                            at -= 1
+                        pop(at)
+                if tag in ("td", "th", "tr") and any(stack[-1][0] == n for n in ENDS[tag]):
+                    pop(len(stack) - 1)
         elif tag == "br":
             text.append(" ")
         if tag in VOID:
@@ -153,37 +197,100 @@ def blocks(page: str) -> list[tuple[str, int, str, str, int, int]]:
             pos = m.end() if m else end
             continue
         number += 1
-        stack.append((tag, _kind(tag, m[3], stack[-1][1]), number))
-        links += tag == "a"
-    close()
+        place, flagged = _reads(tag, m[3], stack[-1][1])
+        flag = stack[-1][2]
+        if flagged:
+            flag = [True]
+            raised.append(flag)
+        elif place != "boilerplate" and (tag == "h1" or tag in CONTENT_TAGS) and raised:
+            for f in raised:  # what holds the page's heading or article is a wrapper
+                f[0] = False
+            raised.clear()
+        stack.append((tag, place, flag, number))
+        if not inline:
+            holders.append(stack[-1])
+            newest = number
+        open_tags[tag] += 1
+        scopes[-1][tag] += 1
+        if tag in SCOPES:
+            scopes.append(Counter())
+    close(end)
     return out
 
 
-def scores(found: list[tuple[str, int, str, str, int, int]]) -> list[float]:
-    """Log odds of each block for content."""
-    framed = any(b[2] == "content" for b in found)
-    out = []
-    for text, linked, kind, tag, _, _ in found:
-        words = text.count(" ") + 1
-        s = BIAS + PER_LOG_WORD * min(words, 60).bit_length() + LINKED * linked / len(text)
-        s += SENTENCE * (text[-1] in ".!?\"'”»…:") + HEADING * (tag in ("h1", "h2", "h3"))
-        s += {"content": IN_CONTENT, "boilerplate": IN_BOILERPLATE, "weak": IN_BOILERPLATE, "plain": OUTSIDE * framed}[kind]
-        out.append(s)
-    return out
+def places(found: list[Block]) -> list[str]:
+    """What the markup says of each block: content, outside (of the page's article), flagged, boilerplate or plain."""
+    framed = any(b.place == "content" and not b.flag[0] for b in found)
+    return ["boilerplate" if b.place == "boilerplate" else "flagged" if b.flag[0] else "content" if b.place == "content" else "outside" if framed else "plain" for b in found]
+
+
+def features(found: list[Block]) -> np.ndarray:
+    n = len(found)
+    rows = []
+    for i, b in enumerate(found):
+        words = b.text.count(" ") + 1
+        rows.append(
+            (
+                1.0, min(words, 60).bit_length(), b.linked / len(b.text), b.text[-1] in ".!?\"'”»…:", b.tag in HEADINGS, b.tag in ("li", "dt", "dd"), abs(2 * (i + 0.5) / n - 1),
+                len(b.text) / b.source, b.flag[0],
+            )
+        )
+    return np.array(rows, float).reshape(n, len(FEATURES))
+
+
+def scores(found: list[Block], weights=PRIOR) -> np.ndarray:
+    """Log odds of each block for content: the classifier's within its bound, and the markup's."""
+    return np.clip(features(found) @ np.asarray(weights), -MOST, MOST) + np.array([MARKUP[p] for p in places(found)])
+
+
+def labelled(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels (1 for content) of the blocks that a page with an article or main element labels itself."""
+    found = blocks(page)
+    kind = places(found)
+    if "content" not in kind:
+        return np.zeros((0, len(FEATURES))), np.zeros(0)
+    # a flagged block within the article may be anything
+    use = [i for i, b in enumerate(found) if kind[i] != "flagged" or b.place != "content"]
+    return features(found)[use], np.array([float(kind[i] == "content") for i in use])
 
 
-def smoothness(found: list[tuple[str, int, str, str, int, int]]) -> list[tuple[int, int, int]]:
+def fit(pages: list[str]) -> list[float]:
+    """Weights of most posterior probability under the stated ones; the stated ones without labels.
+
+    All blocks together weigh FIT_ROWS at most, so that the scale of the scores does
+    not grow with the sample.
+    """
+    parts = [labelled(p) for p in pages]
+    x, y = np.concatenate([np.zeros((0, len(FEATURES))), *(p[0] for p in parts)]), np.concatenate([np.zeros(0), *(p[1] for p in parts)])
+    w = prior = np.array(PRIOR)
+    if len(y):
+        each = min(1.0, FIT_ROWS / len(y))
+        for _ in range(30):  # Newton's steps, halved where they overshoot
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = each * (x.T @ (y - p)) - FIT_PRIOR * (w - prior)
+            step = np.linalg.solve(each * (x.T * (p * (1 - p))) @ x + FIT_PRIOR * np.eye(len(w)), slope)
+            w = w + step / max(1.0, float(np.abs(step).max()))
+    return np.round(w, 4).tolist()
+
+
+def fitted_weights(df: DataFrame, html_col: str = "html", most_pages: int = FIT_PAGES) -> list[float]:
+    """The classifier fitted on at most most_pages pages of at most FIT_PAGE_CHARS characters, those with the least hashes."""
+    html = F.col(html_col)
+    sample = df.where((F.length(html) <= FIT_PAGE_CHARS) & html.rlike("(?i)<(article|main)[ >]")).select(html.alias("html"))
+    return fit([r.html for r in sample.orderBy(F.xxhash64("html"), "html").limit(most_pages).collect()])
+
+
+def smoothness(found: list[Block]) -> list[tuple[int, int, int]]:
     """Edges (block, block, capacity) between neighbours and between blocks of one parent."""
-    edges, last = [], {}
+    edges, last, kind = [], {}, places(found)
     for i, b in enumerate(found):
         if i:
             a = found[i - 1]
-            far = 0 if a[4] == b[4] else 1 + abs(a[5] - b[5])
-            same = a[2] == b[2]
-            edges.append((i - 1, i, int(SCALE * NEIGHBOUR * (1.0 if same else 0.25) / (1 + far))))
-        if b[4] in last and last[b[4]] != i - 1:
-            edges.append((last[b[4]], i, int(SCALE * SIBLING)))
-        last[b[4]] = i
+            far = 0 if a.parent == b.parent else 1 + abs(a.depth - b.depth)
+            edges.append((i - 1, i, int(SCALE * NEIGHBOUR * (1.0 if kind[i - 1] == kind[i] else ACROSS) / (1 + far))))
+        if b.parent in last and last[b.parent] != i - 1:
+            edges.append((last[b.parent], i, int(SCALE * SIBLING)))
+        last[b.parent] = i
     return [e for e in edges if e[2] > 0]
 
 
@@ -193,8 +300,10 @@ def minimum_cut(capacity: list[int], edges: list[tuple[int, int, int]]) -> list[
     capacity: above 0 from the content terminal, below 0 to the boilerplate one.
     Blocks whose terminal capacity is at least that of all their free edges have the
     same label in some minimum cut whatever the others are, so that they are settled
-    first and pull their neighbours; augmenting paths decide the rest.  Ties go to
-    the boilerplate side.
+    first and pull their neighbours; what a block with one neighbour has to send goes
+    through that.  The rest falls into connected parts, in each of which a flow of
+    shortest augmenting paths, level by level, decides.  Ties go to the boilerplate
+    side.
     """
     n = len(capacity)
     cap, near = list(capacity), [{} for _ in range(n)]
@@ -202,73 +311,118 @@ def minimum_cut(capacity: list[int], edges: list[tuple[int, int, int]]) -> list[
         near[a][b] = near[a].get(b, 0) + c
         near[b][a] = near[b].get(a, 0) + c
     label: list[bool | None] = [None] * n
+    gone: dict[int, int] = {}  # blocks that take their only neighbour's label
     todo = deque(range(n))
     while todo:
         i = todo.popleft()
-        if label[i] is None and abs(cap[i]) >= sum(near[i].values()):
+        if label[i] is not None or i in gone:
+            continue
+        if abs(cap[i]) >= sum(near[i].values()):
             label[i] = cap[i] > 0
             for j, c in near[i].items():
                 cap[j] += c if label[i] else -c
                 del near[j][i]
                 todo.append(j)
             near[i] = {}
-    free = [i for i in range(n) if label[i] is None]
-    if not free:
-        return [bool(x) for x in label]
-    s, t = n, n + 1
-    flow: dict[int, dict[int, int]] = {i: dict(near[i]) for i in free} | {s: {}, t: {}}
-    for i in free:
-        if cap[i] > 0:
-            flow[s][i], flow[i][s] = cap[i], 0
-        elif cap[i] < 0:
-            flow[i][t], flow[t][i] = -cap[i], 0
+        elif len(near[i]) == 1:  # its flow can only go through its neighbour, whose label it takes
+            (j,) = near[i]
+            cap[j] += cap[i]
+            del near[j][i]
+            near[i] = {}
+            gone[i] = j
+            todo.append(j)
+    for start in range(n):
+        if label[start] is not None or start in gone:
+            continue
+        part, seen = [start], {start}
+        for i in part:
+            more = [j for j in near[i] if j not in seen]
+            seen.update(more)
+            part += more
+        content = _flow_side(part, cap, near)
+        for i in part:
+            label[i] = i in content
+    for i, j in reversed(gone.items()):
+        label[i] = label[j]
+    return [bool(x) for x in label]
+
+
+def _flow_side(part: list[int], cap: list[int], near: list[dict[int, int]]) -> set[int]:
+    """The blocks of a connected part that a greatest flow leaves within reach of the content terminal."""
+    left = {i: dict(near[i]) for i in part}
+    give, take = {i: max(cap[i], 0) for i in part}, {i: max(-cap[i], 0) for i in part}
     while True:
-        came, todo = {s: s}, deque([s])
-        while todo and t not in came:
+        level = {i: 0 for i in part if give[i] > 0}
+        todo, done = deque(level), False
+        while todo:
             u = todo.popleft()
-            for v, c in flow[u].items():
-                if c > 0 and v not in came:
-                    came[v] = u
+            done = done or take[u] > 0
+            for v, c in left[u].items():
+                if c > 0 and v not in level:
+                    level[v] = level[u] + 1
                     todo.append(v)
-        if t not in came:
-            return [i in came if label[i] is None else bool(label[i]) for i in range(n)]
-        path, v = [], t
-        while v != s:
-            path.append((came[v], v))
-            v = came[v]
-        most = min(flow[u][v] for u, v in path)
-        for u, v in path:
-            flow[u][v] -= most
-            flow[v][u] = flow[v].get(u, 0) + most
-
-
-def main_text(page: str) -> str:
-    """The main text of one page, blocks joined by newlines; empty if there is none."""
+        if not done:
+            return set(level)
+        ways = {u: iter([v for v in left[u] if level.get(v) == level[u] + 1]) for u in level}
+        for s in [i for i in part if give[i] > 0]:
+            path = [s]
+            while path and give[s] > 0:
+                u = path[-1]
+                if take[u] > 0:
+                    most = min(give[s], take[u], *(left[a][b] for a, b in zip(path[:-1], path[1:], strict=True)))
+                    give[s] -= most
+                    take[u] -= most
+                    for a, b in zip(path[:-1], path[1:], strict=True):
+                        left[a][b] -= most
+                        left[b][a] += most
+                    at = next((k for k in range(len(path) - 1) if left[path[k]][path[k + 1]] == 0), len(path) - 1)
+                    path = path[: at + 1]
+                    continue
+                v = next((w for w in ways[u] if left[u][w] > 0), None)
+                if v is None:
+                    path.pop()
+                else:
+                    path.append(v)
+
+
+def main_blocks(page: str, weights=PRIOR) -> tuple[list[Block], np.ndarray, list[bool]]:
+    """All blocks, their scores, and whether the cut puts them on the content side."""
     found = blocks(page)
-    if not found:
-        return ""
-    keep = minimum_cut([int(SCALE * s) for s in scores(found)], smoothness(found))
-    return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    s = scores(found, weights)
+    return found, s, minimum_cut((SCALE * s).astype(int).tolist(), smoothness(found)) if found else []
+
+
+def main_text(page: str, weights=PRIOR) -> str:
+    """The main text of one page, blocks joined by newlines; empty if there is none."""
+    found, _, keep = main_blocks(page, weights)
+    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+
 
+def _extract(weights):
+    def run(batches):
+        import pyarrow as pa
 
-def _extract(batches):
-    import pyarrow as pa
+        for batch in batches:
+            texts = [main_text(p.as_py() or "", weights) for p in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    for batch in batches:
-        texts = [main_text(p or "") for p in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
+    return run
 
 
-def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: list[float] | None = None) -> DataFrame:
     """One row per input row: id_col, url_col, text, n_chars (code points).
 
     Null and empty pages, and pages without main text, have an empty text.  Markup
     may be broken in any way: open elements, comments and quotes end with the page.
-    Ids and URLs pass through, null or repeated; other columns are ignored.  A page
-    takes time in proportion to its length, but for the paths of the cut, which only
-    blocks that neither classifier nor neighbours settle take part in.
+    Formulas and drawn text inside the article belong to it; what a page shows only
+    without scripts, and form controls, do not.  Ids and URLs pass through, null or
+    repeated; other columns are ignored.  Without weights the classifier is fitted on
+    a sample of df, which reads the table once more (see fitted_weights); equal
+    tables give equal weights.  A page takes time in proportion to its length, but
+    for the flow among blocks that neither classifier nor neighbours settle.
     """
+    weights = fitted_weights(df, html_col) if weights is None else weights
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return src.mapInArrow(_extract, "id long, url string, text string").select(
+    return src.mapInArrow(_extract(weights), "id long, url string, text string").select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars")
     )
