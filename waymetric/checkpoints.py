@@ -6,7 +6,10 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Tables written and not yet deleted.
+_live: set[str] = set()
 
 
 @functools.cache
@@ -14,20 +17,41 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Where that is unset, a folder of this run if all tasks run on this machine; an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
+    return base.rstrip("/")
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read back; a folder of this machine where it is unset."""
+    """df written to the shared folder and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut = path
+    _live.add(path)
     return out
 
 
 def drop(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing reads any more; others are left alone."""
     for t in tables:
         if path := getattr(t, "_cut", None):
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(t.sparkSession, path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Deletes every table of cut() that is left: for a job's end, when no result that reads them is needed any more."""
+    for path in list(_live):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _live.discard(path)
