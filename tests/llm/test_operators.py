@@ -155,14 +155,37 @@ def test_exact_dedup_repeated_rows_keep_one(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in rows) == [(1, 5, 3), (5, 5, 1), (5, 5, 3), (5, 5, 3)] and sum(r.kept for r in rows) == 2
 
 
+def bucket_of(key, rows):
+    cell = key & (2**64 - 1)
+    return [(r.depth, r.prefix) for r in rows if (cell >> (64 - r.depth) if r.depth else 0) == r.prefix & (2**64 - 1)]
+
+
 def test_directory_covers_every_key_once(spark):
     keys = spark.range(500).select(F.xxhash64("id").alias("key"))
-    directory, deepest = build_directory(keys, 16)
-    rows = directory.collect()
+    rows = build_directory(keys, 16).collect()
     assert all(r.entries <= 16 for r in rows) and sum(r.entries for r in rows) == 500
-    for (key,) in keys.collect():
-        cell = (key & (2**64 - 1)) >> (64 - deepest)
-        assert sum(cell >> (deepest - r.depth) == r.prefix for r in rows) == 1
+    assert len({r.depth for r in rows}) > 1  # some buckets have split
+    assert all(len(bucket_of(key, rows)) == 1 for (key,) in keys.collect())
+
+
+def test_directory_doubles_below_equal_prefixes_and_chains_equal_keys(spark):
+    # keys that differ in their last bits only, negative ones, and one key many times over
+    values = [*range(40), *(-k for k in range(1, 40)), *[7 << 40] * 50, -(2**63), 2**63 - 1]
+    rows = build_directory(spark.createDataFrame([(v,) for v in values], "key long"), 4).collect()
+    assert sum(r.entries for r in rows) == len(values) and max(r.depth for r in rows) >= 62
+    assert all(r.entries <= 4 or r.low == r.high for r in rows)
+    assert all(len(bucket_of(v, rows)) == 1 for v in values)
+    assert build_directory(spark.createDataFrame([], "key long"), 4).count() == 0
+
+
+def test_exact_dedup_answers_come_from_the_index(spark, monkeypatch):
+    from waymetric.llm import exact_dedup as E
+
+    # a directory that has lost a bucket loses that bucket's rows
+    whole = E.build_directory
+    monkeypatch.setattr(E, "build_directory", lambda e, n: whole(e, n).where("prefix <> 0"))
+    texts = [f"text number {i // 2}" for i in range(400)]
+    assert 0 < E.dedup_exact(frame(spark, texts), bucket_entries=16).count() < 400
 
 
 # -- 4 ---------------------------------------------------------------------------------------------------------------

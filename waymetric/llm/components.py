@@ -1,36 +1,13 @@
-"""Connected components of an edge table, by rounds of joins."""
+"""Connected components of an edge table: the library's rounds of joins, under the operators' column names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from ..operators import network
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge; component is its least node.
-
-    Alternating large-star and small-star rounds: each links the neighbours of a
-    node to the least of them, until nothing changes, in about log^2 of the number
-    of nodes.  A node of any degree is only aggregated and joined, never gathered.
-    Rounds are written to the shared folder, which cuts their lineage.
-    """
-    now = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "components")
-    before = None
-    while True:
-        both = now.union(now.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        # large star: greater neighbours go to the least one
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "components")
-        # small star: smaller neighbours, and the node itself, go to the least one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = materialise(small, "components")
-        state = small.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        discard(large, now)
-        now, changed, before = small, state != before, state
-        if not changed:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    """(node, component) for every node of an edge between different nodes; component is its least node.  Null ends are no edges."""
+    return network.connected_components(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))

@@ -1,12 +1,14 @@
 """Operator 3: exact de-duplication by an extendible-hash index on shared files.
 
-Every row gets a 64-bit key.  Equal keys meet in the hash aggregate of an owner
-task, which compares the normalised bytes; the texts move there once, combined
-before the shuffle, so a text with any number of copies sends one row per task.
-The distinct texts then become index entries: a directory over the leading key
-bits doubles its depth wherever a bucket holds too many entries, owner tasks
-write the buckets of their key range to the shared folder, and entries with the
-same key form a chain.  The rows find their entry by key and digest.
+Every row gets a 64-bit key.  An owner task receives the texts of its keys, once
+per scanning task, and compares bytes: equal texts become one index entry, and
+different texts of one key become a chain.  A directory of key prefixes starts at
+the depth that fits the number of entries; a bucket that holds too many splits at
+the next bit in which its keys differ, which doubles the directory where that bit
+lies below its depth, until all buckets fit or hold a single chain.  Owner tasks
+write the buckets of their key range to the shared folder.  Each row then goes from
+the directory to its bucket, to its key's chain there, and to the entry of its
+text; kept, keep_id and group_size are what that entry says.
 """
 
 from __future__ import annotations
@@ -20,8 +22,6 @@ from .common import ascii_lower, discard, materialise
 
 #: Entries that a bucket holds before it splits.
 BUCKET_ENTRIES = 4096
-#: Levels below the even depth down to which buckets may split.
-EXTRA_LEVELS = 4
 
 
 def normalised(text: Column) -> Column:
@@ -29,40 +29,56 @@ def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def build_directory(entries: DataFrame, bucket_entries: int = BUCKET_ENTRIES, extra_levels: int = EXTRA_LEVELS) -> tuple[DataFrame, int]:
-    """The directory (depth, prefix, entries) of an extendible hash over `key`, and the deepest level.
+def prefix_of(key: Column, depth: Column) -> Column:
+    """The leading `depth` bits of a 64-bit key as a number from 0."""
+    shifted = F.call_function("shiftrightunsigned", key, (F.lit(64) - depth).cast("int"))
+    return F.when(depth > 0, shifted).otherwise(F.lit(0).cast("long"))
 
-    A cell is a prefix of the key's bits.  It is a bucket when it holds at most
-    bucket_entries entries (or lies on the deepest level) while the cell above
-    holds more.  Cells with more equal keys than that stay one bucket, whose
-    entries chain.  All levels are counted in one aggregate over the deepest
-    cells, which are at most 2 ** extra_levels times the number of buckets.
-    """
-    n = entries.count()
-    deepest = max(0, math.ceil(math.log2(max(1, n / bucket_entries)))) + extra_levels
-    cells = entries.groupBy(_bits(F.col("key"), deepest).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    levels = (
-        cells.select("n", "cell", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("depth"))
-        .groupBy("depth", _shift("cell", F.lit(deepest) - F.col("depth")).alias("prefix"))
-        .agg(F.sum("n").alias("entries"))
-    )
-    above = levels.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"), F.col("entries").alias("entries_above"))
-    directory = (
-        levels.withColumn("above", _shift("prefix", F.lit(1)))
-        .join(above, ["depth", "above"], "left")
-        .where((F.coalesce("entries_above", F.lit(bucket_entries + 1)) > bucket_entries) & ((F.col("entries") <= bucket_entries) | (F.col("depth") == deepest)))
-        .select("depth", "prefix", "entries")
-    )
-    return directory, deepest
 
+def _buckets(entries: DataFrame) -> DataFrame:
+    """(depth, prefix, entries, low, high) of the buckets that entries (key, depth) fall into."""
+    placed = entries.select("depth", prefix_of(F.col("key"), F.col("depth")).alias("prefix"), "key")
+    return placed.groupBy("depth", "prefix").agg(F.count(F.lit(1)).alias("entries"), F.min("key").alias("low"), F.max("key").alias("high"))
 
-def _bits(key: Column, depth: int) -> Column:
-    """The leading bits of a 64-bit key, as a number from 0."""
-    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
+def build_directory(entries: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    """The directory (depth, prefix, entries, low, high) of an extendible hash over the keys of entries.
 
-def _shift(col: str, by: Column) -> Column:
-    return F.call_function("shiftright", F.col(col), by.cast("int"))
+    It starts with buckets as full as can be on average, so that about half overfill.
+    Each round parts the keys of overfull buckets at the first bit in which the
+    bucket's keys differ and reads those buckets' keys only; a bucket of one key
+    cannot split, its entries chain.
+    """
+    start = max(0, math.ceil(math.log2(max(1, entries.count()) / bucket_entries))) if bucket_entries else 0
+    moving, done, spent = entries.select("key").withColumn("depth", F.lit(start)), [], []
+    while True:
+        counted = materialise(_buckets(moving), "exact-directory")
+        full = (F.col("entries") > bucket_entries) & (F.col("low") != F.col("high"))
+        done.append(counted.where(~full))
+        over = counted.where(full)
+        if over.isEmpty():
+            break
+        # the leading bits that low and high share, and one more
+        shared = F.lit(64) - F.length(F.bin(F.col("low").bitwiseXOR(F.col("high"))))
+        over = over.select(F.col("depth").alias("was"), "prefix", F.greatest(shared + 1, F.col("depth") + 1).cast("int").alias("deeper"))
+        placed = moving.withColumns({"was": F.col("depth"), "prefix": prefix_of(F.col("key"), F.col("depth"))})
+        moving = materialise(placed.join(over, ["was", "prefix"]).select("key", F.col("deeper").alias("depth")), "exact-splitting")
+        spent.append(moving)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    out = materialise(out, "exact-directory")
+    discard(*spent, *done)
+    return out
+
+
+def look_up(rows: DataFrame, directory: DataFrame) -> DataFrame:
+    """rows with the bucket of their key, named by its least key: a probe for each depth in use."""
+    depths = sorted(r[0] for r in directory.select("depth").distinct().collect())  # at most 65 numbers
+    if not depths:
+        return rows.withColumn("bucket", F.lit(0).cast("long"))
+    probes = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths])))
+    return probes.withColumn("prefix", prefix_of(F.col("key"), F.col("depth"))).join(directory.select("depth", "prefix", F.col("low").alias("bucket")), ["depth", "prefix"]).drop("depth", "prefix")
 
 
 def dedup_exact(
@@ -76,8 +92,11 @@ def dedup_exact(
     ids are null, each is marked kept only if it is the first in scan order.  keep_id
     is null only in a group without any id.  Extra columns are ignored.
 
-    with_row adds row, the row's monotonically_increasing_id in df.  `key` replaces the 64-bit hash of `norm` (tests use a weak one, so that keys
-    collide).  Text is shuffled once, one row per distinct text and task.
+    df is read twice and must be a table, so that both scans give rows the same
+    order.  with_row adds row, the row's monotonically_increasing_id in df.  `key`
+    replaces the 64-bit hash of `norm` (tests use a weak one, so that keys collide).
+    Text is shuffled once, one row per distinct text and task; the entries of a chain
+    differ in bytes, and a look-up tells them apart by digest and length.
     """
     rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).select(
         F.struct("id", (-F.monotonically_increasing_id()).alias("turn")).alias("at"), "norm", (F.xxhash64("norm") if key is None else key).alias("key")
@@ -88,21 +107,13 @@ def dedup_exact(
         .select("key", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes"), "keep", "group_size"),
         "exact-entries",
     )
-    directory, deepest = build_directory(entries, bucket_entries)
-    directory = materialise(directory, "exact-directory")
-    depths = [r[0] for r in directory.select("depth").distinct().collect()]  # at most 64
-    placed = (
-        entries.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]).cast("array<int>")))
-        .withColumn("cell", _bits(F.col("key"), deepest))
-        .withColumn("prefix", _shift("cell", F.lit(deepest) - F.col("depth")))
-        .join(directory.select("depth", "prefix"), ["depth", "prefix"])
-        .withColumn("bucket", F.call_function("shiftleft", F.col("prefix"), (F.lit(deepest) - F.col("depth")).cast("int")))
-    )
+    directory = build_directory(entries, bucket_entries)
     # owners: each task has a range of keys, whole buckets at a time
-    owned = placed.repartitionByRange("bucket").sortWithinPartitions("bucket", "key", "sha")
-    index = materialise(owned.select("bucket", "key", "sha", "n_bytes", "keep", "group_size"), "exact-index")
-    discard(entries, directory)
-    found = rows.select("at", "key", F.sha2("norm", 256).alias("sha")).join(index.select("key", "sha", "keep", "group_size"), ["key", "sha"])
+    owned = look_up(entries, directory).repartitionByRange("bucket").sortWithinPartitions("bucket", "key", "sha")
+    index = materialise(owned, "exact-index")
+    discard(entries)
+    probes = look_up(rows.select("at", "key", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes")), directory)
+    found = probes.join(index, ["bucket", "key", "sha", "n_bytes"])
     return found.select(
         F.col("at.id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", F.col("at").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"),
         *([(-F.col("at.turn")).alias("row")] if with_row else []),
