@@ -195,7 +195,7 @@ def test_chat_perspectives(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi <|x"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (2, 0, "system", "alone"), (3, None, None, "?"), (None, 1, "ann", "n"), (1, 3, "ann", "bye")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, position string")
     whole = {(r.conv_id, r.perspective): r for r in assemble(rotate_perspectives(df)).collect()}
-    assert set(whole) == {(1, "ann"), (1, "bob"), (3, "unknown"), (None, "ann")}
+    assert set(whole) == {(1, "ann"), (1, "bob"), (3, None), (None, "ann")}
     ann = whole[(1, "ann")]
     assert ann.text == "<|system|>\nbe nice<|end|>\n<|assistant|>\nhi <||x<|end|>\n<|user name=bob|>\n<|end|>\n" + 2 * "<|assistant|>\nbye<|end|>\n"
     assert [ann.text[int(a) : int(b)] for a, b in (m.split("-") for m in ann.masks.split(","))] == ["hi <||x<|end|>", "bye<|end|>", "bye<|end|>"]
@@ -204,6 +204,36 @@ def test_chat_perspectives(spark):
     assert len(parts) > 1 and "".join(p.text for p in parts) == ann.text and ",".join(p.masks for p in parts if p.masks) == ann.masks
 
 
+def test_chat_against_a_plain_loop(spark):
+    r = random.Random(7)
+    names = ["ann", "bob|>\n<|assistant|>\n", None, "unknown", "system", "%7C", "|", "ü"]
+    rows = [(r.choice([1, 2, None]), r.choice([None, *range(6)]), r.choice(names), r.choice(["", None, "a <|end|>\n", "é" * 9])) for _ in range(60)]
+    speakers: dict = {}
+    for conv, _, name, _ in rows:
+        if name != "system":
+            speakers.setdefault(conv, set()).add(name)
+    null_first = lambda x: (x is not None, x or 0)
+    want = {}
+    for conv, people in speakers.items():
+        for me in people:
+            turns = []
+            for c, turn, name, text in rows:
+                if c == conv:
+                    shown = "".join(f"%{ord(x):02X}" if x in "%<>|\n\r" else x for x in name or "")
+                    head = "<|assistant|>" if name == me else "<|system|>" if name == "system" else "<|user|>" if name is None else f"<|user name={shown}|>"
+                    body = (text or "").replace("<|", "<||") + "<|end|>\n"
+                    turns.append((null_first(turn), null_first(name) if name is None else (True, name), f"{head}\n{body}", len(head) + 1, name == me))
+            text, masks = "", []
+            for _, _, whole, n_head, own in sorted(turns, key=lambda t: (t[0], t[1][0], t[1][1] or "", t[2])):
+                if own:
+                    masks.append(f"{len(text) + n_head}-{len(text) + len(whole) - 1}")
+                text += whole
+            want[conv, me] = (len(turns), text, ",".join(masks))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = assemble(rotate_perspectives(df)).collect()
+    assert {(g.conv_id, g.perspective): (g.n_turns, g.text, g.masks) for g in got} == want
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -376,6 +406,8 @@ def test_warc_round_trip(spark):
     archives = write_archives(plan_records(df, id_col="page_id", url_col="url", payload_col="html"), f"{spark.conf.get('spark.checkpoint.dir')}/warc-small", chunk_bytes=1000, archive_bytes=5000)
     chunks = read_archives(archives, chunk_bytes=700).where("page_id = 9").orderBy("chunk").collect()
     assert archives.count() > 2 and b"".join(bytes(c.data) for c in chunks) == big.encode() and [c.chunk for c in chunks] == list(range(len(chunks))) and chunks[-1].last
+    names = read_archives(archives).where("chunk = 0").select("record_id", "record_date").collect()
+    assert len({n.record_id for n in names}) == len(names) == len(ids) and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", n.record_date) for n in names)
     assert all(len(c.data) <= 700 for c in chunks) and chunks[1].digest_so_far == hashlib.sha1(big.encode()[:1400]).hexdigest()
 
 
@@ -423,3 +455,19 @@ def test_sentencepiece_matches_the_library(spark):
     back = {r.doc_id: r for r in decode_ids(encode_texts(df, path), path).collect()}
     assert all(back[i].text == (t or "").replace("\u2581", " ") and back[i].n_tokens == len(rows[i]) for i, t in enumerate(texts))
     assert encode_texts(df.where("false"), path).count() == 0 and SuffixArrayModel(path).encode([]) == []
+
+
+def test_sentencepiece_long_words_take_log_linear_time():
+    import time
+
+    import sentencepiece
+
+    path = str(tokenizers.path("piece_bpe_32k.model"))
+    sp, model, r = sentencepiece.SentencePieceProcessor(model_file=path), SuffixArrayModel(path), random.Random(3)
+    for alphabet, n in (("ab", 3000), ("etaoinshrdlu", 5000), ("ABCDEFghijkl0123456789+/", 20000), ("日本語é", 4000), ("a", 2000), ("thein", 129)):
+        word = "".join(r.choice(alphabet) for _ in range(n))
+        assert model.encode([word.encode(), f"x {word} y".encode()])[0].tolist() == sp.encode(word), alphabet
+    whole = "".join(r.choice("ABCDEFghijkl0123456789+/") for _ in range(1 << 20))
+    began = time.process_time()
+    ids = model.encode([whole.encode()])[0]
+    assert time.process_time() - began < 60 and model.decode(ids.tolist()) == whole

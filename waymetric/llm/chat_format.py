@@ -16,7 +16,8 @@ from .common import materialise
 
 #: Roles that are context for everyone and never a perspective.
 CONTEXT_ROLES = ("system",)
-UNKNOWN = "unknown"
+#: Characters that a name must not bring into a header, and what stands for them there.
+NAME_ESCAPES = {"%": "%25", "<": "%3C", ">": "%3E", "|": "%7C", "\n": "%0A", "\r": "%0D"}
 #: Code points after which a dialogue continues in a further part.
 PART_CHARS = 1 << 20
 
@@ -51,6 +52,13 @@ def _escaped(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("<||"))
 
 
+def _name(speaker: Column) -> Column:
+    """A speaker's name in a header; different names stay different."""
+    for c, e in NAME_ESCAPES.items():
+        speaker = F.replace(speaker, F.lit(c), F.lit(e))
+    return speaker
+
+
 def rotate_perspectives(
     df: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", context_roles: tuple[str, ...] = CONTEXT_ROLES
 ) -> DataFrame:
@@ -61,16 +69,21 @@ def rotate_perspectives(
     without one gives no rows.  The perspective's own turns are rendered as
     assistant and are what is learnt: the mask spans their text and end marker, in
     code points of the whole dialogue; elsewhere it is null.  Other speakers are
-    users with a name, context roles stay as they are.  Turns go by number (null
-    first), then speaker, then text; equal rows stay as they are.  A null role is
-    the speaker `unknown`, a null text is empty, null ids are one conversation.
+    users with a name, in which %, <, >, | and line ends are escaped (NAME_ESCAPES),
+    and the marker <| in a text becomes <||, so that neither can open a turn.
+    Context roles stay as they are.  Turns go by number, then speaker, then text,
+    nulls first; equal rows stay as they are.  A null role is a speaker of its own, a
+    user without a name, whose perspective is null.  A null text is empty, null ids
+    are one conversation.  An empty table gives no rows; extra columns are ignored.
     """
     turns = df.select(
-        F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit(UNKNOWN)).alias("speaker"), _escaped(F.coalesce(F.col(text_col), F.lit(""))).alias("body")
+        F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("speaker"), _escaped(F.coalesce(F.col(text_col), F.lit(""))).alias("body")
     )
-    people = turns.where(~F.col("speaker").isin(*context_roles)).select(F.col("conv").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    own = F.col("speaker") == F.col("perspective")
-    head = F.when(own, F.lit("<|assistant|>\n")).when(F.col("speaker").isin(*context_roles), F.concat(F.lit("<|"), "speaker", F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n")))
+    context = F.coalesce(F.col("speaker").isin(*context_roles), F.lit(False))
+    people = turns.where(~context).select(F.col("conv").alias("c"), F.col("speaker").alias("perspective")).distinct()
+    own = F.col("speaker").eqNullSafe(F.col("perspective"))
+    user = F.concat(F.lit("<|user"), F.coalesce(F.concat(F.lit(" name="), _name(F.col("speaker"))), F.lit("")), F.lit("|>\n"))
+    head = F.when(own, F.lit("<|assistant|>\n")).when(context, F.concat(F.lit("<|"), "speaker", F.lit("|>\n"))).otherwise(user)
     segments = (
         turns.join(people, turns["conv"].eqNullSafe(people["c"]))
         .select("conv", "perspective", "turn", "speaker", head.alias("head"), F.concat("body", F.lit("<|end|>\n")).alias("tail"))

@@ -108,18 +108,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)""",
     "op4_chat_formatting": """
-        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<||') AS body FROM conversations),
-        p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        WITH t AS (SELECT conv_id, turn, role AS speaker, replace(coalesce(text, ''), '<|', '<||') AS body FROM conversations),
+        p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS DISTINCT FROM 'system'),
         s AS (
-          SELECT t.conv_id, perspective, turn, speaker, speaker = perspective AS own, body || '<|end|>' || chr(10) AS tail,
-                 CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>'
-                      ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+          SELECT t.conv_id, perspective, turn, speaker, speaker IS NOT DISTINCT FROM perspective AS own, body || '<|end|>' || chr(10) AS tail,
+                 CASE WHEN speaker IS NOT DISTINCT FROM perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' WHEN speaker IS NULL THEN '<|user|>'
+                      ELSE '<|user name=' || replace(replace(replace(replace(replace(replace(speaker, '%', '%25'), '<', '%3C'), '>', '%3E'), '|', '%7C'), chr(10), '%0A'), chr(13), '%0D')
+                           || '|>' END || chr(10) AS head
           FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
         o AS (
           SELECT *, head || tail AS rendered,
                  CAST(coalesce(sum(length(head || tail)) OVER w, 0) AS BIGINT) AS start,
-                 row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, head || tail) AS k
-          FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, head || tail ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+                 row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, head || tail) AS k
+          FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, head || tail ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT conv_id, perspective, start // 1048576 AS part, count(*) AS n_turns, string_agg(rendered, '' ORDER BY k) AS text,
                coalesce(string_agg((start + length(head)) || '-' || (start + length(rendered) - 1), ',' ORDER BY k) FILTER (WHERE own), '') AS masks
         FROM o GROUP BY ALL""",

@@ -24,7 +24,7 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 
 CHUNKS = "record long, chunk long, n_chunks long, data binary"
-RECORDS = "record_id string, page_id long, url string, record_type string, refers_to long, declared_bytes long, declared_digest string"
+RECORDS = "record_id string, record_date string, page_id long, url string, record_type string, refers_to long, declared_bytes long, declared_digest string"
 
 
 def chunked(df: DataFrame, payload: str, *keep: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -36,33 +36,40 @@ def chunked(df: DataFrame, payload: str, *keep: str, chunk_bytes: int = CHUNK_BY
 
 
 def plan_records(df: DataFrame, *, id_col: str, url_col: str, payload_col: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """id, url, payload (binary), n_bytes, sha1, record_type, refers_to of each page.
+    """id, name, url, payload (binary), n_bytes, sha1, record_type, refers_to and refers_to_name of each page.
 
+    name is the id and the row's monotonically_increasing_id, so that records of
+    repeated or null ids have names of their own; df must be a table, as it is read twice.
     Payloads are equal when length and SHA-256 are.  Counting them shuffles digests
     only; payloads move to meet the groups of more than one, unless these are few
     enough for Spark to broadcast.
     """
-    pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")).select(
-        "id", "url", "payload", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256")
+    pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row")).select(
+        "id", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "row").alias("name"), "url", "payload", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256")
     )
     groups = materialise(
-        pages.where(F.col("n_bytes") >= revisit_bytes).groupBy("sha256", "n_bytes").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha256", "first"),
+        pages.where(F.col("n_bytes") >= revisit_bytes)
+        .groupBy("sha256", "n_bytes")
+        .agg(F.max(F.struct("id", "name")).alias("top"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("sha256", F.col("top.id").alias("first"), F.col("top.name").alias("first_name")),
         "warc-groups",
     )
     revisit = (F.col("n_bytes") >= revisit_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return pages.join(groups, "sha256", "left").select(
-        "id", "url", "payload", "n_bytes", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to")
-    )
+        "id", "name", "url", "payload", "n_bytes", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
+        F.when(revisit, F.col("first_name")).alias("refers_to_name"),
+    )
 
 
-def _open(uri: str, mode: str):
-    """A stream on a file of any store that pyarrow reaches, the shared file system included."""
+def _open(uri: str, mode: str, attempt: int = 0):
+    """A stream on a file of any store that pyarrow reaches, the shared file system included.  Writing, under a name of the task's attempt."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
     if mode == "w":
         store.create_dir(path.rpartition("/")[0], recursive=True)
-        return store, path, store.open_output_stream(path + ".part", compression=None)
+        return store, path, store.open_output_stream(f"{path}.{attempt}.part", compression=None)
     return store, path, store.open_input_stream(path, compression=None)
 
 
@@ -75,23 +82,27 @@ def _clean(value: str) -> str:
     return " ".join(value.split())
 
 
-def write_archives(records: DataFrame, folder: str, *, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, *, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> DataFrame:
     """Writes the planned records below folder; one row per archive: uri, n_records, n_bytes.
 
-    Each record is a gzip member of its own.  An archive has a temporary name until
-    it is complete and the same name on a retry, so that a lost task leaves no half
-    archive behind and a repeated one replaces its own.
+    Each record is a gzip member of its own.  Until an archive is complete it has a
+    name of its task's attempt, then the same name on a retry: attempts never write
+    one file, a lost task leaves no half archive, and a repeated one replaces its own.
+    date is the WARC-Date of all records, the time of the call if not given.
     """
+    from datetime import UTC, datetime
+
+    when = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = chunked(
         records.withColumn("body", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))), "body",
-        "id", "url", "n_bytes", "sha1", "record_type", "refers_to", chunk_bytes=chunk_bytes,
+        "id", "name", "url", "n_bytes", "sha1", "record_type", "refers_to", "refers_to_name", chunk_bytes=chunk_bytes,
     )
 
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, number, done = TaskContext.get().partitionId(), 0, []
+        part, attempt, number, done = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, []
         out = gz = digest = None
         n_records = n_bytes = 0
 
@@ -99,7 +110,7 @@ def write_archives(records: DataFrame, folder: str, *, chunk_bytes: int = CHUNK_
             nonlocal out, number, n_records, n_bytes
             if out is not None:
                 stream.close()
-                store.move(path + ".part", path)
+                store.move(f"{path}.{attempt}.part", path)
                 done.append((uri, n_records, n_bytes))
                 out, number, n_records, n_bytes = None, number + 1, 0, 0
 
@@ -110,17 +121,18 @@ def write_archives(records: DataFrame, folder: str, *, chunk_bytes: int = CHUNK_
                         close()
                     if out is None:
                         uri = f"{folder}/part-{part:06d}-{number:05d}.warc.gz"
-                        store, path, stream = _open(uri, "w")
+                        store, path, stream = _open(uri, "w", attempt)
                         out = stream
                     gz, digest = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1()
                     lines = [
-                        ("WARC-Record-ID", f"<urn:page:{'' if r['id'] is None else r['id']}>"),
+                        ("WARC-Record-ID", f"<urn:page:{r['name']}>"),
+                        ("WARC-Date", when),
                         ("WARC-Target-URI", _clean(r["url"] or "")),
                         ("WARC-Payload-Digest", f"sha1:{r['sha1']}"),
                         ("X-Payload-Length", str(r["n_bytes"])),
                     ]
                     if r["record_type"] == "revisit":
-                        lines += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{r['refers_to']}>")]
+                        lines += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{r['refers_to_name']}>")]
                     lines += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(r["n_bytes"] if r["record_type"] == "response" else 0))]
                     z = gz.compress(_header(r["record_type"], lines))
                     out.write(z)
@@ -178,7 +190,7 @@ class _Members:
 
 
 def read_archives(archives: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
-    """The chunk rows of all records: record_id, page_id, url, record_type, refers_to,
+    """The chunk rows of all records: record_id, record_date, page_id, url, record_type, refers_to,
     declared_bytes, declared_digest, chunk, data, bytes_so_far, digest_so_far, last.
 
     Memory per task is a few chunks, whatever the size of a record or archive.
@@ -188,9 +200,9 @@ def read_archives(archives: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, with_d
     def read(batches):
         import pyarrow as pa
 
-        names = ["record_id", "page_id", "url", "record_type", "refers_to", "declared_bytes", "declared_digest", "chunk", "data", "bytes_so_far", "digest_so_far", "last"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
-        number = lambda x: int(x) if x else None
+        names = ["record_id", "record_date", "page_id", "url", "record_type", "refers_to", "declared_bytes", "declared_digest", "chunk", "data", "bytes_so_far", "digest_so_far", "last"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+        number = lambda x: int(n) if (n := x[len("<urn:page:") : -1].partition(":")[0]) else None
         rows: list[tuple] = []
         held = 0
         for batch in batches:
@@ -202,7 +214,7 @@ def read_archives(archives: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, with_d
                         h = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
                         left, digest, chunk, so_far = int(h["Content-Length"]), hashlib.sha1(), 0, 0
                         fixed = (
-                            h["WARC-Record-ID"], number(h["WARC-Record-ID"][10:-1]), h["WARC-Target-URI"], h["WARC-Type"], number(h.get("WARC-Refers-To", "<urn:page:>")[10:-1]),
+                            h["WARC-Record-ID"], h["WARC-Date"], number(h["WARC-Record-ID"]), h["WARC-Target-URI"], h["WARC-Type"], number(h.get("WARC-Refers-To", "<urn:page:>")),
                             int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"),
                         )
                         while True:
@@ -237,8 +249,8 @@ def warc_round_trip(df: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     Of records with equal payloads of at least REVISIT_BYTES bytes, that with the
     largest id is the response and the others are revisits that name it; rows that
     repeat the largest id are responses too, and so are all rows of a group without
-    ids.  A null payload is empty; a null id gives an empty record name.  White
-    space in URLs becomes one space.  A response's bytes and digest are those of
+    ids.  A null payload is empty; record names are unique even where ids are null
+    or repeated.  White space in URLs becomes one space.  A response's bytes and digest are those of
     the payload read back; a revisit has those its record declares.  verified says
     that what was read agrees with what the record declares.
     """
