@@ -439,6 +439,29 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert all(rows[i].kept and rows[i].clean_text == texts[i] for i in range(32, 72))
 
 
+def test_frequent_lines_of_small_hosts_and_long_lines(spark):
+    rows = [(f"seen again\nown text of document number {i} " + " ".join(f"{h}{i}w{k}" for k in range(12)), h) for h, n in (("small", 12), ("five", 5), ("large", 300)) for i in range(n)]
+    rows += [(f"now and then\nown text {i} " + " ".join(f"n{i}w{k}" for k in range(12)), "large") for i in range(20)] + [("Seen\tAGAIN \u00a0x\n" + "w " * 60000 + "seen again", None)] * 2
+    df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(rows)], "doc_id long, text string, source string")
+    lost = {r.doc_id: r.clean_text != rows[r.doc_id][0] for r in quality_rules(df, with_text=True).collect()}
+    # more than a tenth of 12 documents, and more than 20 of 320; but not five, and not 20
+    assert [i for i in lost if lost[i]] == [i for i, (t, h) in enumerate(rows) if h in ("small", "large") and t.startswith("seen")]
+
+
+def test_quality_filter_keeps_columns_and_takes_lines_out(spark):
+    from waymetric.llm.quality import filter_documents
+
+    texts = [f"Common  LINE of all\nown text of number {i} " + " ".join(f"a{i}w{k}" for k in range(12)) + ("\ncommon line of all" if i % 2 else "") for i in range(30)] + [None, "", "short"]
+    df = spark.createDataFrame([(i, t, "s", 7, i, [i], len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, source string, row long, gone long, d array<long>, n_chars long")
+    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/quality-filter")
+    out = filter_documents(spark.read.parquet(path))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert out.columns == df.columns and set(rows) == set(range(30))
+    for i, r in rows.items():
+        assert r.text == texts[i].split("\n")[1] and r.n_chars == len(r.text) and (r.row, r.gone, r.d) == (7, i, [i])
+    assert filter_documents(spark.read.parquet(path).where("false")).count() == 0
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 
 

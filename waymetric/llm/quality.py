@@ -9,17 +9,19 @@ of which too little is left is rejected.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, materialise, mix, slices, texts_as_bytes
+from .common import FOLD, ascii_lower, materialise, mix, slices, texts_as_bytes
 
 #: Base rules of the contract.
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A line is removed when it is in more than this share of its host's distinct documents, and in more than so many.
+#: A line is removed when more than LINE_DOCS distinct documents of its host have it; in a small host, when
+#: more than LINE_PERCENT of its documents do, and more than LINE_FEW.
+LINE_DOCS = 20
 LINE_PERCENT = 10
-LINE_MIN_DOCS = 20
+LINE_FEW = 5
 #: A document is depleted when less than this share of its words is left.
 LEFT_PERCENT = 20
 
@@ -70,7 +72,7 @@ def _measure(batches):
     import xxhash
 
     chars, symbols = _word_char_flags()
-    signed = lambda b: int.from_bytes(xxhash.xxh64_digest(b), "big", signed=True)
+    signed = lambda b: int.from_bytes(xxhash.xxh64_digest(b, 42), "big", signed=True)  # as Spark's xxhash64
     for batch in batches:
         texts = texts_as_bytes(batch.column("text"))
         for lo, hi in slices([len(t) for t in texts]):
@@ -117,8 +119,8 @@ def _input(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFram
     )
 
 
-def frequent_lines(measured: DataFrame, line_percent: int = LINE_PERCENT, line_min_docs: int = LINE_MIN_DOCS) -> DataFrame:
-    """(host, hash) of the lines above the limits.
+def frequent_lines(measured: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT, line_few: int = LINE_FEW) -> DataFrame:
+    """(host, hash) of the lines above the limits, with n_with and n_docs.
 
     Documents count once by content: a text copied a thousand times within a host
     is one document there, so copies alone never make its lines frequent.
@@ -130,12 +132,12 @@ def frequent_lines(measured: DataFrame, line_percent: int = LINE_PERCENT, line_m
         .agg(F.lit(1).alias("one"))
         .groupBy("host", "hash")
         .agg(F.count("one").alias("n_with"))
-        .where(F.col("n_with") > line_min_docs)
+        .where(F.col("n_with") > min(line_few, line_docs))
     )
     return (
         lines.alias("l")
         .join(docs.alias("d"), F.col("l.host").eqNullSafe(F.col("d.host")))
-        .where(F.col("n_with") * 100 > F.col("n_docs") * line_percent)
+        .where((F.col("n_with") > line_docs) | (F.col("n_with") * 100 > F.col("n_docs") * line_percent))
         .select("l.host", "l.hash", "n_with", "n_docs")
     )
 
@@ -146,11 +148,13 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
+    line_docs: int = LINE_DOCS,
     line_percent: int = LINE_PERCENT,
-    line_min_docs: int = LINE_MIN_DOCS,
+    line_few: int = LINE_FEW,
     left_percent: int = LEFT_PERCENT,
     with_text: bool = False,
     with_row: bool = False,
+    with_lines: bool = False,
 ) -> DataFrame:
     """One row per input row: id_col, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_removed_words, kept (and clean_text).
@@ -161,18 +165,20 @@ def quality_rules(
     A document is kept when it passes the base rules and at least left_percent of
     its words stay after the frequent lines are removed.  A null host is a host of
     its own.  Repeated rows each get their row.  Extra columns are ignored.
-    with_text adds clean_text, the text without its frequent lines; with_row adds
-    row, the row's monotonically_increasing_id in df.
+    An empty table gives no rows.  with_text adds clean_text, the text without its
+    frequent lines (null stays null), for which df is read again and must be a table;
+    with_row adds row, the row's monotonically_increasing_id in df; with_lines adds
+    gone, the hashes of its frequent lines (null: none).
     """
     src = _input(df, id_col, text_col, host_col)
     measured = materialise(src.mapInArrow(_measure, _MEASURED), "quality-measured")
-    frequent = materialise(frequent_lines(measured, line_percent, line_min_docs), "quality-frequent")
+    frequent = materialise(frequent_lines(measured, line_docs, line_percent, line_few), "quality-frequent")
     hit = (
         measured.select("row", "host", F.explode("lines").alias("line"))
         .select("row", F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("hn"), F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
         .join(frequent.select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("hn"), "hash"), ["h", "hn", "hash"])
         .groupBy("row")
-        .agg(F.sum("words").alias("n_removed_words"), *([F.collect_set("hash").alias("gone")] if with_text else []))
+        .agg(F.sum("words").alias("n_removed_words"), *([F.collect_set("hash").alias("gone")] if with_text or with_lines else []))
     )
     out = measured.join(hit, "row", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -180,25 +186,33 @@ def quality_rules(
     cols = [
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), removed.alias("n_removed_words"),
         (~failed & (100 * (F.col("n_words") - removed) >= left_percent * F.col("n_words"))).alias("kept"),
-        *(["row"] if with_row else []),
+        *(["row"] if with_row else []), *(["gone"] if with_lines else []),
     ]
     if not with_text:
         return out.select(*cols)
-    schema = "row long, clean_text string"
-    clean = src.select("row", "text").join(hit.select("row", "gone"), "row", "left").mapInArrow(_strip, schema)
-    return out.join(clean, "row").select(*cols, "clean_text")
+    texts = src.select(F.col("row").alias("at"), "text")
+    return out.join(texts, F.col("row") == F.col("at")).select(*cols, without_lines(F.col("text"), F.col("gone")).alias("clean_text"))
 
 
-def _strip(batches):
-    import pyarrow as pa
-    import xxhash
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose hashes are listed; the text itself where the list is null."""
+    normal = lambda x: F.trim(F.regexp_replace(ascii_lower(x), r"[\x20\x09-\x0D]+", " "))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(normal(x))))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(lines, "\n"))
 
-    for batch in batches:
-        texts, out = batch.column("text").to_pylist(), []
-        for t, gone in zip(texts, batch.column("gone").to_pylist(), strict=True):
-            if t is not None and gone:
-                gone = set(gone)
-                norm = lambda x: int.from_bytes(xxhash.xxh64_digest(b" ".join(x.encode().translate(FOLD).split())), "big", signed=True)
-                t = "\n".join(x for x in t.split("\n") if norm(x) not in gone)
-            out.append(t)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], names=["row", "clean_text"])
+
+def filter_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of df that the rules keep, with df's columns; their texts without frequent lines, and chars_col, where df has it, the new length.
+
+    Texts without frequent lines stay as they are.  Rows are as in quality_rules:
+    null, empty and short texts go, repeated rows stay or go alike, other columns
+    pass through under any name.  df is read twice and must be a table.
+    """
+    ruled = quality_rules(df, id_col=id_col, text_col=text_col, host_col=host_col, with_row=True, with_lines=True)
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("d"), F.monotonically_increasing_id().alias("at"))
+    kept = whole.join(ruled.where("kept").select("row", "gone"), F.col("at") == F.col("row"))
+    text = without_lines(F.col("d")[text_col], F.col("gone"))
+    new = F.col("d").withField(text_col, text)
+    if chars_col in df.columns:
+        new = new.withField(chars_col, F.when(F.col("gone").isNull(), F.col("d")[chars_col]).otherwise(F.length(text).cast(df.schema[chars_col].dataType)))
+    return kept.select(new.alias("d")).select("d.*")

@@ -144,7 +144,7 @@ ORACLES: dict[str, str] = {
         hosts AS (SELECT source, count(DISTINCT text) AS n_docs FROM w GROUP BY source),
         often AS (
           SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n_with FROM lines GROUP BY source, norm) l
-          JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n_with > 20 AND n_with * 100 > n_docs * 10),
+          JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n_with > 20 OR (n_with > 5 AND n_with * 100 > n_docs * 10)),
         gone AS (SELECT doc_id, sum(n) AS n FROM lines l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY doc_id),
         m AS (
           SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
