@@ -121,6 +121,36 @@ def test_packing_round_trip(spark):
     assert pack(frame(spark, []), path).count() == 0
 
 
+def test_packing_wastes_little_on_short_texts(spark):
+    path = str(tokenizers.path("word_bpe_49k.json"))
+    for words, copies in ((0, 9000), (16, 3000), (40, 2000)):
+        df = spark.range(copies).selectExpr("id as doc_id", f"repeat('the ', {words}) as text")
+        rows = pack(df, path).collect()
+        assert sum(r.length for r in rows) == copies * (words + 1) and len(rows) == copies
+        full = -(-copies * (words + 1) // 4096)
+        assert len({r.sequence_id for r in rows}) <= full * 1.04 + 1
+        spans = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+        assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(spans[:-1], spans[1:], strict=True))
+
+
+def test_packing_with_another_tokenizer_and_with_colliding_hashes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    texts = [(t or "") for t in corpus(15)[:40]] + ["X" * 400 + " y " + "x" * 400 + ".", "a.\tb..", "<|endoftext|> A."]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = str(tokenizers.path(name))
+        want = [[*e.ids, 2] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        for weak in (False, True):
+            if weak:  # the first hash says nothing: the second one tells
+                whole = K._Hash.of
+                monkeypatch.setattr(K._Hash, "of", lambda self, a, b, whole=whole: whole(self, a, b) & np.uint64(7 if int(self.down[1:2].sum()) == pow(K._BASES[0], -1, 1 << 64) else 2**64 - 1))
+            words = K.WordIds(path)
+            for _ in range(2):
+                ids, ends = words.encode([t.encode() for t in texts], 2)
+                assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+            monkeypatch.undo()
+
+
 def test_cutting_stock_is_near_the_bound():
     r = np.random.default_rng(3)
     sizes = np.unique(r.integers(1, 257, 120))
