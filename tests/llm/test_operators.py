@@ -282,16 +282,30 @@ def brute_repeats(docs, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [0xFFFF, 2])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize(("hot", "warm"), [(0xFFFF, 256), (0xFFFF, 2), (2, 256), (3, 5)])
+def test_suffix_dedup(spark, hot, warm):
     texts = corpus(2) + ["ab" * 300, "é" * 200, "q" * 99, "r" * 101, None, "\0\1" * 90]
     df = frame(spark, texts).repartition(3, "doc_id")
-    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/repeats-{hot}")
-    rows = remove_repeats(spark.read.parquet(path), hot=hot, with_text=True).collect()
+    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/repeats-{hot}-{warm}")
+    rows = remove_repeats(spark.read.parquet(path), hot=hot, warm=warm, with_text=True).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept_text) for r in rows} == brute_repeats(list(enumerate(texts)), 100)
     assert remove_repeats(spark.read.parquet(path).where("false")).count() == 0
 
 
+def test_suffix_dedup_across_slices_and_pieces(spark, monkeypatch):
+    """Texts longer than a slice and a piece, with a passage that many of them share."""
+    from waymetric.llm import suffix_dedup as S
+
+    r = random.Random(21)
+    passage = "".join(r.choice("abcdefghijklmnop ") for _ in range(400))
+    long = "".join(r.choice("abcdefgh ") for _ in range(S.PIECE_BYTES + 5000))
+    texts = [long[:-3000] + passage, passage + long[-9000:], long[S.PIECE_BYTES - 300 : S.PIECE_BYTES + 300]]
+    texts += ["".join(r.choice("qrstuvwxyz") for _ in range(150)) + passage[k : 400 - k] for k in range(40)]
+    frame(spark, texts).repartition(5).write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/repeats-long")
+    rows = remove_repeats(spark.read.parquet(path), warm=8, with_text=True).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, x.kept_text) for x in rows} == brute_repeats(list(enumerate(texts)), 100)
+
+
 def test_suffix_dedup_repeated_and_null_ids(spark):
     r = random.Random(4)
     text = "".join(r.choice("abcdefgh") for _ in range(300))
@@ -303,7 +317,8 @@ def test_interval_expansion():
     r = random.Random(3)
     for _ in range(40):
         base = bytes(r.choice(b"abc\x00\xff") for _ in range(60))
-        strings = list({base[a : a + r.randint(9, 30)] for a in (r.randint(0, 30) for _ in range(6))})
+        strings = [base[a : a + r.randint(9, 30)] for a in (r.randint(0, 30) for _ in range(6))]
+        strings += strings[:2]  # equal ones too
         ids = np.array([r.randint(0, 3) for _ in strings])
         starts = np.arange(len(strings)) * 1000
         where = {}
@@ -352,6 +367,31 @@ def test_jaccard_components(spark, block_sets):
     assert jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_shared_tokens_with_frequent_ones(spark, monkeypatch):
+    """Tokens that a unit sends as counts come back as if they had been sent one by one."""
+    from waymetric.llm import shared_tokens as S
+
+    r = random.Random(5)
+    docs = [sorted({r.choice([1, 2, 3]) if r.random() < 0.4 else r.randrange(4, 400) for _ in range(8)}) for _ in range(300)]
+    df = spark.createDataFrame([(i, i, ",".join(map(str, d))) for i, d in enumerate(docs)], "row long, id long, text string").repartition(4)
+
+    def emit(texts):
+        pairs = [(int(x) * 0x9E3779B97F4A7C15 % 2**48) << 16 | i for i, t in enumerate(texts) for x in t.decode().split(",")]
+        return np.sort(np.array(pairs, np.uint64)), {"n": [len(t) for t in texts]}
+
+    def finish(meta, values, counts, edges):
+        import pyarrow as pa
+
+        lists = [[f"{v}:{c}" for v, c in zip(values[a:b].tolist(), counts[a:b].tolist(), strict=True)] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"row": pa.array(meta["row"], pa.int64()), "got": pa.array(lists, pa.list_(pa.string()))})
+
+    n = Counter(x for d in docs for x in d)
+    token = lambda x: x * 0x9E3779B97F4A7C15 % 2**48
+    want = {i: [f"{token(x)}:{n[x]}" for x in sorted(d, key=lambda x: (n[x], token(x))) if n[x] > 1] for i, d in enumerate(docs)}
+    got = {x.row: list(x.got) for x in S.shared_tokens(df, emit, finish, "row long, got array<string>", 300 << 20).collect()}
+    assert got == want and max(n.values()) > 2 * S.OFTEN
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     rows = jaccard_components(frame(spark, ["a b c d e f"] * 3 + ["p q r s t"] + [None], [None, 4, 4, None, 9])).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == [("4", 2, "4"), ("4", 2, "4"), ("9", 0, "9"), ("None", 1, "None"), ("None", 2, "4")]

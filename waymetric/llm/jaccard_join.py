@@ -109,6 +109,8 @@ def _finish(percent: int):
         n = np.array(meta["n"], np.int64)
         shared = np.diff(edges)
         live = (n > 0) & (shared >= needed(n, percent))
+        # a token's number starts with its count, so that numbers are in the global order, rarest first
+        values = values | (counts.astype(np.uint64) << np.uint64(48))
         blobs = [values[edges[i] : edges[i + 1]].tobytes() if live[i] else None for i in range(len(n))]
         total = np.concatenate([[0], np.cumsum(counts.astype(np.float64))])
         return pa.table(
@@ -140,7 +142,7 @@ def _prefix_postings(percent: int):
 
 
 class Trie:
-    """Sets in the order of their tokens' codes, most frequent first, with shared beginnings stored once."""
+    """Sets in the order of their tokens' codes, most frequent in the whole corpus first, with shared beginnings stored once."""
 
     def __init__(self, sets: list[np.ndarray], n: np.ndarray):
         """sets: each set's codes, ascending; n: whole sizes, which count tokens of no other document too."""
@@ -236,12 +238,10 @@ def trie_links(tokens: list[np.ndarray], n: np.ndarray, side: np.ndarray, percen
 
     side: 0 and 1 for the blocks of a pair, which are compared across only; 2: compared with all.
     """
-    flat = np.concatenate(tokens)
-    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
-    cuts = np.cumsum([len(t) for t in tokens])[:-1]
-    sets = [np.sort(s) for s in np.split(rank[inverse.ravel()], cuts)]
+    distinct, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
+    # codes in the global order from its frequent end, where sets have most in common
+    code = len(distinct) - 1 - inverse.ravel()
+    sets = [np.sort(s) for s in np.split(code, np.cumsum([len(t) for t in tokens])[:-1])]
     held = np.flatnonzero(side != 0)
     trie = Trie([sets[i] for i in held], n[held])
     root = list(range(len(sets)))
@@ -253,7 +253,7 @@ def trie_links(tokens: list[np.ndarray], n: np.ndarray, side: np.ndarray, percen
         return x
 
     for q in np.flatnonzero(side != 1):
-        for k in trie.similar(sets[q], int(n[q]), len(count), percent):
+        for k in trie.similar(sets[q], int(n[q]), len(distinct), percent):
             a, b = find(int(q)), find(int(held[k]))
             root[max(a, b)] = min(a, b)
     return [(i, find(i)) for i in range(len(sets)) if find(i) != i]

@@ -3,22 +3,25 @@
 A window is a string of `length` bytes.  Each window has an anchor, the least hash
 of the short strings in it, so that equal windows have equal anchors.  Anchors that
 occur once drop out in a packed exchange.  Runs of windows with the same shared
-anchor become short texts, which meet by anchor; an owner task sorts the suffixes
-of its distinct texts and expands intervals of their Burrows-Wheeler transform
+anchor become short strings, which meet by anchor; an owner task sorts the suffixes
+of its strings and expands intervals of their Burrows-Wheeler transform
 backwards, breadth first, which yields the common prefixes of neighbouring
 suffixes by increasing value and stops at `length`.  Neighbours without a value by
-then are equal windows, of which the earliest stays.
+then are equal windows, of which the earliest stays.  Equal strings combine before
+the exchange, within a slice of a scanning task, and for frequent anchors also in
+salted groups, so that no owner gets a row per copy.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, text_bytes, texts_as_bytes
+from .common import SLICE_BYTES, discard, materialise, mix, slices, text_bytes, texts_as_bytes
 from .shared_tokens import IDX, documents, n_ranges, range_of, shared_tokens
 
 LENGTH = 100
@@ -28,9 +31,11 @@ PIECE_BYTES = 768 << 10
 ANCHOR = 32
 #: An anchor that occurs so often, counted up to 65535, sends its windows one by one, each by its own hash.
 HOT = 0xFFFF
+#: An anchor that occurs so often sends its strings by way of salted groups, which combine equal ones.
+WARM = 256
 _B = 0xD6E8FEB86659FD93
 _INFO = "row long, id long, n_bytes long, sha string, anchors binary"
-_STRINGS = "range int, kind int, ids binary, rows binary, starts binary, sizes binary, keys binary, data binary, removed binary"
+_STRINGS = "range int, salt int, kind int, ids binary, rows binary, starts binary, sizes binary, keys binary, data binary, removed binary"
 
 
 class _Hashes:
@@ -95,11 +100,14 @@ def anchor_tokens(texts: list[bytes], length: int, anchor: int) -> tuple[np.ndar
     return found[np.concatenate([[True, True], found[2:] != found[:-2]])[: len(found)]], {"n": [len(t) for t in texts], "sha": [hashlib.sha256(t).hexdigest() for t in texts]}
 
 
-def _finish(hot: int):
+_SETTLED = _STRINGS.replace("salt int, ", "") + ", row long, start long, windows long"
+
+
+def _finish(hot: int, warm: int):
     def run(meta, values, counts, edges):
         import pyarrow as pa
 
-        values = values | (np.where(counts >= hot, np.uint64(1), np.uint64(0)) << np.uint64(63))
+        values = values | (np.where(counts >= hot, np.uint64(2), np.uint64(0)) | np.where(counts >= min(hot, warm), np.uint64(1), np.uint64(0))) << np.uint64(62)
         blobs = [values[a:b].tobytes() if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         return pa.table(
             {
@@ -117,13 +125,13 @@ def _ranges(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _cut_strings(length: int, anchor: int, ranges: int):
-    """Task code: runs of windows with one shared anchor as strings by key range; repeats within the slice are settled here."""
+def _cut_strings(length: int, anchor: int, ranges: int, salts: int):
+    """Task code: runs of windows with one shared anchor as strings by key range, combined within the slice."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("range", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "rows", "starts", "sizes", "keys", "data", "removed"))])
+        schema = pa.schema([("range", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "rows", "starts", "sizes", "keys", "data", "removed"))])
         for batch in batches:
             texts = texts_as_bytes(batch.column("text"))
             ids = np.array([np.iinfo(np.int64).min if i is None else i for i in batch.column("id").to_pylist()], np.int64)
@@ -134,9 +142,11 @@ def _cut_strings(length: int, anchor: int, ranges: int):
                 value = np.concatenate([np.zeros(0, np.uint64), *shared[lo:hi]])
                 known = (np.repeat(np.arange(hi - lo), sizes).astype(np.uint64) << np.uint64(48)) | (value & np.uint64((1 << 48) - 1))
                 order = np.argsort(known)
-                known, hot = known[order], (value >> np.uint64(63)).astype(bool)[order]
-                out: dict[int, list] = {}
+                known, mark = known[order], (value >> np.uint64(62))[order]
+                salt = 1 + int(mix(rows[lo : lo + 1].astype(np.uint64))[0] % np.uint64(salts))
+                out: dict[tuple[int, int], list] = {}
                 first: dict[tuple[int, bytes], tuple] = {}
+                warm_keys: set[int] = set()
                 gone: list[tuple[int, int, int]] = []
                 for hashes, data, doc, start, place, least, begins in windows(texts[lo:hi], length, anchor):
                     own = (doc.astype(np.uint64) << np.uint64(48)) | (least >> np.uint64(16))
@@ -144,11 +154,12 @@ def _cut_strings(length: int, anchor: int, ranges: int):
                     live = np.flatnonzero(known[at] == own)
                     if not len(live):
                         continue
-                    single = hot[at[live]]
+                    single = mark[at[live]] >= 2
                     key = least[live].copy()
                     key[single] = hashes.of(place[live[single]], length)
                     heads = np.flatnonzero(begins[live] | single)
                     n = np.diff(np.append(heads, len(live)))
+                    warm_keys.update(key[heads[mark[at[live[heads]]] > 0]].tolist())
                     for k, d, s, p, w in zip(key[heads].tolist(), doc[live[heads]].tolist(), start[live[heads]].tolist(), place[live[heads]].tolist(), n.tolist(), strict=True):
                         text = data[p : p + w + length - 1]
                         me = (int(ids[lo + d]), int(rows[lo + d]), s, w)
@@ -161,15 +172,10 @@ def _cut_strings(length: int, anchor: int, ranges: int):
                 if first:
                     at = range_of(np.array([k for k, _ in first], np.uint64), ranges).tolist()
                     for r, ((k, text), me) in zip(at, first.items(), strict=True):
-                        out.setdefault(r, []).append((k, text, me))
-                    blob = lambda x, kind: np.array(x, kind).tobytes()
-                    lots = [
-                        (r, 0, blob([m[0] for _, _, m in x], np.int64), blob([m[1] for _, _, m in x], np.int64), blob([m[2] for _, _, m in x], np.int64), blob([m[3] for _, _, m in x], np.int64),
-                         blob([k for k, _, _ in x], np.uint64), b"".join(t for _, t, _ in x), None)
-                        for r, x in out.items()
-                    ]
+                        out.setdefault((r, salt if k in warm_keys else 0), []).append((text, *me, k))
+                    lots = [(*to, 0, *_packed_strings(x).values(), None) for to, x in out.items()]
                     if gone:
-                        lots.append((lots[0][0], 1, None, None, None, None, None, None, blob(gone, np.int64)))
+                        lots.append((*lots[0][:2], 1, None, None, None, None, None, None, np.array(gone, np.int64).tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in lots], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
@@ -245,7 +251,7 @@ def equal_prefixes(code: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
 
 
 def repeated_windows(strings: list[bytes], ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(row, start, windows) of the windows that occur earlier: by id, row, then start.  The strings are distinct."""
+    """(row, start, windows) of the windows that occur earlier: by id, row, then start."""
     data = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int64) + 1
     sizes = np.array([len(s) + 1 for s in strings])
     stops = np.cumsum(sizes)
@@ -272,54 +278,96 @@ def repeated_windows(strings: list[bytes], ids: np.ndarray, rows: np.ndarray, st
     return list(zip(rows[own].tolist(), (starts[own] + offset[a]).tolist(), (b - a).tolist(), strict=True))
 
 
-def _expand(length: int):
+def _read_strings(table, length: int):
+    """(string, id, row, start, windows, key) of the packed strings of a group, and its settled windows."""
+    gone = [np.frombuffer(b, np.int64).reshape(-1, 3) for b in table.column("removed").to_pylist() if b is not None]
+    found = []
+    for kind, *blobs in zip(*(table.column(c).to_pylist() for c in ("kind", "ids", "rows", "starts", "sizes", "keys", "data")), strict=True):
+        if kind:
+            continue
+        ids, rows, starts, sizes = (np.frombuffer(b, np.int64).tolist() for b in blobs[:4])
+        keys, data, at = np.frombuffer(blobs[4], np.uint64).tolist(), blobs[5], 0
+        for k, i, r, s, w in zip(keys, ids, rows, starts, sizes, strict=True):
+            found.append((data[at : at + w + length - 1], i, r, s, w, k))
+            at += w + length - 1
+    return found, gone
+
+
+def _packed_strings(found: list[tuple]) -> dict:
+    """The columns of strings in one row."""
+    blob = lambda j, kind: np.array([x[j] for x in found], kind).tobytes()
+    return {"ids": blob(1, np.int64), "rows": blob(2, np.int64), "starts": blob(3, np.int64), "sizes": blob(4, np.int64), "keys": blob(5, np.uint64), "data": b"".join(x[0] for x in found)}
+
+
+def _late_table(late: np.ndarray, schema):
+    """A table of the settled schema with windows that occur earlier."""
+    import pyarrow as pa
+
+    own = {c: pa.array(late[:, j], pa.int64()) for j, c in enumerate(("row", "start", "windows"))}
+    return pa.table([own.get(f.name, pa.nulls(len(late), f.type)) for f in schema], schema=schema)
+
+
+def _settle(length: int):
+    """Task code for a range and salt: windows that occur earlier (salt 0), or the earliest of equal strings (other salts)."""
+
     def run(key, table):
         import pyarrow as pa
 
-        gone = [np.frombuffer(b, np.int64).reshape(-1, 3) for b in table.column("removed").to_pylist() if b is not None]
+        binary = ("ids", "rows", "starts", "sizes", "keys", "data", "removed")
+        schema = pa.schema([("range", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in binary), *((c, pa.int64()) for c in ("row", "start", "windows"))])
+        found, gone = _read_strings(table, length)
+        if key[1].as_py() == 0:
+            return _late_table(np.concatenate([np.zeros((0, 3), np.int64), *gone, _expanded(found, length)]), schema)
         first: dict[bytes, tuple] = {}
-        per_key: dict[int, int] = {}
-        late: list[tuple] = []
-        for kind, *blobs in zip(*(table.column(c).to_pylist() for c in ("kind", "ids", "rows", "starts", "sizes", "keys", "data")), strict=True):
-            if kind:
-                continue
-            ids, rows, starts, sizes = (np.frombuffer(b, np.int64).tolist() for b in blobs[:4])
-            keys, data, at = np.frombuffer(blobs[4], np.uint64).tolist(), blobs[5], 0
-            for k, i, r, s, w in zip(keys, ids, rows, starts, sizes, strict=True):
-                text = data[at : at + w + length - 1]
-                at += w + length - 1
-                me = (i, r, s, w, k)
-                had = first.get(text)
-                if had is None:
-                    per_key[k] = per_key.get(k, 0) + 1
-                if had is None or me < had:
-                    first[text] = me
-                    me = had
-                if me is not None:
-                    late.append(me[1:4])
-        # a text that is the only one with its anchor has no window in common with another
-        rest = [(t, m) for t, m in first.items() if per_key[m[4]] > 1]
-        first.clear()
-        for lo, hi in _lots(rest, per_key):
-            part = rest[lo:hi]
-            ids, rows, starts = (np.array([m[j] for _, m in part], np.int64) for j in range(3))
-            late += repeated_windows([t for t, _ in part], ids, rows, starts, length)
-        gone.append(np.array(late, np.int64).reshape(-1, 3))
-        all_gone = np.concatenate(gone)
-        return pa.table({c: pa.array(all_gone[:, j]) for j, c in enumerate(("row", "start", "windows"))})
+        late = []
+        for x in found:
+            had = first.get(x[0])
+            if had is None or x[1:] < had[1:]:
+                first[x[0]], x = x, had
+            if x is not None:
+                late.append(x[2:5])
+        out = _late_table(np.concatenate([np.zeros((0, 3), np.int64), *gone, np.array(late, np.int64).reshape(-1, 3)]), schema)
+        if not first:
+            return out
+        row = {"range": key[0].as_py(), "kind": 0, **_packed_strings(list(first.values()))}
+        return pa.concat_tables([out, pa.Table.from_pylist([{f.name: row.get(f.name) for f in schema}], schema=schema)])
+
+    return run
+
+
+def _expanded(found: list[tuple], length: int) -> np.ndarray:
+    """(row, start, windows) of the windows that occur earlier, by interval expansion over the strings of one anchor and more at a time."""
+    per_key: dict[int, int] = {}
+    for x in found:
+        per_key[x[5]] = per_key.get(x[5], 0) + 1
+    # a string that is the only one with its anchor has no window in common with another
+    rest, late = [x for x in found if per_key[x[5]] > 1], []
+    for lo, hi in _lots(rest):
+        part = rest[lo:hi]
+        ids, rows, starts = (np.array([x[j] for x in part], np.int64) for j in (1, 2, 3))
+        late += repeated_windows([x[0] for x in part], ids, rows, starts, length)
+    return np.array(late, np.int64).reshape(-1, 3)
+
+
+def _expand(length: int):
+    def run(key, table):
+        import pyarrow as pa
+
+        late = _expanded(_read_strings(table, length)[0], length)
+        return pa.table({c: pa.array(late[:, j], pa.int64()) for j, c in enumerate(("row", "start", "windows"))})
 
     return run
 
 
-def _lots(rest: list, per_key: dict, most: int = 256 << 10):
+def _lots(rest: list, most: int = 256 << 10):
     """Sorts by anchor and cuts between anchors, into lots of about `most` bytes."""
-    rest.sort(key=lambda x: x[1][4])
+    rest.sort(key=lambda x: x[5])
     lo = size = 0
-    for i, (t, m) in enumerate(rest):
-        if size > most and m[4] != rest[i - 1][1][4]:
+    for i, x in enumerate(rest):
+        if size > most and x[5] != rest[i - 1][5]:
             yield lo, i
             lo, size = i, 0
-        size += len(t)
+        size += len(x[0])
     if rest:
         yield lo, len(rest)
 
@@ -358,7 +406,7 @@ def _cut(length: int):
 
 
 def remove_repeats(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, with_text: bool = False, with_row: bool = False
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, warm: int = WARM, with_text: bool = False, with_row: bool = False
 ) -> DataFrame:
     """One row per input row: id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
 
@@ -376,15 +424,19 @@ def remove_repeats(
     docs = documents(df, id_col, text_col)
     n = text_bytes(docs, "text")
     emit = lambda texts: anchor_tokens(texts, length, anchor)
-    info = materialise(shared_tokens(docs, emit, _finish(hot), _INFO, n), "repeats-documents")
+    info = materialise(shared_tokens(docs, emit, _finish(hot, warm), _INFO, n), "repeats-documents")
     live = info.where("anchors is not null")
     earliest = F.min(F.struct("id", "row"))
     reps = live.groupBy("sha", "n_bytes").agg(earliest.alias("e")).select(F.col("e.row").alias("row"))
     marked = materialise(live.join(reps.withColumn("rep", F.lit(True)), "row", "left").select("row", "anchors", "rep"), "repeats-marked")
     texts = materialise(docs.join(marked.where("rep").select("row", "anchors"), "row"), "repeats-texts")
-    # strings are several times the text they come from
-    strings = texts.mapInArrow(_cut_strings(length, anchor, n_ranges(4 * n)), _STRINGS)
-    late = materialise(strings.groupBy("range").applyInArrow(_expand(length), "row long, start long, windows long"), "repeats-late")
+    # strings are several times the text they come from; a frequent one meets in as many salted groups as each has rows
+    salts = max(4, math.isqrt(n // SLICE_BYTES))
+    strings = texts.mapInArrow(_cut_strings(length, anchor, n_ranges(4 * n), salts), _STRINGS)
+    settled = materialise(strings.groupBy("range", "salt").applyInArrow(_settle(length), _SETTLED), "repeats-settled")
+    combined = settled.where("kind = 0").groupBy("range").applyInArrow(_expand(length), "row long, start long, windows long")
+    late = materialise(settled.where("row is not null").select("row", "start", "windows").union(combined), "repeats-late")
+    discard(settled)
     cut = (
         texts.select("row", "text")
         .join(late.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("late")), "row")
