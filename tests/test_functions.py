@@ -44,7 +44,8 @@ def test_access_and_speed(spark):
 def test_names(one):
     assert one(S.normalize_name, ["San Martín-de  Porres!"]) == ["SAN MARTIN DE PORRES"]
     assert one(S.title_es, ["CALIDAD Y SALUD", "PAUCARTAMBO", "EL ALTO DE LA PAZ"]) == ["Calidad y Salud", "Paucartambo", "el Alto de la Paz"]
-    assert one(lambda c: S.title_es(c, True), ["LA UNION DEL SUR", "EL ALTO"]) == ["La Union del Sur", "El Alto"]
+    assert one(S.title_es, ["O'HIGGINS SAN-MARTIN", " dos   y 3º de ÁNCASH\t", "", None]) == ["O'Higgins San-Martin", "Dos y 3º de Áncash", "", None]
+    assert one(lambda c: S.title_es(c, True), ["LA UNION DEL SUR", "EL ALTO", "SAN-MARTIN"]) == ["La Union del Sur", "El Alto", "San-martin"]
     assert one(S.name_key, ["San Martín", "Lambayeque"]) == ["SanMartin", "Lambayeque"]
 
 
@@ -56,9 +57,9 @@ def test_registered_names_read_whole_texts(spark, tmp_path):
     plain = lambda t: t.translate(str.maketrans(S.ACCENTED, S.PLAIN))
     names = [t if t is None else " ".join(re.sub("[^A-Z0-9 ]", " ", plain(t).upper()).split()) for t in texts]
     keys = [t if t is None else "".join(w.capitalize() for w in re.findall("[A-Za-z]+", plain(t))) for t in texts]
-    words = lambda t: re.sub(r"\s+", " ", t).upper().lower().split(" ")
+    words = lambda t: t.lower().split()
     small = {"y", "de", "del", "la", "las", "los"}
-    titles = [(t, t) if t is None else (" ".join(w if w in small | {"el"} else w.capitalize() for w in words(t)), " ".join(w if i and w in small else w.capitalize() for i, w in enumerate(words(t)))) for t in texts]
+    titles = [(t, t) if t is None else (" ".join(w if w in small | {"el"} else w.title() for w in words(t)), " ".join(w if i and w in small else w.capitalize() for i, w in enumerate(words(t)))) for t in texts]
     assert run(Q.normalize_name) == {i: (x,) for i, x in enumerate(names)} and len(names[0]) > 6000
     assert run(Q.name_key) == {i: (x,) for i, x in enumerate(keys)} and len(keys[0]) > 5000
     assert run(Q.title_es) == dict(enumerate(titles)) and len(titles[1][0]) > 5000

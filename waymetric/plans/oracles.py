@@ -21,6 +21,10 @@ PLAIN = "translate({0}, '" + "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ
 NAME = "trim(regexp_replace(regexp_replace(upper(replace(" + PLAIN + ", 'ß', 'SS')), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
+TITLE_TEXT = "lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"
+CAPITAL = "CASE WHEN {0}[1] = 'ß' THEN 'Ss' ELSE upper({0}[1]) END || substr({0}, 2)"
+
+
 def haversine(a: str, b: str, c: str, d: str) -> str:
     return f"2 * {P.EARTH_RADIUS_M} * asin(sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))"
 
@@ -257,7 +261,7 @@ ORACLES: dict[str, str] = {
     "walk_car_ratio": _q(
         """SELECT department, round(quantile_cont(t_foot / nullif(t_car, 0), 0.5), 6) AS median_ratio, count(*) FILTER (WHERE t_car IS NOT NULL AND t_foot IS NOT NULL) AS n_both,
         round(100.0 * count(*) FILTER (WHERE t_car IS NOT NULL AND t_foot IS NOT NULL) / count(*), 6) AS pct_both FROM o_cross GROUP BY department""", "o_cross"),
-    "haversine_distance": _q(f"SELECT d.demand_id, round({haversine('d.lat', 'd.lon', 'f.lat', 'f.lon')}, 3) AS metres FROM v_demand d JOIN v_facility f ON d.demand_id = f.facility_id", "v_demand", "v_facility"),
+    "haversine_distance": _q(f"SELECT d.demand_id, f.facility_id, round({haversine('d.lat', 'd.lon', 'f.lat', 'f.lon')}, 3) AS metres FROM v_demand d JOIN v_facility f ON d.demand_id % (SELECT count(*) FROM supplier) = f.facility_id", "v_demand", "v_facility"),
     "normalize_category": _q(f"SELECT ordinal, {CATEGORY} AS category FROM v_registry", "v_registry"),
     "is_resolutive": _q(f"SELECT ordinal, {RESOLUTIVE} AS is_resolutive FROM v_registry", "v_registry"),
     "pad_code": _q("SELECT ordinal, lpad(ubigeo, 6, '0') AS code, facility_code || '0000000' AS longer FROM v_registry", "v_registry"),
@@ -271,7 +275,13 @@ ORACLES: dict[str, str] = {
         f"""SELECT '{p}' AS profile, highway, count(*) AS n FROM v_ways WHERE highway NOT IN ({_IN(P.EXCLUDED_HIGHWAYS[p])})
         AND NOT coalesce(other_tags LIKE '%"access"=>"private"%' OR other_tags LIKE '%"{P.ACCESS_TAGS[p]}"=>"no"%', false) GROUP BY highway""" for p in P.ACCESS_TAGS), "v_ways"),
     "edge_speed": _q(f"SELECT way_id, CAST(CASE highway {' '.join(f"WHEN '{k}' THEN {v}" for k, v in P.CAR_SPEEDS.items())} ELSE 40 END AS DOUBLE) AS car, 4.5::DOUBLE AS foot, 12.0::DOUBLE AS bike FROM v_ways", "v_ways"),
-    "normalize_name": _q(f"SELECT doc_id, {NAME.format('substr(text, 1, 80)')} AS name FROM documents"),
+    "title_es": f"""
+        WITH w AS (SELECT doc_id, string_split_regex({TITLE_TEXT}, '\\s+') AS words FROM documents)
+        SELECT doc_id, array_to_string(list_transform(words, lambda w: CASE WHEN w IN ('y', 'de', 'del', 'la', 'las', 'el', 'los') THEN w ELSE
+                 array_to_string(list_transform(regexp_extract_all(w, '(\\p{{L}}+|\\P{{L}}+)'), lambda r: {CAPITAL.format("r")}), '') END), ' ') AS title,
+               array_to_string(list_transform(words, lambda w, i: CASE WHEN i > 1 AND w IN ('y', 'de', 'del', 'la', 'las', 'los') THEN w ELSE {CAPITAL.format("w")} END), ' ') AS census_title
+        FROM w""",
+    "normalize_name": _q(f"SELECT doc_id, {NAME.format('text')} AS name FROM documents"),
     "scope_filter": _q("SELECT department, count(*) AS n FROM v_demand WHERE upper(department) IN ('ASIA', 'EUROPE') GROUP BY department", "v_demand"),
     "registry_standardize": _q(f"SELECT ordinal, facility_code, lpad(ubigeo, 6, '0') AS ubigeo, lat, lon, {CATEGORY} AS category FROM v_registry", "v_registry"),
     "places_standardize": _q("SELECT CAST(demand_id AS STRING) AS facility_code, department, ubigeo, lon, lat, is_capital FROM v_demand", "v_demand"),
@@ -329,7 +339,7 @@ ORACLES: dict[str, str] = {
         JOIN (SELECT department, least(CAST(round_even(sum(population_est) / (SELECT sum(population_est) FROM o_people) * 500, 0) AS BIGINT), count(*)) AS quota FROM o_people GROUP BY department) USING (department)
         QUALIFY (SELECT count(*) FROM o_people) <= 500 OR row_number() OVER (PARTITION BY department ORDER BY draw, demand_id) <= quota""", "o_people"),
     "name_key": (
-        "SELECT doc_id, array_to_string(list_transform(string_split_regex(regexp_replace(" + PLAIN.format("substr(text, 1, 80)") + ", '[^A-Za-z]+', ' ', 'g'), ' +'), "
+        "SELECT doc_id, array_to_string(list_transform(string_split_regex(regexp_replace(" + PLAIN.format("text") + ", '[^A-Za-z]+', ' ', 'g'), ' +'), "
         "lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '') AS key FROM documents"),
     "facility_slices": _q(
         """SELECT facility_code, slice FROM (SELECT facility_code, unnest([CASE WHEN is_resolutive THEN 'resolutive' END, 'any', CASE WHEN category IN ('I-3', 'I-4') THEN 'candidate' END,

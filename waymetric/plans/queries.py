@@ -138,8 +138,10 @@ def pad_code(s, d):
 @query
 def haversine_distance(s, d):
     f = facilities(s, d).select("facility_id", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"))
-    both = view(s, d, "v_demand").join(f, F.col("demand_id") == F.col("facility_id"))
-    return both.select("demand_id", F.round(S.haversine_m(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")), 3).alias("metres"))
+    n = f.agg(F.count(F.lit(1)).alias("n"))
+    # every demand point has one facility, dealt by number
+    both = view(s, d, "v_demand").join(F.broadcast(n)).join(f, F.col("demand_id") % F.col("n") == F.col("facility_id"))
+    return both.select("demand_id", "facility_id", F.round(S.haversine_m(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")), 3).alias("metres"))
 
 
 @query
@@ -179,7 +181,7 @@ def normalize_name(s, d):
 
 @query
 def title_es(s, d):
-    text = F.upper(F.regexp_replace("text", r"\s+", " "))
+    text = F.col("text")
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.title_es(text).alias("title"), S.title_es(text, True).alias("census_title"))
 
 
