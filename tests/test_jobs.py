@@ -1,5 +1,7 @@
 """Quality rules, demand, metrics and siting on small frames."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -162,3 +164,57 @@ def test_report_figures(spark):
     ranking = spark.createDataFrame([("1", "Z", 9.0), ("2", "Y", 8.0), ("3", "Z", 7.0), ("4", "Y", 6.0), ("5", "X", 5.0), ("6", "Y", 4.0)], "ubigeo string, department string, mean_access_min double")
     names = spark.createDataFrame([(str(i), f"d{i}") for i in range(1, 7)], "ubigeo string, district string")
     assert [(r.department, r.n_top, r.place, r.district) for r in I.top_gap_mode(ranking, ranking, names).orderBy("place").collect()] == [("Y", 2, 1, "d2"), ("Y", 2, 2, "d4"), ("Y", 2, 3, "d6")]
+
+
+def test_missing_partitions_with_null_and_padded_keys(spark, tmp_path):
+
+    path = f"file://{tmp_path}/parts"
+    rows = [(1, "010101", "car"), (2, "010101", None), (3, None, "car"), (4, "000300", "foot")]
+    first = spark.createDataFrame(rows[:3], "v long, code string, profile string")
+    assert T.write_missing_partitions(first, path, ["code", "profile"]) == 3
+    assert T.write_missing_partitions(first, path, ["code", "profile"]) == 0
+    assert T.write_missing_partitions(spark.createDataFrame(rows, "v long, code string, profile string"), path, ["code", "profile"]) == 1
+    assert sorted(r.v for r in spark.read.schema("v long, code string, profile string").parquet(path).collect()) == [1, 2, 3, 4]
+
+
+def test_write_table(spark, tmp_path):
+
+    df = spark.createDataFrame([(i, f"n,{i}") for i in range(20)], "i long, name string").repartition(3)
+    for _ in range(2):  # again: replaces
+        T.write_table(df, f"{tmp_path}/p")
+        T.write_table(df, f"{tmp_path}/c", "csv", one_file=True)
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 20 and len(list((tmp_path / "c").glob("part-*"))) == 1
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/c").collect()) == sorted((str(i), f"n,{i}") for i in range(20))
+
+
+def test_registry_reader_finds_the_encoding(spark, tmp_path):
+
+    text = "COD_IPRESS;NOMBRE;UBIGEO;NORTE;ESTE;CATEGORIA\n7;Nu\u00f1oa;10101;-12.5;-76;II-1\n8;Lima;10102;;;0\n"
+    for encoding, name in (("utf-8", "UTF-8"), ("utf-8-sig", "UTF-8"), ("latin-1", "ISO-8859-1")):
+        (tmp_path / encoding).write_bytes(text.encode(encoding))
+        assert T.file_encoding(spark, f"file://{tmp_path}/{encoding}") == name
+        rows = sorted((r.facility_code, r.facility_name, r.ubigeo, r.lat, r.category) for r in T.read_registry(spark, f"file://{tmp_path}/{encoding}").collect())
+        assert rows == [("7", "Nu\u00f1oa", "010101", -12.5, "II-1"), ("8", "Lima", "010102", None, "SIN_CATEGORIA")]
+
+
+def test_containment_in_several_groups(spark, monkeypatch):
+    """The same flags whatever the size of the groups; repeated and useless points too."""
+    square = lambda x: [[[[x, -12.0], [x + 1, -12.0], [x + 1, -11.0], [x, -11.0], [x, -12.0]]]]
+    districts = spark.createDataFrame([("010101", square(-76.0)), ("010102", square(-75.0)), ("010103", None)], "ubigeo string, polygons array<array<array<array<double>>>>")
+    rows = [(i, "010101" if i % 3 else "010103", -11.5, -76.2 + i % 9 / 10) for i in range(40)] + [(90, None, -11.5, -75.5), (91, "010102", None, -75.5), (92, "010102", -11.5, None)]
+    df = spark.createDataFrame(rows, "i long, ubigeo string, lat double, lon double")
+    flags = lambda: {r.i: r.within_declared_district for r in Q.check_district_containment(df, districts).collect()}
+    whole = flags()
+    assert whole == {i: -76.0046 < lon < -74.99 if code == "010101" else None for i, code, lat, lon in rows}
+    monkeypatch.setattr(Q, "GROUP_POINTS", 1)
+    assert flags() == whole
+
+
+def test_carried_values_across_ranges(spark):
+    r = random.Random(3)
+    rows = [(d, i, r.choice([None, None, None, i]) if i > 3 else None) for d in ("a", "b", None) for i in range(200)]
+    got = {(x.d, x.i): x.c for x in Q.carried(spark.createDataFrame(rows, "d string, i long, v long").where("d is not null"), ["d"], ["i"], "v", "c").collect()}
+    last: dict = {}
+    for d, i, v in rows:
+        last[d] = v if v is not None else last.get(d)
+        assert d is None or got[d, i] == last[d]

@@ -79,6 +79,8 @@ def line_meets(line: np.ndarray, rings: list[np.ndarray]) -> bool:
     p, q = line[:-1, None, :], line[1:, None, :]
     for ring in rings:
         a, b = ring[None, :-1, :], ring[None, 1:, :]
-        if ((cross(p, q, a) * cross(p, q, b) <= 0) & (cross(a, b, p) * cross(a, b, q) <= 0) & (p != q).any(-1)).any():
+        # segments on one line cross nowhere else than where their boxes meet
+        boxes = ((np.minimum(p, q) <= np.maximum(a, b)) & (np.minimum(a, b) <= np.maximum(p, q))).all(-1)
+        if (boxes & (cross(p, q, a) * cross(p, q, b) <= 0) & (cross(a, b, p) * cross(a, b, q) <= 0) & (p != q).any(-1)).any():
             return True
     return False

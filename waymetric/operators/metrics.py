@@ -53,11 +53,11 @@ def critical_gap_ranking(table: DataFrame, top_n: int = P.TOP_N) -> DataFrame:
     return table.where("mean_access_min is not null").orderBy(F.desc("mean_access_min"), "ubigeo").limit(top_n)
 
 
-def lorenz_curve(access: DataFrame) -> DataFrame:
-    """t_min, cum_population_share, cum_access_share, with a point at (0, 0).
+def _running(access: DataFrame) -> DataFrame:
+    """t_min, people p and their time pt, the sums of both up to the time, and of all: one row per time.
 
-    Equal times are one point.  Sums run within ranges of t_min, and the ranges' own
-    sums (one row each) shift them, so that no task needs all points.
+    Sums run within ranges of t_min, and the ranges' own sums (one row each) shift
+    them, so that no task needs all points.
     """
     points = access.where("t_min is not null").groupBy("t_min").agg(F.sum("population_est").alias("p"), F.sum(F.col("population_est") * F.col("t_min")).alias("pt"))
     n = int(access.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -69,9 +69,12 @@ def lorenz_curve(access: DataFrame) -> DataFrame:
         "part", zero(F.sum("sp").over(before)).alias("p0"), zero(F.sum("st").over(before)).alias("t0"), F.sum("sp").over(everything).alias("pn"), F.sum("st").over(everything).alias("tn")
     )
     own = Window.partitionBy("part").orderBy("t_min").rowsBetween(Window.unboundedPreceding, 0)
-    curve = dealt.join(totals, "part").select(
-        "t_min", F.try_divide(F.col("p0") + F.sum("p").over(own), "pn").alias("cum_population_share"), F.try_divide(F.col("t0") + F.sum("pt").over(own), "tn").alias("cum_access_share")
-    )
+    return dealt.join(totals, "part").select("t_min", "p", "pt", (F.col("p0") + F.sum("p").over(own)).alias("p_upto"), (F.col("t0") + F.sum("pt").over(own)).alias("pt_upto"), "pn", "tn")
+
+
+def lorenz_curve(access: DataFrame) -> DataFrame:
+    """t_min, cum_population_share, cum_access_share, with a point at (0, 0).  Equal times are one point."""
+    curve = _running(access).select("t_min", F.try_divide("p_upto", "pn").alias("cum_population_share"), F.try_divide("pt_upto", "tn").alias("cum_access_share"))
     start = curve.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(None).cast("double").alias("t_min"), F.lit(0.0).alias("cum_population_share"), F.lit(0.0).alias("cum_access_share"))
     return start.union(curve)
 
@@ -79,18 +82,11 @@ def lorenz_curve(access: DataFrame) -> DataFrame:
 def gini(access: DataFrame) -> DataFrame:
     """1 - 2 x area under the Lorenz curve: one row; null without routable people.
 
-    The area is a sum over points of p * (what lies before + half of the own share),
-    which needs the running sums only.
+    Twice the area is the sum over times of their share of people times the access
+    shares before and after them, which the running sums give.
     """
-    curve = lorenz_curve(access)
-    n = int(access.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(curve.repartitionByRange(n, "cum_population_share").withColumn("part", F.spark_partition_id()), "gini")
-    last = dealt.groupBy("part").agg(F.max(F.struct(F.col("cum_population_share").alias("x"), F.col("cum_access_share").alias("y"))).alias("m"))
-    carry = last.select("part", F.lag("m").over(Window.orderBy("part")).alias("prev"))
-    own = Window.partitionBy("part").orderBy("cum_population_share", "cum_access_share")
-    step = dealt.join(carry, "part").withColumn("a", F.coalesce(F.lag(F.struct(F.col("cum_population_share").alias("x"), F.col("cum_access_share").alias("y"))).over(own), F.col("prev")))
-    area = F.sum((F.col("cum_population_share") - F.col("a.x")) * (F.col("cum_access_share") + F.col("a.y")) / 2)
-    return step.agg((1 - 2 * area).alias("gini"))
+    twice = F.sum(F.try_divide("p", "pn") * F.try_divide(2 * F.col("pt_upto") - F.col("pt"), "tn"))
+    return _running(access).agg((1 - twice).alias("gini"))
 
 
 def urban_rural_contrast(access: DataFrame) -> DataFrame:
@@ -140,10 +136,10 @@ def cross_mode(car: DataFrame, foot: DataFrame, bike: DataFrame, demand: DataFra
     return wide.join(ready, "department", "left_semi")
 
 
-def cross_mode_ratio(table: DataFrame, *by: str) -> DataFrame:
-    """Median of foot over car where both have a route (a car time of 0 gives none), and how many have both."""
+def cross_mode_ratio(table: DataFrame, *by: str, approximate: bool = False) -> DataFrame:
+    """Median of foot over car where both have a route (a car time of 0 gives none), and how many have both; the median as in detour_quantiles."""
     both = F.col("t_car").isNotNull() & F.col("t_foot").isNotNull()
     ratio = F.when(both, F.col("t_foot") / F.nullif("t_car", F.lit(0.0)))
-    return table.groupBy(*by).agg(F.percentile(ratio, F.lit(0.5)).alias("median_ratio"), F.count_if(both).alias("n_both"), (100 * F.count_if(both) / F.count(F.lit(1))).alias("pct_both"))
+    return table.groupBy(*by).agg((F.percentile_approx(ratio, 0.5) if approximate else F.percentile(ratio, F.lit(0.5))).alias("median_ratio"), F.count_if(both).alias("n_both"), (100 * F.count_if(both) / F.count(F.lit(1))).alias("pct_both"))
 
 

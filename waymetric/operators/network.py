@@ -1,12 +1,16 @@
 """Road networks as tables of nodes and edges, and travel times over them.
 
-Keys `scope` (department and profile, say) travel with every table, so that one
-job handles all networks.  Shortest paths relax a frontier by joins; each round's
-state is written to the checkpoint folder.
+Columns named as `scope` (department and profile, say) travel with nodes, edges,
+points and sources, so that one job handles all networks.  A network of bounded size
+is searched within a task; larger ones relax a frontier by joins, whose rounds are
+written to the checkpoint folder.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +45,10 @@ def clip_ways(ways: DataFrame, districts: DataFrame, department: str, cell: floa
         xy = lambda c: np.array([[p["lon"], p["lat"]] for p in c], float)
         return pd.Series([line_meets(xy(a), rings_of(b)) for a, b in zip(line, polygons, strict=True)], index=line.index)
 
-    pairs = own.join(cells, ["cx", "cy"]).dropDuplicates(["way_id", "d"]).withColumn("_line", F.col("coords"))
-    hits = pairs.where(meets(F.col("_line"), F.col("polygons"))).select("way_id")
-    return ways.join(hits, "way_id", "left_semi")
+    # only ids meet in the grid; coordinates and polygons join the different pairs
+    pairs = own.drop("coords").join(cells.select("cx", "cy", "d"), ["cx", "cy"]).select("way_id", "d").distinct()
+    both = pairs.join(ways.select("way_id", F.col("coords").alias("_line")), "way_id").join(shapes, "d")
+    return ways.join(both.where(meets(F.col("_line"), F.col("polygons"))).select("way_id"), "way_id", "left_semi")
 
 
 def ways_to_segments(ways: DataFrame, *keep: str) -> DataFrame:
@@ -94,40 +99,62 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-def largest_component(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the largest weakly connected component; of equally large ones, that with the least node."""
-    parts = nodes.select("node").join(connected_components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    top = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("m")).select((-F.col("m.c")).alias("component"))
-    keep = cut(parts.join(top, "component", "left_semi").select("node"), "largest")
-    return nodes.join(keep, "node", "left_semi"), edges.join(keep.withColumnRenamed("node", "u"), "u", "left_semi")
+def largest_component(nodes: DataFrame, edges: DataFrame, *scope: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the largest weakly connected component of each scope; of equally large ones, that with the least node."""
+    end = lambda c: F.struct(*scope, F.col(c).alias("n"))
+    found = connected_components(edges.select(end("u").alias("u"), end("v").alias("v"))).select("node.*", F.col("component.n").alias("component"))
+    parts = nodes.select(*scope, F.col("node").alias("n")).join(found, [*scope, "n"], "left").select(*scope, F.col("n").alias("node"), F.coalesce("component", "n").alias("component"))
+    sizes = parts.groupBy(*scope, "component").agg(F.count(F.lit(1)).alias("size"))
+    top = sizes.groupBy(*scope).agg(F.max(F.struct("size", (-F.col("component")).alias("c"))).alias("m")).select(*scope, (-F.col("m.c")).alias("component"))
+    keep = cut(parts.join(top, [*scope, "component"], "left_semi").select(*scope, "node"), "largest")
+    return nodes.join(keep, [*scope, "node"], "left_semi"), edges.join(keep.withColumnRenamed("node", "u"), [*scope, "u"], "left_semi")
 
 
-def snap_points(points: DataFrame, nodes: DataFrame, key: str, cell: float = 2000.0, rounds: int = 12) -> DataFrame:
-    """(key, node, snap_dist_m): the nearest node of each point by x and y in metres; null where a point has no coordinates.
+def snap_points(points: DataFrame, nodes: DataFrame, key: str, *scope: str, cell: float = 2000.0) -> DataFrame:
+    """(scope, key, node, snap_dist_m): the nearest node of each point by x and y in metres, in its scope; null without coordinates or nodes.
 
     Points meet the nodes of their own and the eight cells around in a grid; a node
-    nearer than the cell is the nearest.  The others go on with cells three times as
-    large.  Ties go to the least node.  Nothing is compared with all nodes until a
-    cell spans them.
+    nearer than the cell is the nearest.  The few others go down a pyramid of cells,
+    each three times as fine as the one above: a cell stays while its nodes' extent
+    may hold something nearer than another cell surely does.  So a point far from all
+    nodes meets a few cells, not all nodes.  Ties go to the least node.
     """
-    found = points.where("x is null or y is null").select(key, F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("snap_dist_m"))
-    if nodes.isEmpty():
-        return points.select(key, F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("snap_dist_m"))
-    rest = cut(points.where("x is not null and y is not null").select(key, "x", "y"), "snap")
-    for _ in range(rounds):
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        p = rest.select(key, "x", "y", F.explode(around).alias("o")).select(
-            key, "x", "y", (F.floor(F.col("x") / cell) + F.col("o.i")).alias("cx"), (F.floor(F.col("y") / cell) + F.col("o.j")).alias("cy")
-        )
-        n = nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-        dist = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
-        near = cut(p.join(n, ["cx", "cy"]).groupBy(key).agg(F.min(F.struct(dist.alias("d"), "node")).alias("m")).where(F.col("m.d") <= cell), "snap")
-        found = found.union(near.select(key, "m.node", "m.d"))
-        rest = cut(rest.join(near, key, "left_anti"), "snap")
-        if rest.isEmpty():
-            return found
-        cell *= 3
-    raise ValueError("points farther from every node than the largest cell")
+    nothing = (F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("snap_dist_m"))
+    found = points.where("x is null or y is null").select(*scope, key, *nothing)
+    box = nodes.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    rest = points.where("x is not null and y is not null").select(*scope, key, "x", "y")
+    if box[0] is None:
+        return found.union(rest.select(*scope, key, *nothing))
+    own = nodes.select(*scope, "node", F.col("x").alias("nx"), F.col("y").alias("ny"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    p = rest.select(*scope, key, "x", "y", F.explode(around).alias("o")).select(
+        *scope, key, "x", "y", (F.floor(F.col("x") / cell) + F.col("o.i")).alias("cx"), (F.floor(F.col("y") / cell) + F.col("o.j")).alias("cy")
+    )
+    dist = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
+    nearest = F.min(F.struct(dist.alias("d"), "node")).alias("m")
+    near = cut(p.join(own, [*scope, "cx", "cy"]).groupBy(*scope, key).agg(nearest).where(F.col("m.d") <= cell), "snap")
+    found = found.union(near.select(*scope, key, "m.node", "m.d"))
+    rest = cut(rest.join(near, [*scope, key], "left_anti"), "snap")
+    if rest.isEmpty():
+        return found
+    # the pyramid: each level's cells with the extent of their nodes; the highest has one or a few
+    depth = max(1, math.ceil(math.log(max(box[0], box[1], cell) / cell, 3)))
+    bounds = (F.min("nx").alias("x0"), F.max("nx").alias("x1"), F.min("ny").alias("y0"), F.max("ny").alias("y1"))
+    at = lambda c, k: F.floor(F.col(c) / 3**k)
+    level = lambda k: own.groupBy(*scope, at("cx", k).alias("cx"), at("cy", k).alias("cy")).agg(*bounds)
+    gap = lambda c, lo, hi: F.greatest(F.col(lo) - F.col(c), F.col(c) - F.col(hi), F.lit(0.0))
+    reach = lambda c, lo, hi: F.greatest(F.abs(F.col(c) - F.col(lo)), F.abs(F.col(c) - F.col(hi)))
+    pairs = rest.join(level(depth), list(scope)) if scope else rest.join(F.broadcast(level(depth)))  # a few cells to a scope
+    for k in range(depth, -1, -1):
+        if k < depth:
+            cells = level(k).withColumns({"px": F.floor(F.col("cx") / 3), "py": F.floor(F.col("cy") / 3)})
+            pairs = pairs.select(*scope, key, "x", "y", F.col("cx").alias("px"), F.col("cy").alias("py")).join(cells, [*scope, "px", "py"])
+        pairs = pairs.withColumns({"least": F.hypot(gap("x", "x0", "x1"), gap("y", "y0", "y1")), "most": F.hypot(reach("x", "x0", "x1"), reach("y", "y0", "y1"))})
+        sure = pairs.groupBy(*scope, key).agg(F.min("most").alias("sure"))
+        pairs = cut(pairs.join(sure, [*scope, key]).where(F.col("least") <= F.col("sure") * (1 + 1e-12)).select(*scope, key, "x", "y", "cx", "cy"), "snap")
+    last = pairs.join(own, [*scope, "cx", "cy"]).groupBy(*scope, key).agg(nearest)
+    # points of a scope without nodes find none
+    return found.union(rest.select(*scope, key).join(last, [*scope, key], "left").select(*scope, key, "m.node", "m.d"))
 
 
 def snap_report(snapped: DataFrame, *keys: str) -> DataFrame:
@@ -144,34 +171,88 @@ def facility_slices(registry: DataFrame, department: str) -> DataFrame:
     return own.select("facility_code", F.explode(F.filter(names, lambda n: n.isNotNull())).alias("slice"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, key: str | None = None, limit: float | None = None) -> DataFrame:
-    """(key, node, dist): the least sum of weights from a source to every node it reaches.
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, *keys: str, scope: tuple[str, ...] = (), limit: float | None = None) -> DataFrame:
+    """(scope, keys, node, dist): the least sum of weights from a source to every node it reaches, by rounds of joins.
 
-    With a key (a facility) each key's distances are its own; without, they are from
-    the nearest source.  sources: node (and key).  A round extends only what the one
-    before improved, until nothing does; weights must not be negative.
+    With keys (a facility) each key's distances are its own; without, they are from
+    the nearest source.  sources: node (and keys, scope).  A round extends only what
+    the one before improved, and appends what it improves; now and then the state is
+    compacted.  Weights must not be negative.
     """
-    keys = [key] if key else []
-    best_edges = cut(edges.groupBy("u", "v").agg(F.min(weight).alias("w")), "edges")
-    state = cut(sources.select(*keys, "node").distinct().withColumn("dist", F.lit(0.0)), "paths")
-    frontier = state
+    by = [*scope, *keys, "node"]
+    best_edges = cut(edges.groupBy(*scope, "u", "v").agg(F.min(weight).alias("w")), "edges")
+    state = [cut(sources.select(*by).distinct().withColumn("dist", F.lit(0.0)), "paths")]
+    frontier = state[0]
     while not frontier.isEmpty():
-        step = frontier.join(best_edges, frontier["node"] == best_edges["u"]).select(*keys, F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("new"))
+        step = frontier.withColumnRenamed("node", "u").join(best_edges, [*scope, "u"]).select(*scope, *keys, F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("new"))
         if limit is not None:
             step = step.where(F.col("new") <= limit)
-        step = step.groupBy(*keys, "node").agg(F.min("new").alias("new"))
-        both = cut(
-            state.join(step, [*keys, "node"], "full").select(*keys, "node", F.least("dist", "new").alias("dist"), (F.col("new") < F.coalesce("dist", F.lit(float("inf")))).alias("better")), "paths"
-        )
-        drop(state)
-        state, frontier = both.drop("better"), both.where("better").drop("better")
-        state._cut = both._cut
-    return state
-
+        step = step.groupBy(*by).agg(F.min("new").alias("new"))
+        known = functools.reduce(DataFrame.unionByName, state).groupBy(*by).agg(F.min("dist").alias("dist"))
+        frontier = cut(step.join(known, by, "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select(*by, F.col("new").alias("dist")), "paths")
+        state.append(frontier)
+        if len(state) > 8:
+            whole = cut(functools.reduce(DataFrame.unionByName, state).groupBy(*by).agg(F.min("dist").alias("dist")), "paths")
+            drop(*state[:-1])
+            state = [whole, frontier]
+    return functools.reduce(DataFrame.unionByName, state).groupBy(*by).agg(F.min("dist").alias("dist"))
+
+
+def nearest_from_sources(edges: DataFrame, sources: DataFrame, weight: str = "travel_time", limit: float | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, node, dist) from the nearest source; empty without sources.
+
+    A scope of up to SEARCH_EDGES edges is one search within a task; larger ones go
+    by rounds, with the same results.
+    """
+    least = cut(edges.groupBy(*scope, "u", "v").agg(F.min(weight).alias("w")), "edges")
+    tag = F.struct(*scope) if scope else F.struct(F.lit(0).alias("all"))
+    sizes = least.groupBy(tag.alias("s")).agg(F.count(F.lit(1)).alias("n_edges"))
+    small = sizes.where(F.col("n_edges") <= SEARCH_EDGES).select("s")
+    pick = lambda df, how: df.withColumn("s", tag).join(small, "s", how).drop("s")
+    key = [F.col(c) for c in scope] or [F.lit(0).alias("all")]
+    found = pick(least, "left_semi").select(*key, "u", "v", "w").groupBy(*(scope or ["all"])).cogroup(pick(sources, "left_semi").select(*key, "node").groupBy(*(scope or ["all"])))
+
+    def search(who: tuple, network: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
 
-def nearest_from_sources(edges: DataFrame, sources: DataFrame, weight: str = "travel_time", limit: float | None = None) -> DataFrame:
-    """(node, dist) from the nearest source; empty without sources."""
-    return shortest_paths(edges, sources, weight, None, limit)
+        ids, dist = _dijkstra(network["u"], network["v"], network["w"], [own["node"]], limit)
+        near = np.flatnonzero(np.isfinite(dist[0]))
+        return pd.DataFrame({**dict(zip(scope, who, strict=False)), "node": ids[near], "dist": dist[0][near]})
+
+    types = dict(edges.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in scope), "node long", "dist double"])
+    out = found.applyInPandas(search, schema)
+    if sizes.where(F.col("n_edges") > SEARCH_EDGES).isEmpty():
+        return out
+    return out.union(shortest_paths(pick(least, "left_anti"), pick(sources, "left_anti"), "w", scope=scope, limit=limit))
+
+
+def _dijkstra(u, v, w, starts: list, limit: float | None = None) -> tuple:
+    """The nodes, and for each set of starting nodes the least sums of weights to all of them (infinite without a path)."""
+    from heapq import heappop, heappush
+
+    import numpy as np
+
+    ids = np.unique(np.concatenate([np.asarray(x, np.int64) for x in (u, v, *starts)]))
+    near: list[list] = [[] for _ in ids]
+    for a, b, c in zip(np.searchsorted(ids, u).tolist(), np.searchsorted(ids, v).tolist(), np.asarray(w).tolist(), strict=True):
+        near[a].append((b, c))
+    most, out = float("inf") if limit is None else limit, []
+    for own in starts:
+        dist = [float("inf")] * len(ids)
+        heap = [(0.0, s) for s in sorted(set(np.searchsorted(ids, own).tolist()))]
+        for _, s in heap:
+            dist[s] = 0.0
+        while heap:
+            d, a = heappop(heap)
+            if d > dist[a]:
+                continue
+            for b, c in near[a]:
+                if d + c < dist[b] and d + c <= most:
+                    dist[b] = d + c
+                    heappush(heap, (d + c, b))
+        out.append(np.array(dist))
+    return ids, out
 
 
 #: Edges up to which a task searches the network in memory (larger ones go by rounds), and facilities of a task, about.
@@ -189,36 +270,14 @@ def searched_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     sent = edges.crossJoin(dealt.select(F.col("batch").alias("to")).distinct())
 
     def search(network: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        from heapq import heappop, heappush
-
         import numpy as np
 
-        ids = np.unique(np.concatenate([network["u"], network["v"], own["node"]]).astype(np.int64))
-        u, v = (np.searchsorted(ids, network[c]).tolist() for c in ("u", "v"))
-        own = own.assign(at=np.searchsorted(ids, own["node"])).groupby("facility_id")["at"].apply(list)
-        found = {}
-        for weight in ("travel_time", "length"):
-            near = [[] for _ in ids]
-            for a, b, w in zip(u, v, network[weight].tolist(), strict=True):
-                near[a].append((b, w))
-            found[weight] = []
-            for starts in own:
-                dist = [float("inf")] * len(ids)
-                heap = [(0.0, s) for s in sorted(set(starts))]
-                for _, s in heap:
-                    dist[s] = 0.0
-                while heap:
-                    d, a = heappop(heap)
-                    if d > dist[a]:
-                        continue
-                    for b, w in near[a]:
-                        if d + w < dist[b]:
-                            dist[b] = d + w
-                            heappush(heap, (d + w, b))
-                found[weight].append(np.array(dist))
+        own = own.groupby("facility_id")["node"].apply(list)
+        ids, fast = _dijkstra(network["u"], network["v"], network["travel_time"], own.tolist())
+        _, short = _dijkstra(network["u"], network["v"], network["length"], own.tolist())
         out = [
             pd.DataFrame({"facility_id": f, "node": ids[ok], "seconds": s[ok], "distance_m": m[ok]})
-            for f, s, m in zip(own.index, found["travel_time"], found["length"], strict=True)
+            for f, s, m in zip(own.index, fast, short, strict=True)
             for ok in [np.isfinite(s)]
         ]
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("facility_id", "node", "seconds", "distance_m")})
@@ -240,7 +299,7 @@ def travel_matrix(edges: DataFrame, origins: DataFrame, facilities: DataFrame, l
         paths = searched_paths(least, sources)
         paths = paths if limit_s is None else paths.where(F.col("seconds") <= limit_s)
     else:
-        fast = shortest_paths(least, sources, "travel_time", "facility_id", limit_s).withColumnRenamed("dist", "seconds")
+        fast = shortest_paths(least, sources, "travel_time", "facility_id", limit=limit_s).withColumnRenamed("dist", "seconds")
         short = shortest_paths(least, sources, "length", "facility_id").withColumnRenamed("dist", "distance_m")
         paths = fast.join(short, ["facility_id", "node"])
     # the result is a row per pair; facilities of a network are few and Spark decides how to pair them
@@ -250,14 +309,14 @@ def travel_matrix(edges: DataFrame, origins: DataFrame, facilities: DataFrame, l
     return out.select("demand_id", "facility_id", (F.col("seconds") / 60).alias("duration_min"), "distance_m", routable.alias("routable"), "facility_is_resolutive")
 
 
-def nearest_by_profile(edges: DataFrame, snapped: DataFrame, sources: DataFrame) -> DataFrame:
-    """snapped (demand_id, node): minutes to the nearest source, or not routable."""
-    near = nearest_from_sources(edges, sources)
-    return snapped.join(near, "node", "left").select("demand_id", (F.col("dist") / 60).alias("duration_min"), F.col("dist").isNotNull().alias("routable"))
+def nearest_by_profile(edges: DataFrame, snapped: DataFrame, sources: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """snapped (scope, demand_id, node): minutes to the nearest source of the scope (department and profile, say), or not routable."""
+    near = nearest_from_sources(edges, sources, scope=scope)
+    return snapped.join(near, [*scope, "node"], "left").select(*scope, "demand_id", (F.col("dist") / 60).alias("duration_min"), F.col("dist").isNotNull().alias("routable"))
 
 
-def urban_walk_any(edges: DataFrame, snapped: DataFrame, demand: DataFrame, sources: DataFrame) -> DataFrame:
-    return nearest_by_profile(edges, snapped.join(demand.where("is_urban").select("demand_id"), "demand_id", "left_semi"), sources)
+def urban_walk_any(edges: DataFrame, snapped: DataFrame, demand: DataFrame, sources: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    return nearest_by_profile(edges, snapped.join(demand.where("is_urban").select("demand_id"), "demand_id", "left_semi"), sources, scope)
 
 
 def nearest_facility(matrix: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..checkpoints import cut
 from ..functions.geometry import rings_of, utm_arrays, utm_project, within
 from ..functions.scalars import is_resolutive, normalize_name
 
@@ -50,31 +51,37 @@ def check_swapped_lat_lon(df: DataFrame, box: P.BoundingBox = P.BBOX) -> DataFra
     return df.withColumns(new)
 
 
+#: Points of a district that one task tests against its polygon, about.
+GROUP_POINTS = 200_000
+
+
 def check_district_containment(df: DataFrame, districts: DataFrame, tolerance_m: float = P.TOLERANCE_M, zone: int = P.UTM_ZONE) -> DataFrame:
     """Adds within_declared_district: in the polygon of its code or less than tolerance_m from it; null where it can't be checked.
 
-    The districts (code, polygons) join by code; Spark broadcasts them below its
-    threshold and shuffles both sides beyond it.  The helper sees one Arrow batch.
+    The different points of each code meet its polygon in groups of bounded size, so
+    that a polygon goes to a group once, not into every row; rows then join their point.
     """
     shapes = districts.where("polygons is not null").select(F.col("ubigeo").alias("d_code"), "polygons")
-    x, y = utm_project(F.col("lon"), F.col("lat"), zone)
-
-    @F.pandas_udf("boolean")
-    def contained(px: pd.Series, py: pd.Series, code: pd.Series, polygons: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(px), index=px.index, dtype="boolean")
-        for _, at in code.groupby(code).groups.items():
-            rings = []
-            for r in rings_of(polygons[at[0]]):
-                rx, ry = utm_arrays(r[:, 0], r[:, 1], zone)
-                rings.append(list(zip(rx, ry, strict=True)))
-            out[at] = within(px[at].to_numpy(), py[at].to_numpy(), rings, tolerance_m)
-        return out
-
-    joined = df.join(shapes, df["ubigeo"] == shapes["d_code"], "left")
-    usable = _checkable(df) & (F.col("in_bbox") if "in_bbox" in df.columns else F.lit(True)) & F.col("d_code").isNotNull() & F.col("lon").isNotNull()
-    # rows that can't be checked give the helper nulls, which it groups nowhere
-    flag = contained(F.when(usable, x), F.when(usable, y), F.when(usable, F.col("d_code")), F.when(usable, F.col("polygons")))
-    return joined.withColumn("within_declared_district", flag).drop("d_code", "polygons")
+    usable = _checkable(df) & (F.col("in_bbox") if "in_bbox" in df.columns else F.lit(True)) & F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    points = df.where(usable).select(F.col("ubigeo").alias("d_code"), F.col("lon").alias("px"), F.col("lat").alias("py")).distinct()
+    points = points.join(shapes.select("d_code"), "d_code", "left_semi")
+    parts = points.groupBy("d_code").agg(F.ceil(F.count(F.lit(1)) / GROUP_POINTS).cast("int").alias("parts"))
+    x, y = utm_project(F.col("px"), F.col("py"), zone)
+    dealt = points.join(parts, "d_code").select("d_code", F.pmod(F.xxhash64("px", "py"), F.col("parts")).alias("part"), "px", "py", x.alias("x"), y.alias("y"))
+    copies = shapes.join(parts, "d_code").select("d_code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "polygons")
+
+    def contained(own: pd.DataFrame, shape: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        rings = []
+        for r in rings_of(shape["polygons"][0]) if len(shape) else []:
+            rx, ry = utm_arrays(r[:, 0], r[:, 1], zone)
+            rings.append(np.stack([rx, ry], 1))
+        return own[["d_code", "px", "py"]].assign(inside=within(own["x"].to_numpy(), own["y"].to_numpy(), rings, tolerance_m))
+
+    flags = dealt.groupBy("d_code", "part").cogroup(copies.groupBy("d_code", "part")).applyInPandas(contained, "d_code string, px double, py double, inside boolean")
+    joined = df.join(flags, usable & (df["ubigeo"] == flags["d_code"]) & (df["lon"] == flags["px"]) & (df["lat"] == flags["py"]), "left")
+    return joined.withColumn("within_declared_district", F.col("inside")).drop("d_code", "px", "py", "inside")
 
 
 def check_duplicate_codes(df: DataFrame, code: str = "facility_code", ordinal: str = "ordinal") -> DataFrame:
@@ -103,8 +110,15 @@ def run_all_checks(df: DataFrame, districts: DataFrame, *, places: bool = False)
     return out if places else out.withColumn("is_resolutive", is_resolutive(F.col("category"), F.col("status_raw")))
 
 
+def encoding_report(lines: DataFrame, source: str, candidates: tuple[str, ...] = P.ENCODINGS) -> DataFrame:
+    """Report row: the first candidate that reads all lines (content binary): UTF-8, or else Latin-1, which reads anything."""
+    valid = F.coalesce(F.bool_and(F.is_valid_utf8("content")), F.lit(True))
+    row = lines.agg(F.lit("encoding").alias("rule"), F.when(valid, F.lit(candidates[0])).otherwise(F.lit(candidates[1])).alias("encoding_used"))
+    return row.withColumn("source", F.lit(source))
+
+
 def rule_report(df: DataFrame, districts: DataFrame, source: str, *, places: bool = False) -> DataFrame:
-    """One row per rule, from one aggregate over the flagged rows before the duplicate check, and one over codes."""
+    """One row per rule, from one aggregate over the flagged rows before the duplicate check, one over codes and one over districts."""
     flagged = check_district_containment(check_swapped_lat_lon(check_out_of_bbox(check_missing_coordinates(df))), districts)
     total = F.count(F.lit(1))
     counts = {
@@ -113,11 +127,13 @@ def rule_report(df: DataFrame, districts: DataFrame, source: str, *, places: boo
         "swapped_lat_lon": F.count_if("was_coord_swapped"),
         "district_containment": F.count_if(~F.col("within_declared_district")),
     }
-    row = flagged.agg(total.alias("total"), F.count("within_declared_district").alias("checkable"), *[v.alias(k) for k, v in counts.items()])
+    shapeless = districts.agg(F.count_if(F.col("polygons").isNull()).alias("shapeless"))
+    row = flagged.agg(total.alias("total"), F.count("within_declared_district").alias("checkable"), *[v.alias(k) for k, v in counts.items()]).join(F.broadcast(shapeless))  # one row each
     rules = [
         F.struct(
             F.lit(k).alias("rule"), F.col(k).alias("n_flagged"), (_pct(F.col(k), F.col("total")) if k == "missing_coordinates" else F.lit(None).cast("double")).alias("pct_flagged"),
             (F.col("checkable") if k == "district_containment" else F.lit(None).cast("long")).alias("n_checkable"),
+            (F.col("shapeless") if k == "district_containment" else F.lit(None).cast("long")).alias("n_districts_without_geometry"),
         )
         for k in counts
     ]
@@ -177,6 +193,24 @@ def cluster_rows(words: DataFrame, tolerance: float = 4.0, page: tuple[str, ...]
     return words.withColumn("_gap", gap).withColumn("row_no", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the last value that is not null, up to and with the row, within its keys' group and order.
+
+    Rows are dealt by ranges of keys and order, so that a group of any size spreads
+    over many tasks; what a range ends with (one row per group and range) goes on to
+    the ranges after it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "carried")
+    upto = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumn(name, F.last(value, ignorenulls=True).over(upto))
+    ends = dealt.where(F.col(value).isNotNull()).groupBy("_part", *keys).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    every = dealt.select("_part", *keys).distinct().join(ends, ["_part", *keys], "left")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    return local.join(every, ["_part", *keys]).withColumn(name, F.coalesce(name, "_before")).drop("_part", "_before")
+
+
 # Words of age groups, which are no districts.
 AGE_WORDS = ("ANO", "ANOS")
 
@@ -195,8 +229,7 @@ def words_to_entries(words: DataFrame) -> DataFrame:
         F.col("t").isNotNull() & F.col("h").isNotNull(),
         F.struct((F.col("t.x0") - (F.col("h.x0") - F.col("t.x1"))).alias("lo"), ((F.col("t.x1") + F.col("h.x0")) / 2).alias("hi")),
     )
-    carried = F.last(own, ignorenulls=True).over(Window.partitionBy("doc").orderBy("page"))
-    pages = pages.select("doc", "page", "head", carried.alias("b")).where("b is not null")
+    pages = carried(pages.select("doc", "page", "head", own.alias("own")), ["doc"], ["page"], "own", "b").where("b is not null").select("doc", "page", "head", "b")
     data = cluster_rows(words.join(pages, ["doc", "page"]).where(F.col("top") > F.col("head") + 3))
     digits = F.col("text").rlike("^[0-9]+$") & F.col("x0").between(F.col("b.lo") - 2, F.col("b.hi") + 2)
     joined = lambda cond, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("x0", "text")))), lambda x: x["text"]), sep)
@@ -208,5 +241,5 @@ def words_to_entries(words: DataFrame) -> DataFrame:
         .when((name != "") & ~name.rlike("[0-9]") & ~F.arrays_overlap(F.split(name, " "), F.array(*[F.lit(w) for w in AGE_WORDS])), "DISTRITO")
     )
     rows = rows.select("doc", "page", "row_no", level.alias("level"), "label", F.when(F.col("digits") != "", F.col("digits").cast("long")).alias("value")).where("level is not null")
-    section = F.last(F.when(F.col("level") != "DISTRITO", F.struct("level", "label")), ignorenulls=True).over(Window.partitionBy("doc").orderBy("page", "row_no"))
-    return rows.withColumn("s", section).select("doc", "page", "row_no", "level", "label", "value", F.when(F.col("s.level") == "PROVINCIA", F.col("s.label")).alias("province"))
+    rows = rows.withColumn("section", F.when(F.col("level") != "DISTRITO", F.struct("level", "label")))
+    return carried(rows, ["doc"], ["page", "row_no"], "section", "s").select("doc", "page", "row_no", "level", "label", "value", F.when(F.col("s.level") == "PROVINCIA", F.col("s.label")).alias("province"))

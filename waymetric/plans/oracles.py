@@ -140,55 +140,17 @@ COMMON: dict[str, tuple[str, list[str]]] = {
         ["v_district"],
     ),
     "o_contained": (contained("o_fixed", "ordinal", "has_valid_coords AND in_bbox"), ["o_fixed", "o_edge"]),
+    "o_places": (contained("(SELECT demand_id AS ordinal, ubigeo, lon, lat FROM v_demand)", "ordinal", "true"), ["v_demand", "o_edge"]),
     "o_clean": ("SELECT * FROM o_contained QUALIFY row_number() OVER (PARTITION BY facility_code ORDER BY ordinal) = 1", ["o_contained"]),
     "o_segments": (
         """SELECT way_id, highway, other_tags, lon1, lat1, lon2, lat2 FROM v_ways UNION ALL SELECT way_id, highway, other_tags, lon2, lat2, lon3, lat3 FROM v_ways""",
         ["v_ways"],
     ),
-    "o_edges": (
-        f"""SELECT u, v, length, length / (speed / 3.6) AS travel_time, highway FROM (
-        SELECT a AS u, b AS v, length, speed, highway FROM o_arcs UNION ALL SELECT b, a, length, speed, highway FROM o_arcs WHERE NOT oneway)""",
-        ["o_arcs"],
-    ),
-    "o_arcs": (
-        f"""SELECT highway, coalesce(other_tags LIKE '%"oneway"=>"yes"%', false) AS oneway, {haversine("lat1", "lon1", "lat2", "lon2")} AS length,
-        CASE highway {" ".join(f"WHEN '{k}' THEN {v}" for k, v in P.CAR_SPEEDS.items())} ELSE 40 END AS speed,
-        CAST(round((lat1 + 90) * 1e7) AS BIGINT) * 4000000000 + CAST(round((lon1 + 180) * 1e7) AS BIGINT) AS a,
-        CAST(round((lat2 + 90) * 1e7) AS BIGINT) * 4000000000 + CAST(round((lon2 + 180) * 1e7) AS BIGINT) AS b
-        FROM o_segments WHERE highway NOT IN ({_IN(P.EXCLUDED_HIGHWAYS["car"])})
-        AND coalesce(other_tags NOT LIKE '%"access"=>"private"%' AND other_tags NOT LIKE '%"motor_vehicle"=>"no"%', true)""",
-        ["o_segments"],
-    ),
     "o_road": (
         """SELECT DISTINCT CAST(round((y + 90) * 1e7) AS BIGINT) * 4000000000 + CAST(round((x + 180) * 1e7) AS BIGINT) AS node, round(x, 7) AS x, round(y, 7) AS y
         FROM (SELECT lon1 AS x, lat1 AS y FROM o_segments UNION SELECT lon2, lat2 FROM o_segments)""",
         ["o_segments"],
     ),
-    "o_both": ("SELECT u, v FROM o_edges UNION SELECT v, u FROM o_edges", ["o_edges"]),
-    # labels spread along the edges until each node has the least of its component
-    "o_part": (
-        """SELECT DISTINCT u AS node, u AS c FROM o_both UNION
-        SELECT b.v AS node, min(a.c) AS c FROM o_part a JOIN o_both b ON a.node = b.u JOIN recurring.o_part r ON r.node = b.v WHERE a.c < r.c GROUP BY b.v""",
-        ["o_both"],
-    ),
-    "o_largest": (
-        "SELECT node, x, y FROM o_road WHERE node IN (SELECT node FROM o_part WHERE c = (SELECT c FROM o_part GROUP BY c ORDER BY count(*) DESC, c LIMIT 1))",
-        ["o_part", "o_road"],
-    ),
-    "o_snapped": (
-        """SELECT key, kind, node, round(d, 9) AS d FROM (SELECT p.key, p.kind, n.node, sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) AS d FROM (
-        SELECT demand_id AS key, 'demand' AS kind, CASE WHEN demand_id % 17 <> 0 THEN -77 + (demand_id * 31 % 4000) / 1e4 END AS x, -12 + (demand_id * 17 % 3700) / 1e4 AS y FROM v_demand UNION ALL
-        SELECT facility_id, 'facility', CASE WHEN facility_id % 17 <> 0 THEN -77 + (facility_id * 31 % 4000) / 1e4 END, -12 + (facility_id * 17 % 3700) / 1e4 FROM v_facility) p
-        LEFT JOIN o_largest n ON p.x IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY d, node) = 1""",
-        ["v_demand", "v_facility", "o_largest"],
-    ),
-    "o_hop": ("SELECT u, v, min(travel_time) AS w FROM o_edges WHERE u IN (SELECT node FROM o_largest) GROUP BY u, v", ["o_edges", "o_largest"]),
-    "o_walk": (
-        """SELECT DISTINCT node, CAST(0 AS DOUBLE) AS dist FROM o_snapped WHERE kind = 'facility' AND node IS NOT NULL UNION
-        SELECT h.v AS node, min(a.dist + h.w) AS dist FROM o_walk a JOIN o_hop h ON a.node = h.u LEFT JOIN recurring.o_walk r ON r.node = h.v
-        WHERE r.dist IS NULL OR a.dist + h.w < r.dist GROUP BY h.v""",
-        ["o_snapped", "o_hop"],
-    ),
     "o_open": (
         """SELECT DISTINCT m.facility_id, m.demand_id, p.department, p.population_est AS pop FROM v_matrix m JOIN o_people p USING (demand_id)
         WHERE m.routable AND m.duration_min <= 60 AND NOT m.facility_is_resolutive
@@ -203,6 +165,68 @@ COMMON: dict[str, tuple[str, list[str]]] = {
 }
 
 
+def _network(profile: str, at: str) -> None:
+    """The network of a profile and the walks over it; at is the ending of the tables' names."""
+    speed = f"CASE highway {' '.join(f"WHEN '{k}' THEN {v}" for k, v in P.CAR_SPEEDS.items())} ELSE 40 END" if profile == "car" else str(P.FLAT_SPEEDS[profile])
+    node = "CAST(round((lat{0} + 90) * 1e7) AS BIGINT) * 4000000000 + CAST(round((lon{0} + 180) * 1e7) AS BIGINT)"
+
+    def walk(name: str, weight: str, sources: str) -> tuple[str, list[str]]:
+        """Least sums of weights from each source f, by rounds."""
+        return (
+            f"""{sources} UNION
+            SELECT a.f, h.v AS node, min(a.dist + h.{weight}) AS dist FROM {name} a JOIN o_hop{at} h ON a.node = h.u LEFT JOIN recurring.{name} r ON r.node = h.v AND r.f = a.f
+            WHERE r.dist IS NULL OR a.dist + h.{weight} < r.dist GROUP BY a.f, h.v""",
+            [f"o_snapped{at}", f"o_hop{at}", "v_facility"],
+        )
+
+    placed = f"SELECT DISTINCT {{0}} AS f, node, CAST(0 AS DOUBLE) AS dist FROM o_snapped{at} JOIN v_facility ON key = facility_id WHERE kind = 'facility' AND node IS NOT NULL"
+    tables = {
+        "o_arcs": (
+            f"""SELECT highway, coalesce(other_tags LIKE '%"oneway"=>"yes"%', false) AS oneway, {haversine("lat1", "lon1", "lat2", "lon2")} AS length,
+            {speed} AS speed, {node.format(1)} AS a, {node.format(2)} AS b FROM o_segments WHERE highway NOT IN ({_IN(P.EXCLUDED_HIGHWAYS[profile])})
+            AND coalesce(other_tags NOT LIKE '%"access"=>"private"%' AND other_tags NOT LIKE '%"{P.ACCESS_TAGS[profile]}"=>"no"%', true)""",
+            ["o_segments"],
+        ),
+        "o_edges": (
+            f"""SELECT u, v, length, length / (speed / 3.6) AS travel_time, highway FROM (
+            SELECT a AS u, b AS v, length, speed, highway FROM o_arcs{at} UNION ALL SELECT b, a, length, speed, highway FROM o_arcs{at} WHERE NOT oneway)""",
+            [f"o_arcs{at}"],
+        ),
+        "o_both": (f"SELECT u, v FROM o_edges{at} UNION SELECT v, u FROM o_edges{at}", [f"o_edges{at}"]),
+        # labels spread along the edges until each node has the least of its component
+        "o_part": (
+            f"""SELECT DISTINCT u AS node, u AS c FROM o_both{at} UNION
+            SELECT b.v AS node, min(a.c) AS c FROM o_part{at} a JOIN o_both{at} b ON a.node = b.u JOIN recurring.o_part{at} r ON r.node = b.v WHERE a.c < r.c GROUP BY b.v""",
+            [f"o_both{at}"],
+        ),
+        "o_largest": (
+            f"SELECT node, x, y FROM o_road WHERE node IN (SELECT node FROM o_part{at} WHERE c = (SELECT c FROM o_part{at} GROUP BY c ORDER BY count(*) DESC, c LIMIT 1))",
+            [f"o_part{at}", "o_road"],
+        ),
+        "o_snapped": (
+            f"""SELECT key, kind, node, round(d, 9) AS d FROM (SELECT p.key, p.kind, n.node, sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) AS d FROM (
+            SELECT demand_id AS key, 'demand' AS kind, CASE WHEN demand_id % 17 <> 0 THEN -77 + (demand_id * 31 % 4000) / 1e4 END AS x, -12 + (demand_id * 17 % 3700) / 1e4 AS y FROM v_demand UNION ALL
+            SELECT facility_id, 'facility', CASE WHEN facility_id % 17 <> 0 THEN -77 + (facility_id * 31 % 4000) / 1e4 END, -12 + (facility_id * 17 % 3700) / 1e4 FROM v_facility) p
+            LEFT JOIN o_largest{at} n ON p.x IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY d, node) = 1""",
+            ["v_demand", "v_facility", f"o_largest{at}"],
+        ),
+        "o_hop": (
+            f"SELECT u, v, min(travel_time) AS w, min(length) AS m FROM o_edges{at} WHERE u IN (SELECT node FROM o_largest{at}) GROUP BY u, v",
+            [f"o_edges{at}", f"o_largest{at}"],
+        ),
+        "o_walk": walk(f"o_walk{at}", "w", placed.format("0")),
+        "o_reach": walk(f"o_reach{at}", "w", placed.format("0") + " AND is_resolutive"),
+        "o_fast": walk(f"o_fast{at}", "w", placed.format("facility_id")),
+        "o_short": walk(f"o_short{at}", "m", placed.format("facility_id")),
+    }
+    for name, body in tables.items():
+        COMMON[name + at] = body
+
+
+for _profile, _at in (("car", ""), ("foot", "_foot"), ("bike", "_bike")):
+    _network(_profile, _at)
+
+
 def _rounds(k: int) -> None:
     """k rounds of the greedy siting, each a table on the one before."""
     for r in range(1, k + 1):
@@ -302,15 +326,25 @@ ORACLES: dict[str, str] = {
     "clean_registry": _q("SELECT ordinal, facility_code, ubigeo, category, lat, lon, has_valid_coords, in_bbox, was_coord_swapped, within_declared_district, is_resolutive FROM o_clean", "o_clean"),
     "quality_report": _q(
         """SELECT 'missing_coordinates' AS rule, count(*) FILTER (WHERE NOT has_valid_coords) AS n_flagged, round(100.0 * count(*) FILTER (WHERE NOT has_valid_coords) / count(*), 2) AS pct_flagged,
-        CAST(NULL AS BIGINT) AS n_checkable, CAST(NULL AS BIGINT) AS n_involved_rows, 'registry' AS source FROM o_flags
-        UNION ALL SELECT 'out_of_bbox', count(*) FILTER (WHERE NOT in0), NULL, NULL, NULL, 'registry' FROM o_flags
-        UNION ALL SELECT 'swapped_lat_lon', count(*) FILTER (WHERE was_coord_swapped), NULL, NULL, NULL, 'registry' FROM o_flags
-        UNION ALL SELECT 'district_containment', count(*) FILTER (WHERE NOT within_declared_district), NULL, count(within_declared_district), NULL, 'registry' FROM o_contained
-        UNION ALL SELECT 'duplicate_codes', CAST(coalesce(sum(n - 1), 0) AS BIGINT), NULL, NULL, CAST(coalesce(sum(n), 0) AS BIGINT), 'registry' FROM (SELECT count(*) AS n FROM v_registry GROUP BY facility_code HAVING count(*) > 1)
-        UNION ALL SELECT 'unclassified_category', count(*) FILTER (WHERE category = 'SIN_CATEGORIA'), round(100.0 * count(*) FILTER (WHERE category = 'SIN_CATEGORIA') / count(*), 2), NULL, NULL, 'registry' FROM o_clean
-        UNION ALL SELECT 'population_without_code', count(*) FILTER (WHERE trim(ubigeo) = ''), round(100.0 * count(*) FILTER (WHERE trim(ubigeo) = '') / count(*), 2), NULL, NULL, 'population' FROM v_population""",
-        "o_flags", "o_contained", "o_clean", "v_population"),
-    "containment_pct": _q("SELECT 'registry' AS source, round(100.0 * count(*) FILTER (WHERE NOT within_declared_district) / count(within_declared_district), 6) AS pct_outside FROM o_contained", "o_contained"),
+        CAST(NULL AS BIGINT) AS n_checkable, CAST(NULL AS BIGINT) AS n_involved_rows, CAST(NULL AS BIGINT) AS n_districts_without_geometry, CAST(NULL AS VARCHAR) AS encoding_used, 'registry' AS source FROM o_flags
+        UNION ALL SELECT 'out_of_bbox', count(*) FILTER (WHERE NOT in0), NULL, NULL, NULL, NULL, NULL, 'registry' FROM o_flags
+        UNION ALL SELECT 'swapped_lat_lon', count(*) FILTER (WHERE was_coord_swapped), NULL, NULL, NULL, NULL, NULL, 'registry' FROM o_flags
+        UNION ALL SELECT 'district_containment', count(*) FILTER (WHERE NOT within_declared_district), NULL, count(within_declared_district), NULL, (SELECT count(*) FROM v_district WHERE has_shape = 0), NULL, 'registry' FROM o_contained
+        UNION ALL SELECT 'duplicate_codes', CAST(coalesce(sum(n - 1), 0) AS BIGINT), NULL, NULL, CAST(coalesce(sum(n), 0) AS BIGINT), NULL, NULL, 'registry' FROM (SELECT count(*) AS n FROM v_registry GROUP BY facility_code HAVING count(*) > 1)
+        UNION ALL SELECT 'unclassified_category', count(*) FILTER (WHERE category = 'SIN_CATEGORIA'), round(100.0 * count(*) FILTER (WHERE category = 'SIN_CATEGORIA') / count(*), 2), NULL, NULL, NULL, NULL, 'registry' FROM o_clean
+        UNION ALL SELECT 'population_without_code', count(*) FILTER (WHERE trim(ubigeo) = ''), round(100.0 * count(*) FILTER (WHERE trim(ubigeo) = '') / count(*), 2), NULL, NULL, NULL, NULL, 'population' FROM v_population
+        UNION ALL SELECT 'encoding', NULL, NULL, NULL, NULL, NULL, 'utf-8', 'registry'
+        UNION ALL SELECT 'missing_coordinates', 0, 0.0, NULL, NULL, NULL, NULL, 'places'
+        UNION ALL SELECT 'out_of_bbox', 0, NULL, NULL, NULL, NULL, NULL, 'places'
+        UNION ALL SELECT 'swapped_lat_lon', 0, NULL, NULL, NULL, NULL, NULL, 'places'
+        UNION ALL SELECT 'duplicate_codes', 0, NULL, NULL, 0, NULL, NULL, 'places'
+        UNION ALL SELECT 'district_containment', count(*) FILTER (WHERE NOT within_declared_district), NULL, count(within_declared_district), NULL, (SELECT count(*) FROM v_district WHERE has_shape = 0), NULL, 'places' FROM o_places""",
+        "o_flags", "o_contained", "o_clean", "v_population", "o_places", "v_district"),
+    "containment_pct": _q(
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS source, round(100.0 * count(*) FILTER (WHERE NOT within_declared_district) / count(within_declared_district), 6) AS pct_outside FROM {t}"
+            for n, t in (("registry", "o_contained"), ("places", "o_places"))
+        ), "o_contained", "o_places"),
     "registry_summary": _q(
         """SELECT coalesce(a.department, b.department) AS department, coalesce(n_facilities, 0) AS n_facilities, coalesce(n_resolutive, 0) AS n_resolutive, coalesce(n_places, 0) AS n_places
         FROM (SELECT department, count(*) AS n_facilities, count(*) FILTER (WHERE is_resolutive) AS n_resolutive FROM o_clean GROUP BY department) a
@@ -349,6 +383,27 @@ ORACLES: dict[str, str] = {
         "SELECT DISTINCT CAST(round((y + 90) * 1e7) AS BIGINT) * 4000000000 + CAST(round((x + 180) * 1e7) AS BIGINT) AS node, round(x, 7) AS x, round(y, 7) AS y FROM (SELECT lon1 AS x, lat1 AS y FROM o_segments UNION SELECT lon2, lat2 FROM o_segments)", "o_segments"),
     "road_edges": _q("SELECT u, v, round(length, 3) AS length, round(travel_time, 4) AS travel_time, highway FROM o_edges", "o_edges"),
     "largest_component": _q("SELECT node, x, y FROM o_largest", "o_largest"),
+    "largest_component_by_profile": _q(
+        " UNION ALL ".join(f"SELECT '{p}' AS profile, CAST(node AS STRING) AS node FROM o_largest{e}" for p, e in (("car", ""), ("foot", "_foot"), ("bike", "_bike"))),
+        "o_largest", "o_largest_foot", "o_largest_bike"),
+    "clip_ways": _q(
+        "SELECT way_id FROM v_ways WHERE " + " OR ".join(f"(lon{i} BETWEEN -76.905 - 1e-9 AND -76.8 + 1e-9 AND lat{i} BETWEEN -11.905 - 1e-9 AND -11.8 + 1e-9)" for i in (1, 2, 3)), "v_ways"),
+    "travel_matrix": _q(
+        """SELECT p.key AS demand_id, f.facility_id, round(w.dist / 60, 6) AS duration_min, round(m.dist, 3) AS distance_m, w.dist IS NOT NULL AS routable, f.is_resolutive AS facility_is_resolutive
+        FROM o_snapped p JOIN (SELECT facility_id, is_resolutive, node AS f_node FROM v_facility JOIN o_snapped ON kind = 'facility' AND key = facility_id) f
+          ON p.kind = 'demand' AND (p.node IS NULL OR f.f_node IS NOT NULL)
+        LEFT JOIN o_fast w ON w.f = f.facility_id AND w.node = p.node LEFT JOIN o_short m ON m.f = f.facility_id AND m.node = p.node""",
+        "o_snapped", "v_facility", "o_fast", "o_short"),
+    "nearest_by_profile": _q(
+        """SELECT profile, key AS demand_id, round(dist / 60, 5) AS duration_min, dist IS NOT NULL AS routable FROM (
+        SELECT 'car' AS profile, key, dist FROM o_snapped s LEFT JOIN o_reach r ON s.node = r.node WHERE kind = 'demand' UNION ALL
+        SELECT 'foot', key, dist FROM o_snapped_foot s LEFT JOIN o_reach_foot r ON s.node = r.node WHERE kind = 'demand' UNION ALL
+        SELECT 'bike', key, dist FROM o_snapped_bike s LEFT JOIN o_reach_bike r ON s.node = r.node WHERE kind = 'demand')""",
+        "o_snapped", "o_reach", "o_snapped_foot", "o_reach_foot", "o_snapped_bike", "o_reach_bike"),
+    "urban_walk_any": _q(
+        """SELECT key AS demand_id, round(dist / 60, 5) AS duration_min, dist IS NOT NULL AS routable FROM o_snapped_foot s LEFT JOIN o_walk_foot w ON s.node = w.node
+        WHERE kind = 'demand' AND key IN (SELECT demand_id FROM o_people WHERE is_urban)""",
+        "o_snapped_foot", "o_walk_foot", "o_people"),
     "snap_points": _q("SELECT key AS demand_id, CAST(node AS STRING) AS node, d AS snap_dist_m FROM o_snapped WHERE kind = 'demand'", "o_snapped"),
     "snap_report": _q(
         """SELECT department, count(*) AS n_points, count(*) - count(node) AS n_failed, round(avg(d), 7) AS mean_snap_distance_m, max(d) AS max_snap_distance_m
@@ -393,6 +448,28 @@ ORACLES: dict[str, str] = {
         """SELECT round(max(mean_access_min) FILTER (WHERE NOT is_urban) / max(mean_access_min) FILTER (WHERE is_urban), 6) AS rural_urban_ratio,
         round((SELECT 100 * (quantile_cont(detour, 0.5) FILTER (WHERE department = 'ASIA') - quantile_cont(detour, 0.5) FILTER (WHERE department = 'EUROPE')) / quantile_cont(detour, 0.5) FILTER (WHERE department = 'EUROPE') FROM o_detour), 6) AS detour_excess_pct
         FROM o_urban_rural""", "o_urban_rural", "o_detour"),
+    "detect_encoding": """
+        SELECT doc_id AS path, CASE WHEN text IS NULL THEN NULL WHEN plain THEN 'utf-8' ELSE 'latin-1' END AS encoding,
+               CASE WHEN text IS NULL THEN ['utf-8', 'latin-1', 'cp1252'] WHEN plain THEN [] ELSE ['utf-8'] END AS failed
+        FROM (SELECT *, doc_id % 2 = 0 OR NOT regexp_matches(text, '[\\x{80}-\\x{FF}]') AS plain FROM documents)""",
+    "words_to_entries": _q(
+        f"""SELECT doc, page, row_no, level, label, value, CASE WHEN split_part(section, '|', 1) = 'PROVINCIA' THEN substr(section, 11) END AS province FROM (
+        SELECT *, last_value(CASE WHEN level <> 'DISTRITO' THEN level || '|' || label END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, row_no) AS section FROM (
+        SELECT doc, page, row_no, label, CASE WHEN digits <> '' THEN CAST(digits AS BIGINT) END AS value,
+               CASE WHEN starts_with(name, 'DEPARTAMENTO ') THEN 'DEPARTAMENTO' WHEN starts_with(name, 'PROVINCIA ') THEN 'PROVINCIA'
+                    WHEN name <> '' AND NOT regexp_matches(name, '[0-9]') AND NOT list_has_any(string_split(name, ' '), ['ANO', 'ANOS']) THEN 'DISTRITO' END AS level
+        FROM (SELECT *, {NAME.format('label')} AS name FROM (
+        SELECT doc, page, row_no, coalesce(string_agg(text, ' ' ORDER BY x0, text) FILTER (WHERE x0 < lo), '') AS label,
+               coalesce(string_agg(text, '' ORDER BY x0, text) FILTER (WHERE regexp_matches(text, '^[0-9]+$') AND x0 BETWEEN lo - 2 AND hi + 2), '') AS digits
+        FROM (SELECT *, CAST(sum(g) OVER (PARTITION BY doc, page ORDER BY top, x0, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row_no FROM (
+        SELECT w.*, lo, hi, CASE WHEN top - lag(top) OVER (PARTITION BY w.doc, w.page ORDER BY top, x0, text) > 4 THEN 1 ELSE 0 END AS g
+        FROM v_words w JOIN (SELECT doc, page, head, last_value(lo IGNORE NULLS) OVER p AS lo, last_value(hi IGNORE NULLS) OVER p AS hi FROM (
+          SELECT doc, page, coalesce(max(bottom) FILTER (WHERE text IN ('Hombres', 'Mujeres') AND top < 130), 120) AS head,
+                 min(x0) FILTER (WHERE text = 'Total') - (min(x0) FILTER (WHERE text = 'Hombres') - min(x1) FILTER (WHERE text = 'Total')) AS lo,
+                 (min(x1) FILTER (WHERE text = 'Total') + min(x0) FILTER (WHERE text = 'Hombres')) / 2 AS hi
+          FROM v_words GROUP BY doc, page) WINDOW p AS (PARTITION BY doc ORDER BY page)) b
+        ON w.doc = b.doc AND w.page = b.page AND lo IS NOT NULL AND top > head + 3))
+        GROUP BY doc, page, row_no))) WHERE level IS NOT NULL)""", "v_words"),
     "cluster_rows": _q(
         """SELECT doc, page, top, x0, text, CAST(sum(g) OVER (PARTITION BY doc, page ORDER BY top, x0, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row_no FROM (
         SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY doc, page ORDER BY top, x0, text) > 4 THEN 1 ELSE 0 END AS g FROM v_words)""", "v_words"),

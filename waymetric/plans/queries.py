@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -241,12 +242,17 @@ def clean_places(s, d):
 
 
 def _report(s, d):
-    return Q.quality_report([Q.rule_report(registry(s, d), districts(s, d), "registry"), Q.population_report(T.population_union([view(s, d, "v_population")]))])
+    raw = registry(s, d)
+    lines = raw.select(F.encode("facility_name", "UTF-8").alias("content"))
+    places = view(s, d, "v_demand").drop("has_valid_coords").withColumns({"ordinal": F.col("demand_id"), "facility_code": F.col("demand_id").cast("string")})
+    population = Q.population_report(T.population_union([view(s, d, "v_population")]))
+    rules = [Q.rule_report(raw, districts(s, d), "registry"), Q.rule_report(places, districts(s, d), "places", places=True)]
+    return Q.quality_report([*rules, population, Q.encoding_report(lines, "registry")])
 
 
 @query
 def quality_report(s, d):
-    return _report(s, d).select("rule", "n_flagged", "pct_flagged", "n_checkable", "n_involved_rows", "source")
+    return _report(s, d).select("rule", "n_flagged", "pct_flagged", "n_checkable", "n_involved_rows", "n_districts_without_geometry", "encoding_used", "source")
 
 
 @query
@@ -335,6 +341,14 @@ def snapped(s, d, nodes, table, key):
     return N.snap_points(near_lattice(s, d, table, key), nodes, key, cell=0.01)
 
 
+PROFILES = ("car", "foot", "bike")
+
+
+def scoped(s, d, part):
+    """A table for each profile as one, with its name as scope."""
+    return functools.reduce(DataFrame.unionByName, [part(p).withColumn("profile", F.lit(p)) for p in PROFILES])
+
+
 @query
 def clip_ways(s, d):
     square = s.createDataFrame([("1", "LATTICE", [[[[-76.905, -11.905], [-76.8, -11.905], [-76.8, -11.8], [-76.905, -11.8], [-76.905, -11.905]]]])], "ubigeo string, department string, polygons array<array<array<array<double>>>>")
@@ -361,6 +375,13 @@ def largest_component(s, d):
     return lattice(s, d)[0]
 
 
+@query
+def largest_component_by_profile(s, d):
+    """The networks of all profiles in one job."""
+    nodes = scoped(s, d, lambda p: N.build_nodes(segments(s, d, p)))
+    return N.largest_component(nodes, scoped(s, d, lambda p: edges(s, d, p)), "profile")[0].select("profile", F.col("node").cast("string").alias("node"))
+
+
 @query
 def snap_points(s, d):
     out = snapped(s, d, lattice(s, d)[0], view(s, d, "v_demand"), "demand_id")
@@ -399,8 +420,10 @@ def nearest_from_sources(s, d):
 
 @query
 def nearest_by_profile(s, d):
-    _, e, fac, origins = _network(s, d, "foot")
-    return rounded(N.nearest_by_profile(e, origins, fac.where("facility_is_resolutive and node is not null").select("node")), duration_min=5)
+    """All profiles in one job."""
+    nets = {p: _network(s, d, p) for p in PROFILES}
+    sources = scoped(s, d, lambda p: nets[p][2].where("facility_is_resolutive and node is not null").select("node"))
+    return rounded(N.nearest_by_profile(scoped(s, d, lambda p: nets[p][1]), scoped(s, d, lambda p: nets[p][3]), sources, ("profile",)), duration_min=5)
 
 
 @query

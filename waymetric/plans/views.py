@@ -67,8 +67,8 @@ VIEWS: dict[str, str] = {
     # a lattice of 40 columns: each customer is a way over three of its nodes
     "v_ways": """
         SELECT k AS way_id,
-               CASE k % 11 WHEN 0 THEN 'footway' WHEN 1 THEN 'motorway' WHEN 2 THEN 'primary' WHEN 3 THEN 'track' WHEN 4 THEN NULL WHEN 5 THEN 'service' WHEN 6 THEN 'path' ELSE 'residential' END AS highway,
-               CASE k % 7 WHEN 0 THEN '"oneway"=>"yes"' WHEN 1 THEN '"access"=>"private","name"=>"a ' || chr(92) || '"b' || chr(92) || '""' WHEN 2 THEN '"foot"=>"yes","foot"=>"no"' WHEN 3 THEN NULL
+               CASE k % 29 WHEN 0 THEN 'footway' WHEN 1 THEN 'motorway' WHEN 2 THEN 'primary' WHEN 3 THEN 'track' WHEN 4 THEN NULL WHEN 5 THEN 'service' WHEN 6 THEN 'path' ELSE 'residential' END AS highway,
+               CASE k % 17 WHEN 0 THEN '"oneway"=>"yes"' WHEN 1 THEN '"access"=>"private","name"=>"a ' || chr(92) || '"b' || chr(92) || '""' WHEN 2 THEN '"foot"=>"yes","foot"=>"no"' WHEN 3 THEN NULL
                     WHEN 4 THEN '"motor_vehicle"=>"no"' WHEN 5 THEN '"oneway"=>"-1"' ELSE '"surface"=>"dirt","lanes"=>"2"' END AS other_tags,
                -77 + i / 1e2 AS lon1, -12 + j / 1e2 AS lat1, -77 + (i + 1) / 1e2 AS lon2, -12 + j / 1e2 AS lat2, -77 + (i + 1) / 1e2 AS lon3, -12 + (j + 1) / 1e2 AS lat3
         FROM (SELECT c_custkey - 1 AS k, (c_custkey - 1) % 40 AS i, CAST(floor((c_custkey - 1) / 40) AS BIGINT) AS j FROM customer) c""",
@@ -87,7 +87,11 @@ VIEWS: dict[str, str] = {
         FROM events""",
 }
 #: Recursive tables keep one row per key.
-HEADS = {"o_part": "o_part(node, c) USING KEY (node)", "o_walk": "o_walk(node, dist) USING KEY (node)"}
+HEADS = {
+    f"{name}{at}": f"{name}{at}({columns}"
+    for at in ("", "_foot", "_bike")
+    for name, columns in {"o_part": "node, c) USING KEY (node)", **dict.fromkeys(("o_walk", "o_reach", "o_fast", "o_short"), "f, node, dist) USING KEY (f, node)")}.items()
+}
 #: What each view reads, views first.
 NEEDS = {"v_population": ["v_demand"], "v_district": ["v_demand"]}
 

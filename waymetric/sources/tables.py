@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -39,9 +41,15 @@ def standardize_places(df: DataFrame) -> DataFrame:
     return standardize(df, PLACE_COLUMNS)
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Semicolons, header, UTF-8 with or without a byte order mark; all columns come as text."""
-    return standardize_registry(spark.read.option("sep", ";").option("header", True).csv(path))
+def read_registry(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Semicolons, header, all columns as text; UTF-8 with or without a byte order mark, or else Latin-1, as the file's own bytes say."""
+    encoding = encoding or file_encoding(spark, path)
+    return standardize_registry(spark.read.option("sep", ";").option("header", True).option("encoding", encoding).csv(path))
+
+
+def file_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line is valid, Latin-1 otherwise (which reads any bytes): one pass over the lines."""
+    return "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8(F.col("value").cast("binary"))).isEmpty() else "ISO-8859-1"
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:
@@ -119,15 +127,15 @@ def detect_encoding(files: DataFrame, candidates: tuple[str, ...] = P.ENCODINGS)
 
 
 def write_missing_partitions(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends the partitions of df (by keys) that path does not have yet, and returns how many rows it wrote."""
+    """Appends the partitions of df (by keys, null ones too) that path does not have yet, and returns how many rows it wrote."""
     spark = df.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        df = df.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-    n = df.count()
-    if n:
-        df.write.mode("append").partitionBy(*keys).parquet(path)
-    return n
+        there = spark.read.schema(df.schema).parquet(path).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        df = df.join(there, functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*keys).parquet(path)
+    return written.get["n"]
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", one_file: bool = False) -> None:
