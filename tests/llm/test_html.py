@@ -113,4 +113,6 @@ def test_fit_without_labels_and_repeated_fits(spark):
     assert H.fit([]) == list(H.PRIOR) and H.fit(["<p>no article</p>"]) == list(H.PRIOR)
     pages = spark.read.parquet(f"{BASE}/pages.parquet")
     assert H.fitted_weights(pages.repartition(5)) == H.fitted_weights(pages)
+    few = [H.fitted_weights(p, most_pages=4) for p in (pages.repartition(3), pages)]  # candidates are a part of the table
+    assert few[0] == few[1] != list(H.PRIOR)
     assert H.fitted_weights(pages.where("false")) == list(H.PRIOR)

@@ -51,8 +51,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FEATURES = ("bias", "log_words", "link_share", "sentence", "heading", "list_item", "page_edge", "density", "flagged")
 #: Log odds of the classifier before it sees labels; the fit is drawn towards them.
 PRIOR = (-1.5, 0.6, -4.0, 0.8, 1.0, -1.0, -0.5, 1.0, -5.0)
-#: The fit: pages at most, their length at most, the weight of all their blocks together and of the prior.
-FIT_PAGES, FIT_PAGE_CHARS, FIT_ROWS, FIT_PRIOR = 256, 65536, 400.0, 1.0
+#: The fit: pages at most, how many times as many are looked at, their length at most, the weight of all their blocks together and of the prior.
+FIT_PAGES, FIT_CANDIDATES, FIT_PAGE_CHARS, FIT_ROWS, FIT_PRIOR = 256, 8, 65536, 400.0, 1.0
 #: Bound of the classifier's log odds, and what the page's own markup adds.
 MOST = 4.0
 MARKUP = {"content": 1.0, "outside": -1.5, "flagged": -1.5, "boilerplate": -6.0, "plain": 0.0}
@@ -274,9 +274,16 @@ def fit(pages: list[str]) -> list[float]:
 
 
 def fitted_weights(df: DataFrame, html_col: str = "html", most_pages: int = FIT_PAGES) -> list[float]:
-    """The classifier fitted on at most most_pages pages of at most FIT_PAGE_CHARS characters, those with the least hashes."""
-    html = F.col(html_col)
-    sample = df.where((F.length(html) <= FIT_PAGE_CHARS) & html.rlike("(?i)<(article|main)[ >]")).select(html.alias("html"))
+    """The classifier fitted on at most most_pages pages of at most FIT_PAGE_CHARS characters.
+
+    Some FIT_CANDIDATES x most_pages pages are looked at, those with small hashes; the
+    labelled ones of them with the least hashes are the sample.  So tasks send the
+    driver a bounded number of pages together, whatever the size of the table.
+    """
+    html, key = F.col(html_col), F.xxhash64(html_col)
+    share = min(1.0, FIT_CANDIDATES * most_pages / max(1, df.count()))
+    small = key <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True)
+    sample = df.where(small & (F.length(html) <= FIT_PAGE_CHARS) & html.rlike("(?i)<(article|main)[ >]")).select(html.alias("html"))
     return fit([r.html for r in sample.orderBy(F.xxhash64("html"), "html").limit(most_pages).collect()])
 
 
