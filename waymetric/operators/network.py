@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from ..checkpoints import cut, drop
 from ..functions.geometry import line_meets, rings_of
 from ..functions.scalars import access_excluded, edge_speed_kmh, haversine_m, highway_allowed, parse_tags
 
+Pick = Callable[[DataFrame], DataFrame]
+
 
 def ways_for_profile(ways: DataFrame, profile: str) -> DataFrame:
     return ways.where(highway_allowed(F.col("highway"), profile) & ~access_excluded(parse_tags(F.col("other_tags")), profile))
@@ -99,11 +102,60 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
+def scope_components(edges: DataFrame, *scope: str) -> DataFrame:
+    """(scope, node, component) of every node with an edge to another node: the least node of its connected component.
+
+    A scope of up to SEARCH_EDGES edges is labelled within a task; larger ones go by
+    rounds, with the same results.
+    """
+    pairs = cut(edges.select(*scope, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
+    small, large = _by_size(pairs, scope)
+
+    def label(who: tuple, network: pd.DataFrame) -> pd.DataFrame:
+        ids, least = _least_nodes(network["u"], network["v"])
+        return pd.DataFrame({**dict(zip(scope, who, strict=False)), "node": ids, "component": least})
+
+    key = [F.col(c) for c in scope] or [F.lit(0).alias("all")]
+    found = small(pairs).select(*key, "u", "v").groupBy(*(scope or ["all"])).applyInPandas(label, _schema(edges, scope, "node long, component long"))
+    if large is None:
+        return found
+    end = lambda c: F.struct(*scope, F.col(c).alias("n")).alias(c)
+    return found.union(connected_components(large(pairs).select(end("u"), end("v"))).select("node.*", F.col("component.n").alias("component")))
+
+
+def _least_nodes(u, v) -> tuple:
+    """The nodes, and the least node of each one's component: trees hang on their least neighbour and are flattened, until nothing moves."""
+    import numpy as np
+
+    ids = np.unique(np.concatenate([np.asarray(u, np.int64), np.asarray(v, np.int64)]))
+    a, b, root = np.searchsorted(ids, u), np.searchsorted(ids, v), np.arange(len(ids))
+    while True:
+        over, under = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        if (over == under).all():
+            return ids, ids[root]
+        np.minimum.at(root, over, under)
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def _schema(edges: DataFrame, scope: tuple[str, ...], rest: str) -> str:
+    types = dict(edges.dtypes)
+    return ", ".join([*(f"`{c}` {types[c]}" for c in scope), rest])
+
+
+def _by_size(least: DataFrame, scope: tuple[str, ...]) -> tuple[Pick, Pick | None]:
+    """Two functions that keep a table's rows in the scopes of up to SEARCH_EDGES edges and in the larger ones (None if there are none)."""
+    tag = F.struct(*scope) if scope else F.struct(F.lit(0).alias("all"))
+    sizes = least.groupBy(tag.alias("s")).agg(F.count(F.lit(1)).alias("n_edges"))
+    small = sizes.where(F.col("n_edges") <= SEARCH_EDGES).select("s")
+    pick = lambda how: lambda df: df.withColumn("s", tag).join(small, "s", how).drop("s")
+    return pick("left_semi"), None if sizes.where(F.col("n_edges") > SEARCH_EDGES).isEmpty() else pick("left_anti")
+
+
 def largest_component(nodes: DataFrame, edges: DataFrame, *scope: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the largest weakly connected component of each scope; of equally large ones, that with the least node."""
-    end = lambda c: F.struct(*scope, F.col(c).alias("n"))
-    found = connected_components(edges.select(end("u").alias("u"), end("v").alias("v"))).select("node.*", F.col("component.n").alias("component"))
-    parts = nodes.select(*scope, F.col("node").alias("n")).join(found, [*scope, "n"], "left").select(*scope, F.col("n").alias("node"), F.coalesce("component", "n").alias("component"))
+    found = scope_components(edges, *scope)
+    parts = nodes.select(*scope, "node").join(found, [*scope, "node"], "left").select(*scope, "node", F.coalesce("component", "node").alias("component"))
     sizes = parts.groupBy(*scope, "component").agg(F.count(F.lit(1)).alias("size"))
     top = sizes.groupBy(*scope).agg(F.max(F.struct("size", (-F.col("component")).alias("c"))).alias("m")).select(*scope, (-F.col("m.c")).alias("component"))
     keep = cut(parts.join(top, [*scope, "component"], "left_semi").select(*scope, "node"), "largest")
@@ -205,12 +257,9 @@ def nearest_from_sources(edges: DataFrame, sources: DataFrame, weight: str = "tr
     by rounds, with the same results.
     """
     least = cut(edges.groupBy(*scope, "u", "v").agg(F.min(weight).alias("w")), "edges")
-    tag = F.struct(*scope) if scope else F.struct(F.lit(0).alias("all"))
-    sizes = least.groupBy(tag.alias("s")).agg(F.count(F.lit(1)).alias("n_edges"))
-    small = sizes.where(F.col("n_edges") <= SEARCH_EDGES).select("s")
-    pick = lambda df, how: df.withColumn("s", tag).join(small, "s", how).drop("s")
+    small, large = _by_size(least, scope)
     key = [F.col(c) for c in scope] or [F.lit(0).alias("all")]
-    found = pick(least, "left_semi").select(*key, "u", "v", "w").groupBy(*(scope or ["all"])).cogroup(pick(sources, "left_semi").select(*key, "node").groupBy(*(scope or ["all"])))
+    found = small(least).select(*key, "u", "v", "w").groupBy(*(scope or ["all"])).cogroup(small(sources).select(*key, "node").groupBy(*(scope or ["all"])))
 
     def search(who: tuple, network: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -219,12 +268,10 @@ def nearest_from_sources(edges: DataFrame, sources: DataFrame, weight: str = "tr
         near = np.flatnonzero(np.isfinite(dist[0]))
         return pd.DataFrame({**dict(zip(scope, who, strict=False)), "node": ids[near], "dist": dist[0][near]})
 
-    types = dict(edges.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in scope), "node long", "dist double"])
-    out = found.applyInPandas(search, schema)
-    if sizes.where(F.col("n_edges") > SEARCH_EDGES).isEmpty():
+    out = found.applyInPandas(search, _schema(edges, scope, "node long, dist double"))
+    if large is None:
         return out
-    return out.union(shortest_paths(pick(least, "left_anti"), pick(sources, "left_anti"), "w", scope=scope, limit=limit))
+    return out.union(shortest_paths(large(least), large(sources), "w", scope=scope, limit=limit))
 
 
 def _dijkstra(u, v, w, starts: list, limit: float | None = None) -> tuple:
