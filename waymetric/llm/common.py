@@ -67,3 +67,12 @@ def texts_as_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
+
+
+def text_slices(column, most_bytes: int = SLICE_BYTES, most_rows: int = 60000):
+    """(from, to, UTF-8 bytes of the texts) of slices of an Arrow string column, so that a batch is never held as Python objects whole."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
+    for lo, hi in slices(sizes, most_bytes, most_rows):
+        yield lo, hi, texts_as_bytes(column.slice(lo, hi - lo))

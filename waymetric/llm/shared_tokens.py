@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_as_bytes
+from .common import text_slices
 
 #: Bytes of text per key range, and per unit of documents that are addressed together.
 RANGE_BYTES = 8 << 20
@@ -120,16 +120,15 @@ def _send(emit: Callable, ranges: int):
             return out
 
         for batch in batches:
-            texts = texts_as_bytes(batch.column("text"))
             rows, ids = batch.column("row").to_pylist(), batch.column("id").to_pylist()
-            for lo, hi in slices([len(t) for t in texts], most_rows=10000):
+            for lo, hi, texts in text_slices(batch.column("text"), most_rows=10000):
                 if tokens and (held > UNIT_BYTES or len(meta["row"]) + hi - lo > UNIT_ROWS):
                     yield flush()
-                found, more = emit(texts[lo:hi])
+                found, more = emit(texts)
                 tokens.append(found + np.uint64(len(meta.get("row", []))))
                 for k, v in {"row": rows[lo:hi], "id": ids[lo:hi], **more}.items():
                     meta.setdefault(k, []).extend(v)
-                held += sum(len(t) for t in texts[lo:hi])
+                held += sum(len(t) for t in texts)
         if tokens:
             yield flush()
 

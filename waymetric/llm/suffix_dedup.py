@@ -21,12 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, discard, materialise, mix, slices, text_bytes, texts_as_bytes
+from .common import SLICE_BYTES, discard, materialise, mix, slices, text_bytes, text_slices
 from .shared_tokens import IDX, documents, n_ranges, range_of, shared_tokens
 
 LENGTH = 100
 #: Bytes of text whose windows are numbered at once: some twenty numbers of 8 bytes for each.
-PIECE_BYTES = 768 << 10
+PIECE_BYTES = 256 << 10
 #: Bytes of the strings whose least hash is a window's anchor.
 ANCHOR = 32
 #: An anchor that occurs so often, counted up to 65535, sends its windows one by one, each by its own hash.
@@ -133,11 +133,10 @@ def _cut_strings(length: int, anchor: int, ranges: int, salts: int):
 
         schema = pa.schema([("range", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "rows", "starts", "sizes", "keys", "data", "removed"))])
         for batch in batches:
-            texts = texts_as_bytes(batch.column("text"))
             ids = np.array([np.iinfo(np.int64).min if i is None else i for i in batch.column("id").to_pylist()], np.int64)
             rows = batch.column("row").to_numpy()
             shared = [np.frombuffer(b, np.uint64) for b in batch.column("anchors").to_pylist()]
-            for lo, hi in slices([len(t) for t in texts], most_rows=30000):
+            for lo, hi, texts in text_slices(batch.column("text"), most_rows=30000):
                 sizes = [len(x) for x in shared[lo:hi]]
                 value = np.concatenate([np.zeros(0, np.uint64), *shared[lo:hi]])
                 known = (np.repeat(np.arange(hi - lo), sizes).astype(np.uint64) << np.uint64(48)) | (value & np.uint64((1 << 48) - 1))
@@ -148,7 +147,7 @@ def _cut_strings(length: int, anchor: int, ranges: int, salts: int):
                 first: dict[tuple[int, bytes], tuple] = {}
                 warm_keys: set[int] = set()
                 gone: list[tuple[int, int, int]] = []
-                for hashes, data, doc, start, place, least, begins in windows(texts[lo:hi], length, anchor):
+                for hashes, data, doc, start, place, least, begins in windows(texts, length, anchor):
                     own = (doc.astype(np.uint64) << np.uint64(48)) | (least >> np.uint64(16))
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     live = np.flatnonzero(known[at] == own)
@@ -379,28 +378,29 @@ def _cut(length: int):
         import pyarrow as pa
 
         for batch in batches:
-            removed, spans, kept = [], [], []
-            for t, late in zip(texts_as_bytes(batch.column("text")), batch.column("late").to_pylist(), strict=True):
-                at, n, k, left = 0, 0, 0, []
-                stop = None
-                for x in sorted((x["start"], x["start"] + x["windows"] + length - 1) for x in late or []):
-                    if stop is None or x[0] > stop:
-                        if stop is not None:
-                            at = stop
-                        left.append(t[at : x[0]])
-                        begin, stop, k = x[0], x[1], k + 1
-                        n += stop - begin
-                    elif x[1] > stop:
-                        n += x[1] - stop
-                        stop = x[1]
-                left.append(t[stop or 0 :])
-                removed.append(n)
-                spans.append(k)
-                kept.append(b"".join(left))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())],
-                names=["row", "n_removed", "n_spans", "kept_sha256", "kept_text"],
-            )
+            for lo, hi, texts in text_slices(batch.column("text")):
+                removed, spans, kept = [], [], []
+                for t, late in zip(texts, batch.column("late").slice(lo, hi - lo).to_pylist(), strict=True):
+                    at, n, k, left = 0, 0, 0, []
+                    stop = None
+                    for x in sorted((x["start"], x["start"] + x["windows"] + length - 1) for x in late or []):
+                        if stop is None or x[0] > stop:
+                            if stop is not None:
+                                at = stop
+                            left.append(t[at : x[0]])
+                            begin, stop, k = x[0], x[1], k + 1
+                            n += stop - begin
+                        elif x[1] > stop:
+                            n += x[1] - stop
+                            stop = x[1]
+                    left.append(t[stop or 0 :])
+                    removed.append(n)
+                    spans.append(k)
+                    kept.append(b"".join(left))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").slice(lo, hi - lo), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())],
+                    names=["row", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                )
 
     return run
 
