@@ -7,7 +7,8 @@ import types
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut, drop, shared_folder
@@ -38,6 +39,64 @@ def worker_state() -> dict:
     return sys.modules.setdefault("waymetric_worker_state", types.ModuleType("waymetric_worker_state")).__dict__
 
 
+class Rows:
+    """A table's rows under numbers that stay the same in every read of it.
+
+    A row's number is a hash of its file's path plus its place in the file, so that it
+    does not depend on how a scan is cut into partitions.  Files' ranges of numbers are
+    checked not to meet.  Rows of one file are in the file's order, files in the order
+    of their hashes.  What is no scan of Parquet files is written once and then read.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df = df if _is_scan(df) else cut(df, "rows")
+        self.seed = next(s for s in range(64) if not self._meet(s))
+
+    @classmethod
+    def of(cls, df: DataFrame | Rows) -> Rows:
+        return df if isinstance(df, Rows) else cls(df)
+
+    @property
+    def columns(self) -> list[str]:
+        return self.df.columns
+
+    @property
+    def schema(self):
+        return self.df.schema
+
+    def select(self, **columns: Column) -> DataFrame:
+        """row, and the given columns of the table under their new names."""
+        meta = self.df.metadataColumn("_metadata")
+        return self.df.select((self._first(meta["file_path"], self.seed) + meta["row_index"]).alias("row"), *[c.alias(k) for k, c in columns.items()])
+
+    def whole(self) -> DataFrame:
+        """(row, d): d has all columns as one struct, so that no helper column clashes with theirs."""
+        return self.select(d=F.struct(*[F.col(f"`{c}`") for c in self.columns]))
+
+    def _first(self, path: Column, seed: int) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), path), 2)
+
+    def _meet(self, seed: int) -> bool:
+        meta = self.df.metadataColumn("_metadata")
+        files = self.df.select(meta["file_path"].alias("path"), meta["row_index"].alias("at")).groupBy("path").agg((F.max("at") + 1).alias("n"))
+        first = self._first(F.col("path"), seed)
+        after = F.lead(first).over(Window.orderBy(first))  # a row for each file
+        return not files.select(first.alias("first"), "n", after.alias("after")).where(F.col("first") + F.col("n") > F.col("after")).isEmpty()
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is columns and rows of Parquet files, without joins, unions or expansions."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        return bool(df.select(df.metadataColumn("_metadata")["row_index"]).columns)
+    except AnalysisException:  # files of another format
+        return False
+
+
 def text_bytes(df: DataFrame, col: str) -> int:
     """Bytes of all texts: sizes the numbers of key ranges and owner tasks."""
     return df.agg(F.coalesce(F.sum(F.octet_length(F.col(col)).cast("long")), F.lit(0)).alias("b")).first()["b"]

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, materialise
+from .common import Rows, ascii_lower, discard, materialise
 
 #: Entries that a bucket holds before it splits.
 BUCKET_ENTRIES = 4096
@@ -82,24 +82,24 @@ def look_up(rows: DataFrame, directory: DataFrame) -> DataFrame:
 
 
 def dedup_exact(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, bucket_entries: int = BUCKET_ENTRIES, with_row: bool = False
+    df: DataFrame | Rows, *, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, bucket_entries: int = BUCKET_ENTRIES, with_row: bool = False
 ) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; null is empty,
     and all empty texts are one group.  The row with the largest id stays; a null
     id is below every other, and of rows that share the largest id, or where all
-    ids are null, each is marked kept only if it is the first in scan order.  keep_id
+    ids are null, only the first by the numbers of Rows is marked kept.  keep_id
     is null only in a group without any id.  Extra columns are ignored.
 
-    df is read twice and must be a table, so that both scans give rows the same
-    order.  with_row adds row, the row's monotonically_increasing_id in df.  `key`
+    df is read twice; one that is no table is written first.  with_row adds row, the
+    number that Rows gives.  `key`
     replaces the 64-bit hash of `norm` (tests use a weak one, so that keys collide).
     Text is shuffled once, one row per distinct text and task; the entries of a chain
     differ in bytes, and a look-up tells them apart by digest and length.
     """
-    rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).select(
-        F.struct("id", (-F.monotonically_increasing_id()).alias("turn")).alias("at"), "norm", (F.xxhash64("norm") if key is None else key).alias("key")
+    rows = Rows.of(df).select(id=F.col(id_col), norm=normalised(F.col(text_col))).select(
+        F.struct("id", (-F.col("row")).alias("turn")).alias("at"), "norm", (F.xxhash64("norm") if key is None else key).alias("key")
     )
     entries = materialise(
         rows.groupBy("key", "norm")

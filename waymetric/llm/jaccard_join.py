@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, discard, materialise, mix, text_bytes
+from .common import FOLD, Rows, discard, materialise, mix, text_bytes
 from .components import connected_components
 from .shared_tokens import IDX, documents, shared_tokens
 
@@ -344,7 +344,7 @@ def similar_links(live: DataFrame, reps: DataFrame, percent: int, block_sets: in
 
 
 def jaccard_components(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, block_sets: int = BLOCK_SETS, with_row: bool = False
+    df: DataFrame | Rows, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, block_sets: int = BLOCK_SETS, with_row: bool = False
 ) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id.
 
@@ -355,7 +355,7 @@ def jaccard_components(
     reach, itself included.  Identical sets are one set in the join.  Repeated rows
     are documents of their own; a component of null ids only has a null id.  Extra
     columns are ignored.  Shingles are compared by 48 bits of hash.  with_row adds
-    row, the row's monotonically_increasing_id in df, and keep_row, the row of the
+    row, the number that Rows gives, and keep_row, the row of the
     least (id, row) of its component.
     """
     docs = documents(df, id_col, text_col)

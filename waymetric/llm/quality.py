@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, ascii_lower, materialise, mix, slices, texts_as_bytes
+from .common import FOLD, Rows, ascii_lower, materialise, mix, slices, texts_as_bytes
 
 #: Base rules of the contract.
 MIN_WORDS = 10
@@ -113,10 +113,8 @@ def _measure(batches):
             )
 
 
-def _input(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    return df.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")
-    )
+def _input(df: DataFrame | Rows, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    return Rows.of(df).select(id=F.col(id_col).cast("long"), host=F.col(host_col).cast("string"), text=F.col(text_col))
 
 
 def frequent_lines(measured: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT, line_few: int = LINE_FEW) -> DataFrame:
@@ -143,7 +141,7 @@ def frequent_lines(measured: DataFrame, line_docs: int = LINE_DOCS, line_percent
 
 
 def quality_rules(
-    df: DataFrame,
+    df: DataFrame | Rows,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -166,8 +164,8 @@ def quality_rules(
     its words stay after the frequent lines are removed.  A null host is a host of
     its own.  Repeated rows each get their row.  Extra columns are ignored.
     An empty table gives no rows.  with_text adds clean_text, the text without its
-    frequent lines (null stays null), for which df is read again and must be a table;
-    with_row adds row, the row's monotonically_increasing_id in df; with_lines adds
+    frequent lines (null stays null), for which df is read again (one that is no table
+    is written first); with_row adds row, the number that Rows gives; with_lines adds
     gone, the hashes of its frequent lines (null: none).
     """
     src = _input(df, id_col, text_col, host_col)
@@ -201,16 +199,16 @@ def without_lines(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(lines, "\n"))
 
 
-def filter_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+def filter_documents(df: DataFrame | Rows, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The rows of df that the rules keep, with df's columns; their texts without frequent lines, and chars_col, where df has it, the new length.
 
     Texts without frequent lines stay as they are.  Rows are as in quality_rules:
     null, empty and short texts go, repeated rows stay or go alike, other columns
-    pass through under any name.  df is read twice and must be a table.
+    pass through under any name.  df is read twice; one that is no table is written first.
     """
+    df = Rows.of(df)
     ruled = quality_rules(df, id_col=id_col, text_col=text_col, host_col=host_col, with_row=True, with_lines=True)
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("d"), F.monotonically_increasing_id().alias("at"))
-    kept = whole.join(ruled.where("kept").select("row", "gone"), F.col("at") == F.col("row"))
+    kept = df.whole().join(ruled.where("kept").select("row", "gone"), "row")
     text = without_lines(F.col("d")[text_col], F.col("gone"))
     new = F.col("d").withField(text_col, text)
     if chars_col in df.columns:

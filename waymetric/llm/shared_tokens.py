@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import Rows, text_slices
 
 #: Bytes of text per key range, and per unit of documents that are addressed together.
 RANGE_BYTES = 8 << 20
@@ -211,5 +211,6 @@ def shared_tokens(df: DataFrame, emit: Callable, finish: Callable, schema: str,
     return owned.groupBy("unit").applyInArrow(_gather(finish), schema)
 
 
-def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def documents(df: DataFrame | Rows, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text): row is the number that Rows gives."""
+    return Rows.of(df).select(id=F.col(id_col).cast("long"), text=F.col(text_col))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, discard, materialise, mix, slices, text_bytes, text_slices
+from .common import SLICE_BYTES, Rows, discard, materialise, mix, slices, text_bytes, text_slices
 from .shared_tokens import IDX, documents, n_ranges, range_of, shared_tokens
 
 LENGTH = 100
@@ -406,20 +406,20 @@ def _cut(length: int):
 
 
 def remove_repeats(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, warm: int = WARM, with_text: bool = False, with_row: bool = False
+    df: DataFrame | Rows, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, warm: int = WARM, with_text: bool = False, with_row: bool = False
 ) -> DataFrame:
     """One row per input row: id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
 
     Texts are UTF-8 bytes, null is empty; no window crosses documents.  Every byte
     goes that a window covers which also starts earlier: in a document of smaller
     id, or before in the same one.  Windows are judged on the input.  A null id is
-    before all others, and rows of the same id follow each other in scan order.
+    before all others, and rows of the same id follow each other by the numbers of Rows.
     Documents shorter than `length` bytes stay whole.  Extra columns are ignored.
     with_text adds what is left as text (parts of a character that was cut go);
-    with_row adds row, the row's monotonically_increasing_id in df.
+    with_row adds row, the number that Rows gives.
 
     Exact copies are settled by their digests: all but the earliest lose
-    everything.  The table is read twice, so that df must be a table.
+    everything.  df is read twice; one that is no table is written first.
     """
     docs = documents(df, id_col, text_col)
     n = text_bytes(docs, "text")

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import Rows, ascii_lower
 
 #: (action, host, path) as the contract states them.
 PAGE_RULES = (
@@ -54,7 +54,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url
     are ignored, so clashing names do no harm; repeated and null ids each keep
     their row.  Empty rules or an empty table are fine.
 
-    Work per URL is labels x distinct path lengths of the rules, never x rules.
+    Work per URL is label counts x path lengths that rules have, never x rules, however
+    long the host or the path; a very long URL is one row as any other.
     Spark broadcasts the rules only under its size threshold; beyond it the
     join is a sort-merge join on the hash prefix that AQE can split.
     """
@@ -68,11 +69,12 @@ def filter_urls(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url
     )
     # distinct path lengths of the rules: at most the longest path's length
     lengths = [r[0] for r in rules.select(F.length("r_path")).distinct().collect()]
-    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select(
-        F.monotonically_increasing_id().alias("row"), "id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")
-    )
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    pages = Rows.of(df).select(id=F.col(id_col), host=url_host(F.col(url_col)), path=url_path(F.col(url_col)))
+    # suffixes only of as many labels as rules have, so that a host of very many labels costs no more
+    counts = [r[0] for r in rules.select(F.size(F.split("r_host", r"\.")).alias("n")).distinct().collect()]
+    n_labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    ends = [F.when(n_labels >= n, F.substring_index("host", ".", -n)) for n in counts]
+    suffixes = F.array_compact(F.array(*ends).cast("array<string>"))
     lens = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     expr = (
         pages.where("host <> ''")

@@ -15,7 +15,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path
+from .common import Rows, materialise, scratch_path
 
 CHUNK_BYTES = 64 << 10
 #: Payloads below this are stored again rather than referred to.
@@ -35,16 +35,16 @@ def chunked(df: DataFrame, payload: str, *keep: str, chunk_bytes: int = CHUNK_BY
     )
 
 
-def plan_records(df: DataFrame, *, id_col: str, url_col: str, payload_col: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def plan_records(df: DataFrame | Rows, *, id_col: str, url_col: str, payload_col: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """id, name, url, payload (binary), n_bytes, sha1, record_type, refers_to and refers_to_name of each page.
 
-    name is the id and the row's monotonically_increasing_id, so that records of
-    repeated or null ids have names of their own; df must be a table, as it is read twice.
+    name is the id and the row's number in Rows, so that records of repeated or null ids
+    have names of their own; df is read twice, and written first where it is no table.
     Payloads are equal when length and SHA-256 are.  Counting them shuffles digests
     only; payloads move to meet the groups of more than one, unless these are few
     enough for Spark to broadcast.
     """
-    pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row")).select(
+    pages = Rows.of(df).select(id=F.col(id_col).cast("long"), url=F.col(url_col), payload=F.coalesce(F.col(payload_col), F.lit("")).cast("binary")).select(
         "id", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "row").alias("name"), "url", "payload", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256")
     )
     groups = materialise(
