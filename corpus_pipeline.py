@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymetric.llm.common import materialise
+from waymetric.llm.common import Rows, materialise
 from waymetric.llm.exact_dedup import dedup_exact
 from waymetric.llm.jaccard_join import jaccard_components
 from waymetric.llm.packing import pack
@@ -22,14 +22,9 @@ from waymetric.llm.suffix_dedup import remove_repeats
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """(d, at): whole rows as one struct, so that no helper column clashes with theirs, and their place in the table."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("at"))
-
-
-def _kept(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs whose place in the table is listed."""
-    return _rows(docs).join(rows.select("row"), F.col("at") == F.col("row"), "left_semi").select("d.*")
+def _kept(docs: Rows, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose numbers are listed."""
+    return docs.whole().join(rows.select("row"), "row", "left_semi").select("d.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +41,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (but for A-Z) the row with the largest doc_id stays.
 
     Null and empty texts are equal.  Of rows that share the largest doc_id, and where
-    all ids are null, the first stays.  Columns stay as they are; an empty table stays one.
+    all ids are null, the first by the numbers of Rows stays.  Columns stay as they are; an empty table stays one.
     """
+    docs = Rows.of(docs)
     return _kept(docs, dedup_exact(docs, with_row=True).where("kept"))
 
 
@@ -58,6 +54,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty texts link with nothing and stay.  Columns stay as they are; an empty table
     stays one.
     """
+    docs = Rows.of(docs)
     return _kept(docs, jaccard_components(docs, with_row=True).where("row = keep_row"))
 
 
@@ -68,11 +65,12 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     start.  A null text becomes an empty one; n_chars follows, other columns stay as
     they are.  An empty table stays one.
     """
+    docs = Rows.of(docs)
     left = remove_repeats(docs, with_text=True, with_row=True).select("row", "kept_text")
     row = F.col("d").withField("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
-    return _rows(docs).join(left, F.col("at") == F.col("row")).select(row.alias("d")).select("d.*")
+    return docs.whole().join(left, "row").select(row.alias("d")).select("d.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
