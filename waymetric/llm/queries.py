@@ -12,6 +12,7 @@ from .exact_dedup import dedup_exact
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality import quality_rules
 from .sentencepiece_sa import decode_ids, encode_texts
 from .suffix_dedup import remove_repeats
@@ -73,6 +74,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,4 +160,32 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - n_gone) >= 20 * n_words AS kept
         FROM m""",
+    "op12_prefix_trie": """
+        WITH t AS (
+          SELECT conv_id AS c, coalesce(text, '') AS body, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+          FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (
+          SELECT c, xor(4294967295, list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda a, b:
+                   list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END), 4294967295)) % 9 AS h
+          FROM (SELECT DISTINCT c FROM t)),
+        turns AS (
+          SELECT i.c, t.k, t.token, t.body FROM ids i JOIN t ON t.c = i.c - i.c % 5 AND t.k <= i.h
+          UNION ALL SELECT i.c, t.k, t.token, t.body FROM ids i JOIN t ON t.c = i.c AND t.k > i.h),
+        made AS (
+          SELECT c, row_number() OVER w AS d, sha256(string_agg(token, '') OVER w) AS node, strlen(body) AS n_bytes FROM turns WINDOW w AS (PARTITION BY c ORDER BY k)),
+        paths AS (
+          SELECT c, 0 AS d, '' AS node, '' AS above, 0 AS n_bytes, NOT EXISTS (FROM made m WHERE m.c = ids.c) AS last FROM ids
+          UNION ALL SELECT c, d, node, lag(node, 1, '') OVER (PARTITION BY c ORDER BY d), n_bytes, d = max(d) OVER (PARTITION BY c) FROM made),
+        nodes AS (
+          SELECT d, node, min(above) AS above, min(c) AS conv_id, count(*) AS n_convs, min(n_bytes) AS n_bytes,
+                 sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256
+          FROM paths GROUP BY d, node),
+        kids AS (SELECT above AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY above),
+        below AS (SELECT DISTINCT a.node, b.node AS under FROM paths a JOIN paths b ON a.c = b.c AND a.d <= b.d),
+        sums AS (
+          SELECT b.node, CAST(count(*) FILTER (WHERE k.node IS NULL) AS BIGINT) AS n_leaves, CAST(sum((n.n_convs - 1) * n.n_bytes) AS BIGINT) AS saved_tokens
+          FROM below b JOIN nodes n ON n.node = b.under LEFT JOIN kids k ON k.node = b.under GROUP BY b.node)
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN kids k ON k.node = n.node LEFT JOIN nodes p ON n.d > 0 AND p.node = n.above""",
 }
