@@ -12,6 +12,7 @@ from .exact_dedup import dedup_exact
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
 from .packing import pack
+from .pii import find_personal_data
 from .prefix_trie import prefix_trie
 from .quality import quality_rules
 from .sentencepiece_sa import decode_ids, encode_texts
@@ -78,6 +79,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_pii": op13_pii,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
