@@ -15,6 +15,7 @@ from .packing import pack
 from .pii import find_personal_data
 from .prefix_trie import prefix_trie
 from .quality import quality_rules
+from .ranked_search import ranked_search
 from .sentencepiece_sa import decode_ids, encode_texts
 from .suffix_dedup import remove_repeats
 from .url_filter import PAGE_RULES, filter_urls, rules_frame
@@ -75,6 +76,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -94,11 +99,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_ranked_search": op11_ranked_search,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_pii": op13_pii,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": f"""
@@ -166,6 +173,18 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - n_gone) >= 20 * n_words AS kept
         FROM m""",
+    "op11_ranked_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '{_TERM}') AS terms FROM documents),
+        i AS (SELECT item_id, unnest(regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '{_TERM}')) AS term FROM benchmark),
+        all_docs AS (SELECT CAST(count(*) AS BIGINT) AS n_all, CAST(sum(len(terms)) AS BIGINT) AS l_all FROM d WHERE len(terms) > 0),
+        p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+        f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, all_docs GROUP BY term, n_all),
+        q AS (SELECT item_id, term, count(*) AS n_asked FROM i GROUP BY ALL),
+        s AS (
+          SELECT item_id, doc_id, CAST(sum(n_asked * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_all) // l_all)))) AS BIGINT) AS score
+          FROM q JOIN f USING (term) JOIN p USING (term), all_docs GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 10""",
     "op12_prefix_trie": """
         WITH t AS (
           SELECT conv_id AS c, coalesce(text, '') AS body, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
