@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymetric.functions import scalars as S
-from waymetric.functions.geometry import line_meets, utm_arrays, utm_project, within
+from waymetric.functions.geometry import utm_project
 from waymetric.plans import queries as Q
 
+from .plain_geometry import line_meets, utm_arrays, within
+
 
 @pytest.fixture(scope="module")
 def one(spark):

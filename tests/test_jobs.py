@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from waymetric.operators import demand as D
 from waymetric.operators import insights as I
 from waymetric.operators import metrics as M
+from waymetric.operators import cover
 from waymetric.operators import quality as Q
 from waymetric.operators import siting as O
 from waymetric.sources import tables as T
@@ -197,8 +198,8 @@ def test_registry_reader_finds_the_encoding(spark, tmp_path):
         assert rows == [("7", "Nu\u00f1oa", "010101", -12.5, "II-1"), ("8", "Lima", "010102", None, "SIN_CATEGORIA")]
 
 
-def test_containment_in_several_groups(spark, monkeypatch):
-    """The same flags whatever the size of the groups; repeated and useless points too."""
+def test_containment_whatever_the_grid(spark, monkeypatch):
+    """The same flags on a fine and on a coarse grid; repeated and useless points too."""
     square = lambda x: [[[[x, -12.0], [x + 1, -12.0], [x + 1, -11.0], [x, -11.0], [x, -12.0]]]]
     districts = spark.createDataFrame([("010101", square(-76.0)), ("010102", square(-75.0)), ("010103", None)], "ubigeo string, polygons array<array<array<array<double>>>>")
     rows = [(i, "010101" if i % 3 else "010103", -11.5, -76.2 + i % 9 / 10) for i in range(40)] + [(90, None, -11.5, -75.5), (91, "010102", None, -75.5), (92, "010102", -11.5, None)]
@@ -206,7 +207,7 @@ def test_containment_in_several_groups(spark, monkeypatch):
     flags = lambda: {r.i: r.within_declared_district for r in Q.check_district_containment(df, districts).collect()}
     whole = flags()
     assert whole == {i: -76.0046 < lon < -74.99 if code == "010101" else None for i, code, lat, lon in rows}
-    monkeypatch.setattr(Q, "GROUP_POINTS", 1)
+    monkeypatch.setattr(cover, "EDGE_LENGTHS", 0.02)
     assert flags() == whole
 
 

@@ -20,10 +20,8 @@ def stripped(col: Column) -> Column:
 def normalize_category(col: Column) -> Column:
     """A facility's category as I-1 .. III-E, or UNCLASSIFIED; null is unclassified."""
     s = F.upper(stripped(F.coalesce(col, F.lit(""))))
-    # levels I to III, classes 1 to 4 and E, whatever stands between
-    pattern = r"^(I|II|III)\s*(?:-\s*)?([1234E])$"
-    fits = s.rlike(pattern) & ~s.isin(*P.EMPTY_CATEGORIES)
-    return F.when(fits, F.concat_ws("-", F.regexp_extract(s, pattern, 1), F.regexp_extract(s, pattern, 2))).otherwise(F.lit(P.UNCLASSIFIED))
+    fits = s.rlike(P.CATEGORY_PATTERN) & ~s.isin(*P.EMPTY_CATEGORIES)
+    return F.when(fits, F.concat_ws("-", F.regexp_extract(s, P.CATEGORY_PATTERN, 1), F.regexp_extract(s, P.CATEGORY_PATTERN, 2))).otherwise(F.lit(P.UNCLASSIFIED))
 
 
 def is_resolutive(category: Column, status: Column) -> Column:
@@ -44,10 +42,8 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 def parse_tags(col: Column) -> Column:
     """Map of the "key"=>"value" pairs of a text; the last value of a key wins, null gives an empty map."""
-    quoted = r'"((?:\\.|[^\\"])*)"'  # a backslash keeps the character after it from closing the quotes
-    pair = f"{quoted}=>{quoted}"
     text = F.coalesce(col, F.lit(""))
-    entries = F.arrays_zip(F.regexp_extract_all(text, F.lit(pair), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(pair), F.lit(2)).alias("v"))
+    entries = F.arrays_zip(F.regexp_extract_all(text, F.lit(P.TAG_PATTERN), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(P.TAG_PATTERN), F.lit(2)).alias("v"))
     later = lambda e, i: ~F.array_contains(F.transform(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["k"]), e["k"])
     return F.map_from_entries(F.filter(entries, later))
 

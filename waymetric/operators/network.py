@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..checkpoints import cut, drop
-from ..functions.geometry import line_meets, rings_of
 from ..functions.scalars import access_excluded, edge_speed_kmh, haversine_m, highway_allowed, parse_tags
+from .cover import contained, crossing, edges_of
 
 Pick = Callable[[DataFrame], DataFrame]
 
@@ -29,29 +29,30 @@ def ways_for_profile(ways: DataFrame, profile: str) -> DataFrame:
 
 
 def clip_ways(ways: DataFrame, districts: DataFrame, department: str, cell: float = 0.5) -> DataFrame:
-    """Whole ways that meet a district of the department.  Candidates share a grid cell; a vectorised helper decides."""
-    shapes = districts.where((F.upper("department") == department.upper()) & F.col("polygons").isNotNull()).select(F.col("ubigeo").alias("d"), "polygons")
+    """Whole ways that touch or lie in a district of the department.
+
+    Ways and districts whose boxes share a coarse cell are candidates.  A way meets a
+    district when one of its segments touches an edge (they share a cell of the
+    district's covering index), or else when its first point lies inside.
+    """
+    shapes = districts.where((F.upper("department") == department.upper()) & F.col("polygons").isNotNull()).select(F.col("ubigeo").alias("shape"), "polygons")
     if shapes.isEmpty():
         raise ValueError(f"no district of {department}")
-    points = F.flatten(F.flatten("polygons"))
+    edges = cut(edges_of(shapes), "edges")
     grid = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor(b / cell)))
-    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
-    cells = shapes.withColumn("cx", grid(F.array_min(xs), F.array_max(xs))).withColumn("cy", grid(F.array_min(ys), F.array_max(ys)))
+    low, high = (lambda c: F.min(F.least(f"a{c}", f"b{c}"))), (lambda c: F.max(F.greatest(f"a{c}", f"b{c}")))
+    boxes = edges.groupBy("shape").agg(low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1"))
+    cells = boxes.withColumn("cx", grid(F.col("x0"), F.col("x1"))).withColumn("cy", grid(F.col("y0"), F.col("y1"))).select("shape", "cx", "cy")
     wx, wy = F.col("coords.lon"), F.col("coords.lat")
-    own = ways.where(F.size("coords") > 0).select("way_id", "coords", grid(F.array_min(wx), F.array_max(wx)).alias("cx"), F.lit(0).alias("_"))
-    own = own.withColumn("cy", grid(F.array_min(wy), F.array_max(wy))).drop("_")
-
-    @F.pandas_udf("boolean")
-    def meets(line: pd.Series, polygons: pd.Series) -> pd.Series:
-        import numpy as np
-
-        xy = lambda c: np.array([[p["lon"], p["lat"]] for p in c], float)
-        return pd.Series([line_meets(xy(a), rings_of(b)) for a, b in zip(line, polygons, strict=True)], index=line.index)
-
-    # only ids meet in the grid; coordinates and polygons join the different pairs
-    pairs = own.drop("coords").join(cells.select("cx", "cy", "d"), ["cx", "cy"]).select("way_id", "d").distinct()
-    both = pairs.join(ways.select("way_id", F.col("coords").alias("_line")), "way_id").join(shapes, "d")
-    return ways.join(both.where(meets(F.col("_line"), F.col("polygons"))).select("way_id"), "way_id", "left_semi")
+    own = ways.where(F.size("coords") > 0).select("way_id", grid(F.array_min(wx), F.array_max(wx)).alias("cx"), F.array_min(wy).alias("_low"), F.array_max(wy).alias("_high"))
+    own = own.withColumn("cy", grid(F.col("_low"), F.col("_high"))).select("way_id", "cx", "cy")
+    pairs = cut(own.join(cells, ["cx", "cy"]).select("way_id", "shape").distinct(), "pairs")
+    segments = ways_to_segments(ways, "way_id").join(pairs, "way_id").select("shape", F.col("way_id").alias("id"), F.col("lon1").alias("px"), F.col("lat1").alias("py"), F.col("lon2").alias("qx"), F.col("lat2").alias("qy"))
+    first = ways.where(F.size("coords") > 0).select("way_id", F.col("coords")[0]["lon"].alias("x"), F.col("coords")[0]["lat"].alias("y")).join(pairs, "way_id")
+    # of several ways that start at a point one stands for all
+    starts = contained(first.select("shape", "x", "y").distinct(), edges, 1e-12).where("inside").select("shape", "x", "y")
+    found = crossing(segments, edges).select(F.col("id").alias("way_id")).union(first.join(starts, ["shape", "x", "y"], "left_semi").select("way_id"))
+    return ways.join(found, "way_id", "left_semi")
 
 
 def ways_to_segments(ways: DataFrame, *keep: str) -> DataFrame:

@@ -6,14 +6,14 @@ on the original values, so that a chain of rules is one projection.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..checkpoints import cut
-from ..functions.geometry import rings_of, utm_arrays, utm_project, within
+from ..functions.geometry import utm_project
 from ..functions.scalars import is_resolutive, normalize_name
+from .cover import contained, edges_of
 
 
 def _pct(n: Column, total: Column) -> Column:
@@ -51,37 +51,23 @@ def check_swapped_lat_lon(df: DataFrame, box: P.BoundingBox = P.BBOX) -> DataFra
     return df.withColumns(new)
 
 
-#: Points of a district that one task tests against its polygon, about.
-GROUP_POINTS = 200_000
-
-
 def check_district_containment(df: DataFrame, districts: DataFrame, tolerance_m: float = P.TOLERANCE_M, zone: int = P.UTM_ZONE) -> DataFrame:
     """Adds within_declared_district: in the polygon of its code or less than tolerance_m from it; null where it can't be checked.
 
-    The different points of each code meet its polygon in groups of bounded size, so
-    that a polygon goes to a group once, not into every row; rows then join their point.
+    The different points of each code meet the covering index of its polygon; rows then join their point.
     """
-    shapes = districts.where("polygons is not null").select(F.col("ubigeo").alias("d_code"), "polygons")
+    shapes = districts.where("polygons is not null").select(F.col("ubigeo").alias("shape"), "polygons")
     usable = _checkable(df) & (F.col("in_bbox") if "in_bbox" in df.columns else F.lit(True)) & F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    points = df.where(usable).select(F.col("ubigeo").alias("d_code"), F.col("lon").alias("px"), F.col("lat").alias("py")).distinct()
-    points = points.join(shapes.select("d_code"), "d_code", "left_semi")
-    parts = points.groupBy("d_code").agg(F.ceil(F.count(F.lit(1)) / GROUP_POINTS).cast("int").alias("parts"))
+    points = df.where(usable).select(F.col("ubigeo").alias("shape"), F.col("lon").alias("px"), F.col("lat").alias("py")).distinct()
     x, y = utm_project(F.col("px"), F.col("py"), zone)
-    dealt = points.join(parts, "d_code").select("d_code", F.pmod(F.xxhash64("px", "py"), F.col("parts")).alias("part"), "px", "py", x.alias("x"), y.alias("y"))
-    copies = shapes.join(parts, "d_code").select("d_code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "polygons")
-
-    def contained(own: pd.DataFrame, shape: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rings = []
-        for r in rings_of(shape["polygons"][0]) if len(shape) else []:
-            rx, ry = utm_arrays(r[:, 0], r[:, 1], zone)
-            rings.append(np.stack([rx, ry], 1))
-        return own[["d_code", "px", "py"]].assign(inside=within(own["x"].to_numpy(), own["y"].to_numpy(), rings, tolerance_m))
-
-    flags = dealt.groupBy("d_code", "part").cogroup(copies.groupBy("d_code", "part")).applyInPandas(contained, "d_code string, px double, py double, inside boolean")
-    joined = df.join(flags, usable & (df["ubigeo"] == flags["d_code"]) & (df["lon"] == flags["px"]) & (df["lat"] == flags["py"]), "left")
-    return joined.withColumn("within_declared_district", F.col("inside")).drop("d_code", "px", "py", "inside")
+    edges = edges_of(shapes)
+    ends = {f"{p}{c}": v for p in ("a", "b") for c, v in zip("xy", utm_project(F.col(f"{p}x"), F.col(f"{p}y"), zone), strict=True)}
+    flags = contained(points.select("shape", "px", "py", x.alias("x"), y.alias("y")), edges.select("shape", *[v.alias(k) for k, v in ends.items()]), tolerance_m)
+    # a shape whose rings have no edge holds no point
+    hollow = points.join(shapes.select("shape"), "shape", "left_semi").join(edges.select("shape").distinct(), "shape", "left_anti")
+    flags = flags.select("shape", "px", "py", "inside").union(hollow.select("shape", "px", "py", F.lit(False)))
+    joined = df.join(flags, usable & (df["ubigeo"] == flags["shape"]) & (df["lon"] == flags["px"]) & (df["lat"] == flags["py"]), "left")
+    return joined.withColumn("within_declared_district", F.col("inside")).drop("shape", "px", "py", "inside")
 
 
 def check_duplicate_codes(df: DataFrame, code: str = "facility_code", ordinal: str = "ordinal") -> DataFrame:

@@ -19,6 +19,9 @@ BBOX = BoundingBox(-81.4, -68.6, -18.4, -0.04)
 UNCLASSIFIED = "SIN_CATEGORIA"
 EMPTY_CATEGORIES = ("", "0", "NAN", "N/A", "S/C", "SIN CATEGORIA")
 RESOLUTIVE_CATEGORIES = ("II-1", "II-2", "II-E", "III-1", "III-2", "III-E")
+# The pattern of a category, and of a key and value among a way's tags.
+CATEGORY_PATTERN = r"^(I{1,3})\s*-?\s*([1-4E])$"
+TAG_PATTERN = r'"((?:[^"\\]|\\.)*)"=>"((?:[^"\\]|\\.)*)"'
 ACTIVE_STATUS = ("ACTIVO",)
 UPGRADEABLE_CATEGORIES = ("I-3", "I-4")
 ENCODINGS = ("utf-8", "latin-1", "cp1252")

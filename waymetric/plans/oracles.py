@@ -6,10 +6,11 @@ from .. import params as P
 from .views import with_views
 
 _IN = lambda values: ", ".join(f"'{v}'" for v in values)
+_BODY = P.CATEGORY_PATTERN.replace("{", "{{").replace("}", "}}")
 _CATEGORY = (
     "CASE WHEN upper(trim(coalesce({0}, ''), ' \t\n\r')) IN (" + _IN(P.EMPTY_CATEGORIES) + ") THEN 'SIN_CATEGORIA' "
-    "WHEN regexp_matches(upper(trim({0}, ' \t\n\r')), '^(I{{1,3}})\\s*-?\\s*([1-4E])$') "
-    "THEN regexp_replace(upper(trim({0}, ' \t\n\r')), '^(I{{1,3}})\\s*-?\\s*([1-4E])$', '\\1-\\2') ELSE 'SIN_CATEGORIA' END"
+    f"WHEN regexp_matches(upper(trim({{0}}, ' \t\n\r')), '{_BODY}') "
+    f"THEN regexp_replace(upper(trim({{0}}, ' \t\n\r')), '{_BODY}', '\\1-\\2') ELSE 'SIN_CATEGORIA' END"
 )
 CATEGORY = _CATEGORY.format("category_raw")
 RESOLUTIVE = f"({CATEGORY}) IN ({_IN(P.RESOLUTIVE_CATEGORIES)}) AND coalesce(upper(trim(status_raw)), '') IN ({_IN(P.ACTIVE_STATUS)})"
