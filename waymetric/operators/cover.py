@@ -64,26 +64,22 @@ def contained(points: DataFrame, edges: DataFrame, tolerance: float) -> DataFram
     sized = edges.join(sizes, "shape")
     border = in_cells(sized, tolerance + LITTLE).select("shape", "i", "j").distinct().withColumn("border", F.lit(True))
     placed = points.join(sizes, "shape").withColumns({"i": F.floor(F.col("x") / F.col("cell")), "j": F.floor(F.col("y") / F.col("cell"))})
-    placed = cut(placed.join(border, ["shape", "i", "j"], "left").withColumn("border", F.coalesce("border", F.lit(False))), "placed")
-    centre = lambda c: (F.col(c) + 0.5) * F.col("cell")
-    near_edge = placed.where("border").select("shape", "x", "y", "i", "j", "border")
-    cells = placed.where("not border").select("shape", "i", "j", "cell").distinct().select("shape", centre("i").alias("x"), centre("j").alias("y"), "i", "j", F.lit(False).alias("border"))
+    placed = placed.join(border, ["shape", "i", "j"], "left")
+    # a point of a border cell stands for itself, all points of another cell are its centre
+    stands = lambda c, k: F.when(F.col("border"), F.col(c)).otherwise((F.col(k) + 0.5) * F.col("cell"))
+    placed = cut(placed.withColumns({"kx": stands("x", "i"), "ky": stands("y", "j")}), "placed")
     banded = sized.withColumn("j", F.explode(_cells(F.least("ay", "by") - tolerance - LITTLE, F.greatest("ay", "by") + tolerance + LITTLE))).drop("cell")
-    x, y = F.col("x"), F.col("y")
+    x, y = F.col("kx"), F.col("ky")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     straddles = (F.col("ay") > y) != (F.col("by") > y)
-    crosses = straddles & (x < F.col("ax") + (y - F.col("ay")) * dx / dy)
+    crosses = straddles & (x < F.greatest("ax", "bx")) & (x < F.col("ax") + (y - F.col("ay")) * dx / dy)
     within = lambda c, v: v.between(F.least(f"a{c}", f"b{c}") - tolerance, F.greatest(f"a{c}", f"b{c}") + tolerance)
     along = F.least(F.greatest(((x - F.col("ax")) * dx + (y - F.col("ay")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-300)), F.lit(0.0)), F.lit(1.0))
-    close = F.hypot(x - F.col("ax") - along * dx, y - F.col("ay") - along * dy) < tolerance
-    met = near_edge.union(cells).join(banded, ["shape", "j"], "left")
-    met = met.select("shape", "x", "y", "i", "j", "border", (straddles & (x < F.greatest("ax", "bx")) & crosses).alias("crosses"), (within("x", x) & within("y", y) & close).alias("close"))
-    sides = met.groupBy("shape", "x", "y", "i", "j", "border").agg((F.count_if("crosses") % 2 == 1).alias("odd"), F.coalesce(F.bool_or("close"), F.lit(False)).alias("close"))
-    sides = cut(sides.select("shape", "x", "y", "i", "j", "border", (F.col("odd") | F.col("close")).alias("inside")), "sides")
-    own = placed.where("border").join(sides.where("border").select("shape", "x", "y", "inside"), ["shape", "x", "y"])
-    settled = placed.where("not border").join(sides.where("not border").select("shape", "i", "j", "inside"), ["shape", "i", "j"])
-    columns = [*points.columns, "inside"]
-    return own.select(*columns).union(settled.select(*columns))
+    close = within("x", x) & within("y", y) & (F.hypot(x - F.col("ax") - along * dx, y - F.col("ay") - along * dy) < tolerance)
+    met = placed.select("shape", "kx", "ky", "j").distinct().join(banded, ["shape", "j"], "left")
+    sides = met.select("shape", "kx", "ky", crosses.alias("crosses"), close.alias("close")).groupBy("shape", "kx", "ky")
+    sides = sides.agg(((F.count_if("crosses") % 2 == 1) | F.coalesce(F.bool_or("close"), F.lit(False))).alias("inside"))
+    return placed.join(sides, ["shape", "kx", "ky"]).select(*points.columns, "inside")
 
 
 def crossing(lines: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,16 +1,15 @@
 """Road networks as tables of nodes and edges, and travel times over them.
 
 Columns named as `scope` (department and profile, say) travel with nodes, edges,
-points and sources, so that one job handles all networks.  A network of bounded size
-is searched within a task; larger ones relax a frontier by joins, whose rounds are
-written to the checkpoint folder.
+points and sources, so that one job handles all networks.  Networks are cut into cells
+of bounded size: tasks work within a cell, and rounds of joins, written to the checkpoint
+folder, carry what they find from cell to cell.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,9 +20,6 @@ from ..checkpoints import cut, drop
 from ..functions.scalars import access_excluded, edge_speed_kmh, haversine_m, highway_allowed, parse_tags
 from .cover import contained, crossing, edges_of
 
-Pick = Callable[[DataFrame], DataFrame]
-
-
 def ways_for_profile(ways: DataFrame, profile: str) -> DataFrame:
     return ways.where(highway_allowed(F.col("highway"), profile) & ~access_excluded(parse_tags(F.col("other_tags")), profile))
 
@@ -90,7 +86,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected graph of edges (u, v); component is the least node.  Large-star and small-star rounds."""
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "components")
     before = None
-    while True:
+    while not now.isEmpty():
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = cut(now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components")
@@ -100,28 +96,60 @@ def connected_components(edges: DataFrame) -> DataFrame:
         drop(now, large)
         now, same, before = small, state == before, state
         if same:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+
+
+#: Ends of edges that a cell has at most, but for the finest cells (2^FINE units of 1e-7 degrees wide).
+CELL_EDGES, FINE, LEVELS = 8000, 12, 20
+
+
+def cells_of(edges: DataFrame, *scope: str) -> DataFrame:
+    """(scope, node, cell) of the nodes of edges (u, v): the coarsest cell of a quadtree over their coordinates with few enough ends of edges.
+
+    A node's number says where it is (node_id); cells only decide which task works on it.
+    """
+    ends = edges.select(*scope, F.col("u").alias("node")).union(edges.select(*scope, "v"))
+    nodes = ends.groupBy(*scope, "node").agg(F.count(F.lit(1)).alias("n"))
+    at = {"_y": F.shiftright(F.floor(F.col("node") / 4_000_000_000).cast("long"), FINE), "_x": F.shiftright(F.pmod("node", F.lit(4_000_000_000)), FINE)}
+    nodes = nodes.withColumns(at)
+    fine = nodes.groupBy(*scope, "_y", "_x").agg(F.sum("n").alias("n"))
+    high = fine.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    high = high.withColumns({"cy": F.call_function("shiftright", "_y", "s"), "cx": F.call_function("shiftright", "_x", "s")})
+    fits = high.groupBy(*scope, "s", "cy", "cx").agg(F.sum("n").alias("all")).where((F.col("all") <= CELL_EDGES) | (F.col("s") == 0))
+    best = high.join(fits, [*scope, "s", "cy", "cx"]).groupBy(*scope, "_y", "_x").agg(F.max(F.struct("s", "cy", "cx")).alias("c"))
+    return nodes.join(best, [*scope, "_y", "_x"]).select(*scope, "node", F.concat_ws("/", "c.s", "c.cy", "c.cx").alias("cell"))
+
+
+def in_cells(edges: DataFrame, cells: DataFrame, *scope: str) -> DataFrame:
+    """edges with cell (of u) and to (of v)."""
+    out = edges.join(cells.withColumnRenamed("node", "u"), [*scope, "u"])
+    return out.join(cells.select(*scope, F.col("node").alias("v"), F.col("cell").alias("to")), [*scope, "v"])
 
 
 def scope_components(edges: DataFrame, *scope: str) -> DataFrame:
     """(scope, node, component) of every node with an edge to another node: the least node of its connected component.
 
-    A scope of up to SEARCH_EDGES edges is labelled within a task; larger ones go by
-    rounds, with the same results.
+    Nodes are joined within their cells, each in a task; edges between cells then join
+    what was found there, by rounds of joins over these alone.
     """
-    pairs = cut(edges.select(*scope, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
-    small, large = _by_size(pairs, scope)
+    pairs = edges.select(*scope, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    pairs = cut(pairs, "pairs")
+    placed = cut(in_cells(pairs, cells_of(pairs, *scope), *scope), "pairs")
+    nodes = placed.select(*scope, F.col("u").alias("node")).union(placed.select(*scope, "v")).distinct()
 
     def label(who: tuple, network: pd.DataFrame) -> pd.DataFrame:
         ids, least = _least_nodes(network["u"], network["v"])
-        return pd.DataFrame({**dict(zip(scope, who, strict=False)), "node": ids, "component": least})
+        return pd.DataFrame({**dict(zip(scope, who, strict=False)), "node": ids, "root": least})
 
-    key = [F.col(c) for c in scope] or [F.lit(0).alias("all")]
-    found = small(pairs).select(*key, "u", "v").groupBy(*(scope or ["all"])).applyInPandas(label, _schema(edges, scope, "node long, component long"))
-    if large is None:
-        return found
-    end = lambda c: F.struct(*scope, F.col(c).alias("n")).alias(c)
-    return found.union(connected_components(large(pairs).select(end("u"), end("v"))).select("node.*", F.col("component.n").alias("component")))
+    own = placed.where("cell = to").groupBy(*scope, "cell").applyInPandas(label, _schema(edges, scope, "node long, root long"))
+    own = cut(nodes.join(own, [*scope, "node"], "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    root = lambda c, name: own.select(*scope, F.col("node").alias(c), F.col("root").alias(name))
+    across = placed.where("cell <> to").select(*scope, "u", "v").join(root("u", "a"), [*scope, "u"]).join(root("v", "b"), [*scope, "v"])
+    end = lambda c, name: F.struct(*scope, F.col(c).alias("n")).alias(name)
+    joined = connected_components(across.select(end("a", "u"), end("b", "v"))).select("node.*", F.col("component.n").alias("component")).withColumnRenamed("n", "root")
+    drop(pairs)
+    return own.join(joined, [*scope, "root"], "left").select(*scope, "node", F.coalesce("component", "root").alias("component"))
 
 
 def _least_nodes(u, v) -> tuple:
@@ -144,15 +172,6 @@ def _schema(edges: DataFrame, scope: tuple[str, ...], rest: str) -> str:
     return ", ".join([*(f"`{c}` {types[c]}" for c in scope), rest])
 
 
-def _by_size(least: DataFrame, scope: tuple[str, ...]) -> tuple[Pick, Pick | None]:
-    """Two functions that keep a table's rows in the scopes of up to SEARCH_EDGES edges and in the larger ones (None if there are none)."""
-    tag = F.struct(*scope) if scope else F.struct(F.lit(0).alias("all"))
-    sizes = least.groupBy(tag.alias("s")).agg(F.count(F.lit(1)).alias("n_edges"))
-    small = sizes.where(F.col("n_edges") <= SEARCH_EDGES).select("s")
-    pick = lambda how: lambda df: df.withColumn("s", tag).join(small, "s", how).drop("s")
-    return pick("left_semi"), None if sizes.where(F.col("n_edges") > SEARCH_EDGES).isEmpty() else pick("left_anti")
-
-
 def largest_component(nodes: DataFrame, edges: DataFrame, *scope: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the largest weakly connected component of each scope; of equally large ones, that with the least node."""
     found = scope_components(edges, *scope)
@@ -251,87 +270,78 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, *keys: str
     return functools.reduce(DataFrame.unionByName, state).groupBy(*by).agg(F.min("dist").alias("dist"))
 
 
-def nearest_from_sources(edges: DataFrame, sources: DataFrame, weight: str = "travel_time", limit: float | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
-    """(scope, node, dist) from the nearest source; empty without sources.
-
-    A scope of up to SEARCH_EDGES edges is one search within a task; larger ones go
-    by rounds, with the same results.
-    """
-    least = cut(edges.groupBy(*scope, "u", "v").agg(F.min(weight).alias("w")), "edges")
-    small, large = _by_size(least, scope)
-    key = [F.col(c) for c in scope] or [F.lit(0).alias("all")]
-    found = small(least).select(*key, "u", "v", "w").groupBy(*(scope or ["all"])).cogroup(small(sources).select(*key, "node").groupBy(*(scope or ["all"])))
-
-    def search(who: tuple, network: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        ids, dist = _dijkstra(network["u"], network["v"], network["w"], [own["node"]], limit)
-        near = np.flatnonzero(np.isfinite(dist[0]))
-        return pd.DataFrame({**dict(zip(scope, who, strict=False)), "node": ids[near], "dist": dist[0][near]})
-
-    out = found.applyInPandas(search, _schema(edges, scope, "node long, dist double"))
-    if large is None:
-        return out
-    return out.union(shortest_paths(large(least), large(sources), "w", scope=scope, limit=limit))
-
-
-def _dijkstra(u, v, w, starts: list, limit: float | None = None) -> tuple:
-    """The nodes, and for each set of starting nodes the least sums of weights to all of them (infinite without a path)."""
-    from heapq import heappop, heappush
-
+def _hub_distances(u, v, w, hubs) -> tuple:
+    """The nodes, and from each hub the least sums of weights to all of them along these edges (infinite without a path)."""
     import numpy as np
 
-    ids = np.unique(np.concatenate([np.asarray(x, np.int64) for x in (u, v, *starts)]))
-    near: list[list] = [[] for _ in ids]
-    for a, b, c in zip(np.searchsorted(ids, u).tolist(), np.searchsorted(ids, v).tolist(), np.asarray(w).tolist(), strict=True):
-        near[a].append((b, c))
-    most, out = float("inf") if limit is None else limit, []
-    for own in starts:
-        dist = [float("inf")] * len(ids)
-        heap = [(0.0, s) for s in sorted(set(np.searchsorted(ids, own).tolist()))]
-        for _, s in heap:
-            dist[s] = 0.0
-        while heap:
-            d, a = heappop(heap)
-            if d > dist[a]:
-                continue
-            for b, c in near[a]:
-                if d + c < dist[b] and d + c <= most:
-                    dist[b] = d + c
-                    heappush(heap, (d + c, b))
-        out.append(np.array(dist))
+    ids = np.unique(np.concatenate([np.asarray(x, np.int64) for x in (u, v, hubs)]))
+    a, b, w = np.searchsorted(ids, u), np.searchsorted(ids, v), np.asarray(w, float)
+    order = np.argsort(b, kind="stable")
+    a, b, w = a[order], b[order], w[order]
+    head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    out = np.full((len(hubs), len(ids)), np.inf)
+    out[np.arange(len(hubs)), np.searchsorted(ids, hubs)] = 0.0
+    while len(b):
+        found = np.minimum.reduceat(out[:, a] + w, head, axis=1)
+        less = found < out[:, b[head]]
+        if not less.any():
+            break
+        out[:, b[head]] = np.where(less, found, out[:, b[head]])
     return ids, out
 
 
-#: Edges up to which a task searches the network in memory (larger ones go by rounds), and facilities of a task, about.
-SEARCH_EDGES, SEARCH_BATCH = 1_000_000, 16
+#: Hubs of a cell that a task searches from at once.
+HUBS = 128
 
 
-def searched_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(facility_id, node, seconds, distance_m) of both weights, by Dijkstra's search from each facility.
+def hub_paths(edges: DataFrame, sources: DataFrame, weight: str, *keys: str, scope: tuple[str, ...] = (), limit: float | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(scope, keys, node, dist): the least sum of weights from a source to every node it reaches, or to the targets (scope, node), by hub labels.
 
-    The network goes to each batch of facilities once; sums are those of
-    shortest_paths, term by term.
+    Hubs of a cell are the nodes where edges from other cells arrive, and its sources.
+    A task labels a cell's nodes with their distances from its hubs.  Labels and the
+    edges between cells make a small network of hubs alone, on which rounds of joins
+    carry the sources' distances from cell to cell; nodes then meet the hubs of their own
+    cell by an equi-join and take the least sum.  No task sees more than a cell.
     """
-    n = max(1, sources.count() // SEARCH_BATCH)
-    dealt = cut(sources.select("facility_id", "node", F.pmod(F.xxhash64("facility_id"), F.lit(n)).alias("batch")), "sources")
-    sent = edges.crossJoin(dealt.select(F.col("batch").alias("to")).distinct())
+    by = [*scope, *keys]
+    least = cut(edges.groupBy(*scope, "u", "v").agg(F.min(weight).alias("w")), "edges")
+    starts = cut(sources.select(*by, "node").distinct(), "sources")
+    cells = cut(cells_of(least.select(*scope, "u", "v").union(starts.select(*scope, "node", "node")), *scope), "cells")
+    placed = cut(in_cells(least, cells, *scope), "edges")
+    entries = placed.where("cell <> to").select(*scope, F.col("to").alias("cell"), F.col("v").alias("hub"))
+    hubs = entries.union(starts.select(*scope, "node").join(cells, [*scope, "node"]).select(*scope, "cell", F.col("node").alias("hub"))).distinct()
 
-    def search(network: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def label(who: tuple, network: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        own = own.groupby("facility_id")["node"].apply(list)
-        ids, fast = _dijkstra(network["u"], network["v"], network["travel_time"], own.tolist())
-        _, short = _dijkstra(network["u"], network["v"], network["length"], own.tolist())
-        out = [
-            pd.DataFrame({"facility_id": f, "node": ids[ok], "seconds": s[ok], "distance_m": m[ok]})
-            for f, s, m in zip(own.index, fast, short, strict=True)
-            for ok in [np.isfinite(s)]
-        ]
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("facility_id", "node", "seconds", "distance_m")})
+        out = []
+        hub = own["hub"].to_numpy()
+        for k in range(0, len(hub), HUBS):
+            ids, dist = _hub_distances(network["u"], network["v"], network["w"], hub[k : k + HUBS])
+            h, n = np.nonzero(np.isfinite(dist))
+            out.append(pd.DataFrame({"hub": hub[k : k + HUBS][h], "node": ids[n], "d": dist[h, n]}))
+        got = pd.concat(out) if out else pd.DataFrame({"hub": [], "node": [], "d": []})
+        return got.assign(**dict(zip(scope, who, strict=False)))[[*scope, "hub", "node", "d"]]
+
+    key = lambda mark: [F.col(c).alias(f"{mark}{k}") for k, c in enumerate((*scope, "cell"))]
+    group = lambda df, mark, *keep: df.select(*key(mark), *keep).groupBy(*[f"{mark}{k}" for k in range(len(scope) + 1)])
+    grouped = group(placed.where("cell = to"), "e", "u", "v", "w").cogroup(group(hubs, "h", "hub"))
+    labels = cut(grouped.applyInPandas(label, _schema(edges, scope, "hub long, node long, d double")), "labels")
+    over = placed.where("cell <> to").select(*scope, F.col("u").alias("node"), F.col("v").alias("next"), "w")
+    links = labels.join(over, [*scope, "node"]).groupBy(*scope, "hub", "next").agg(F.min(F.col("d") + F.col("w")).alias("w"))
+    at_hubs = shortest_paths(links.select(*scope, F.col("hub").alias("u"), F.col("next").alias("v"), "w"), starts, "w", *keys, scope=scope, limit=limit).withColumnRenamed("node", "hub")
+    if targets is not None:
+        labels = labels.join(targets.select(*scope, "node").distinct(), [*scope, "node"], "left_semi")
+    met = at_hubs.join(labels, [*scope, "hub"]).select(*by, "node", (F.col("dist") + F.col("d")).alias("dist"))
+    if limit is not None:
+        met = met.where(F.col("dist") <= limit)
+    drop(least, cells)
+    return met.groupBy(*by, "node").agg(F.min("dist").alias("dist"))
+
 
-    schema = f"facility_id {dict(sources.dtypes)['facility_id']}, node long, seconds double, distance_m double"
-    return sent.groupBy("to").cogroup(dealt.groupBy("batch")).applyInPandas(search, schema)
+def nearest_from_sources(edges: DataFrame, sources: DataFrame, weight: str = "travel_time", limit: float | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, node, dist) from the nearest source; empty without sources."""
+    return hub_paths(edges, sources, weight, scope=scope, limit=limit)
 
 
 def travel_matrix(edges: DataFrame, origins: DataFrame, facilities: DataFrame, limit_s: float | None = None) -> DataFrame:
@@ -342,14 +352,10 @@ def travel_matrix(edges: DataFrame, origins: DataFrame, facilities: DataFrame, l
     pairs with origins without a node only.
     """
     sources = facilities.where("node is not null").select("facility_id", "node")
-    least = cut(edges.groupBy("u", "v").agg(F.min("travel_time").alias("travel_time"), F.min("length").alias("length")), "edges")
-    if least.count() <= SEARCH_EDGES:
-        paths = searched_paths(least, sources)
-        paths = paths if limit_s is None else paths.where(F.col("seconds") <= limit_s)
-    else:
-        fast = shortest_paths(least, sources, "travel_time", "facility_id", limit=limit_s).withColumnRenamed("dist", "seconds")
-        short = shortest_paths(least, sources, "length", "facility_id").withColumnRenamed("dist", "distance_m")
-        paths = fast.join(short, ["facility_id", "node"])
+    targets = origins.where("node is not null").select("node")
+    fast = hub_paths(edges, sources, "travel_time", "facility_id", limit=limit_s, targets=targets).withColumnRenamed("dist", "seconds")
+    short = hub_paths(edges, sources, "length", "facility_id", targets=targets).withColumnRenamed("dist", "distance_m")
+    paths = fast.join(short, ["facility_id", "node"])
     # the result is a row per pair; facilities of a network are few and Spark decides how to pair them
     pairs = origins.join(facilities.select("facility_id", F.col("node").alias("f_node"), "facility_is_resolutive"), F.col("node").isNull() | F.col("f_node").isNotNull())
     out = pairs.join(paths, ["facility_id", "node"], "left")
