@@ -6,10 +6,11 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+from waymetric.operators import cover
 from waymetric.operators import demand as D
 from waymetric.operators import insights as I
 from waymetric.operators import metrics as M
-from waymetric.operators import cover
 from waymetric.operators import quality as Q
 from waymetric.operators import siting as O
 from waymetric.sources import tables as T
@@ -175,7 +176,24 @@ def test_missing_partitions_with_null_and_padded_keys(spark, tmp_path):
     assert T.write_missing_partitions(first, path, ["code", "profile"]) == 3
     assert T.write_missing_partitions(first, path, ["code", "profile"]) == 0
     assert T.write_missing_partitions(spark.createDataFrame(rows, "v long, code string, profile string"), path, ["code", "profile"]) == 1
-    assert sorted(r.v for r in spark.read.schema("v long, code string, profile string").parquet(path).collect()) == [1, 2, 3, 4]
+    assert sorted(tuple(r) for r in T.read_partitions(spark, path, first.schema, ["code", "profile"]).collect()) == sorted(rows, key=lambda r: r[0])
+    blank = spark.createDataFrame([(9, "", "")], "v long, code string, profile string")
+    assert T.write_missing_partitions(blank, path, ["code", "profile"]) == 1 and T.write_missing_partitions(blank, path, ["code", "profile"]) == 0
+
+
+def test_partitions_of_a_call_that_died(spark, tmp_path):
+    """Rows that a call left behind without publishing are not read, and are written by the next."""
+    path, keys = f"file://{tmp_path}/parts", ["k"]
+    table = spark.range(200).select("id", (F.col("id") % 5).cast("string").alias("k"))
+    assert T.read_partitions(spark, path, table.schema, keys).count() == 0
+    assert T.write_missing_partitions(table.where("k = '1'"), path, keys) == 40
+    broken = table.withColumn("id", F.when(F.col("id") < 150, F.col("id")).otherwise(F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        T.write_missing_partitions(broken, path, keys)
+    table.where("id < 90").write.partitionBy("k").parquet(f"{path}/data/run=dead")  # files of a job that died before its manifest
+    assert sorted(r.id for r in T.read_partitions(spark, path, table.schema, keys).collect()) == list(range(1, 200, 5))
+    assert T.write_missing_partitions(table, path, keys) == 160
+    assert sorted(tuple(r) for r in T.read_partitions(spark, path, table.schema, keys).collect()) == sorted(tuple(r) for r in table.collect())
 
 
 def test_write_table(spark, tmp_path):

@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables written and not yet deleted.
+#: Places written and not yet deleted.
 _live: set[str] = set()
 
 
@@ -28,14 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which drop_all deletes with the tables."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _live.add(path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut = path
-    _live.add(path)
     return out
 
 

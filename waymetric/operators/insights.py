@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
+from .quantiles import with_quantiles
 
 
 def filter_facilities(
@@ -19,10 +20,10 @@ def filter_facilities(
     return out.where((F.col("is_resolutive") & F.lit(resolutive)) | (~F.col("is_resolutive") & F.lit(others)))
 
 
-def kpis(access: DataFrame, by_district: DataFrame, districts: DataFrame, threshold: float = P.THRESHOLD_MIN, approximate: bool = False) -> DataFrame:
-    """One row (the median exact unless approximate, which bounds the memory): population, population beyond the threshold or without a route and its percent, median time, worst district."""
+def kpis(access: DataFrame, by_district: DataFrame, districts: DataFrame, threshold: float = P.THRESHOLD_MIN) -> DataFrame:
+    """One row: population, population beyond the threshold or without a route and its percent, median time, worst district."""
     far = F.coalesce(F.sum(F.when(F.col("t_min").isNull() | (F.col("t_min") > threshold), F.col("population_est"))), F.lit(0.0))
-    whole = access.agg(F.sum("population_est").alias("population"), far.alias("beyond"), (F.percentile_approx("t_min", 0.5) if approximate else F.percentile("t_min", F.lit(0.5))).alias("median_min"))
+    whole = with_quantiles(access, (), F.col("t_min"), {"median_min": 0.5}, F.sum("population_est").alias("population"), far.alias("beyond"))
     worst = by_district.where("mean_access_min is not null").orderBy(F.desc("mean_access_min"), "ubigeo").limit(1)
     named = worst.join(districts.select("ubigeo", "district"), "ubigeo", "left").select(F.col("district").alias("worst_district"), F.col("mean_access_min").alias("worst_minutes"))
     return whole.join(named, F.lit(True), "left").select("population", "beyond", (100 * F.try_divide("beyond", "population")).alias("pct_beyond"), "median_min", "worst_district", "worst_minutes")  # one row each
@@ -46,8 +47,7 @@ def access_histogram(access: DataFrame, by: str, bins: int = 40) -> DataFrame:
 
 
 def box_quartiles(access: DataFrame, by: str) -> DataFrame:
-    q = F.percentile("t_min", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return access.where("t_min is not null").groupBy(by).agg(q.alias("q")).select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    return with_quantiles(access.where("t_min is not null"), (by,), F.col("t_min"), {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def ready_departments(by_district: DataFrame, districts: DataFrame) -> DataFrame:

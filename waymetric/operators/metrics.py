@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..checkpoints import cut
 from ..functions.scalars import haversine_m
+from .quantiles import with_quantiles
 
 
 def access_time_by_point(nearest: DataFrame) -> DataFrame:
@@ -116,10 +117,9 @@ def straight_line_vs_network(nearest: DataFrame, demand: DataFrame, facilities:
     return out.select("demand_id", "facility_id", "department", "distance_m", "straight_m", (F.col("distance_m") / F.nullif("straight_m", F.lit(0.0))).alias("detour"))
 
 
-def detour_quantiles(table: DataFrame, *by: str, approximate: bool = False) -> DataFrame:
-    """Median and 90th percentile, exact unless approximate (which bounds the memory of a group)."""
-    q = (lambda p: F.percentile_approx("detour", p)) if approximate else (lambda p: F.percentile("detour", F.lit(p)))
-    return table.groupBy(*by).agg(q(0.5).alias("median_detour"), q(0.9).alias("p90_detour"), F.count("detour").alias("n"))
+def detour_quantiles(table: DataFrame, *by: str) -> DataFrame:
+    """Median and 90th percentile, exact."""
+    return with_quantiles(table, by, F.col("detour"), {"median_detour": 0.5, "p90_detour": 0.9}, F.count("detour").alias("n"))
 
 
 def cross_mode(car: DataFrame, foot: DataFrame, bike: DataFrame, demand: DataFrame) -> DataFrame:
@@ -136,10 +136,10 @@ def cross_mode(car: DataFrame, foot: DataFrame, bike: DataFrame, demand: DataFra
     return wide.join(ready, "department", "left_semi")
 
 
-def cross_mode_ratio(table: DataFrame, *by: str, approximate: bool = False) -> DataFrame:
-    """Median of foot over car where both have a route (a car time of 0 gives none), and how many have both; the median as in detour_quantiles."""
+def cross_mode_ratio(table: DataFrame, *by: str) -> DataFrame:
+    """Median of foot over car where both have a route (a car time of 0 gives none), and how many have both."""
     both = F.col("t_car").isNotNull() & F.col("t_foot").isNotNull()
     ratio = F.when(both, F.col("t_foot") / F.nullif("t_car", F.lit(0.0)))
-    return table.groupBy(*by).agg((F.percentile_approx(ratio, 0.5) if approximate else F.percentile(ratio, F.lit(0.5))).alias("median_ratio"), F.count_if(both).alias("n_both"), (100 * F.count_if(both) / F.count(F.lit(1))).alias("pct_both"))
+    return with_quantiles(table, by, ratio, {"median_ratio": 0.5}, F.count_if(both).alias("n_both"), (100 * F.count_if(both) / F.count(F.lit(1))).alias("pct_both"))
 
 

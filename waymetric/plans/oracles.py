@@ -316,6 +316,7 @@ ORACLES: dict[str, str] = {
         """SELECT url, y AS year, m AS month, d AS day FROM (SELECT url, CAST(regexp_extract(url, '(\\d{2})-(\\d{2})-(\\d{4})\\.csv$', 3) AS INTEGER) AS y,
         CAST(regexp_extract(url, '(\\d{2})-(\\d{2})-(\\d{4})\\.csv$', 2) AS INTEGER) AS m, CAST(regexp_extract(url, '(\\d{2})-(\\d{2})-(\\d{4})\\.csv$', 1) AS INTEGER) AS d
         FROM v_files WHERE lower(format) = 'csv') ORDER BY y DESC, m DESC, d DESC, url DESC LIMIT 1""", "v_files"),
+    "missing_partitions": _q("SELECT demand_id, province, department, ubigeo FROM v_demand", "v_demand"),
     "boundaries_flatten": _q("SELECT ubigeo, department, province, district, has_shape = 1 AS has_polygons, CASE WHEN has_shape = 1 THEN x0 END AS first_x FROM v_district", "v_district"),
     "dq_missing_coordinates": _q("SELECT ordinal, has_valid_coords FROM o_flags", "o_flags"),
     "dq_out_of_bbox": _q("SELECT ordinal, in0 AS in_bbox FROM o_flags", "o_flags"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..checkpoints import cut
+from ..checkpoints import cut, scratch
 from ..functions import scalars as S
 from ..functions.geometry import utm_project
 from ..operators import demand as D
@@ -118,6 +118,16 @@ def detect_encoding(s, d):
     return T.detect_encoding(docs.select(F.col("doc_id").alias("path"), raw.alias("content"))).select("path", "encoding", "failed")
 
 
+@query
+def missing_partitions(s, d):
+    """One department is there, a call has died after half of the rows; the next call writes what was not published."""
+    path, table, keys = scratch(s, "partitions"), view(s, d, "v_demand").select("demand_id", "province", "department", "ubigeo"), ["department", "ubigeo"]
+    T.write_missing_partitions(table.where("department = 'ASIA'"), path, keys)
+    table.where("demand_id % 2 = 0").write.partitionBy(*keys).parquet(f"{path}/data/run=dead")
+    T.write_missing_partitions(table, path, keys)
+    return T.read_partitions(s, path, table.schema, keys)
+
+
 # -- functions -------------------------------------------------------------------------------------------------------
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+import uuid
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import params as P
 from ..functions.geometry import POLYGONS
@@ -126,16 +129,48 @@ def detect_encoding(files: DataFrame, candidates: tuple[str, ...] = P.ENCODINGS)
     return out.withColumn("failed", F.slice(names, 1, F.greatest(F.when(F.col("encoding").isNull(), F.size(names)).otherwise(F.array_position(names, F.col("encoding")).cast("int") - 1), F.lit(0))))
 
 
+def _published(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
+    """(keys, run) of the partitions that are complete, the first run of each; None where nothing was ever published."""
+    manifest = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    store = manifest.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(manifest) or not any(f.getPath().getName().startswith("run=") for f in store.listStatus(manifest)):
+        return None
+    return spark.read.parquet(f"{path}/manifest").groupBy(*keys).agg(F.min("run").alias("run"))
+
+
 def write_missing_partitions(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends the partitions of df (by keys, null ones too) that path does not have yet, and returns how many rows it wrote."""
+    """Writes the partitions of df (by keys, null ones too) that path does not have yet, and returns how many rows these are.
+
+    A call writes below data/run=<its name>, and publishes what it wrote by one small
+    file below manifest, which appears whole or not at all.  Readers trust the manifest
+    alone: what a call that died has left is never read, and its partitions are written
+    again by the next call.  Where two calls wrote a partition at the same time, the one
+    whose name comes first counts.
+    """
     spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        there = spark.read.schema(df.schema).parquet(path).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-        df = df.join(there, functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
+    there = _published(spark, path, keys)
+    if there is not None:
+        own = lambda k: F.when(F.col(k).cast("string") != "", F.col(k))  # noqa: E731  blank keys are written as null
+        same = functools.reduce(lambda a, b: a & b, [own(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        df = df.join(there.select(*[F.col(k).cast(df.schema[k].dataType).alias(f"_{k}") for k in keys]), same, "left_anti")
+    run = datetime.now(UTC).strftime("%Y%m%dT%H%M%S%f-") + uuid.uuid4().hex
     written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*keys).parquet(path)
-    return written.get["n"]
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.partitionBy(*keys).parquet(f"{path}/data/run={run}")
+    n = written.get["n"]
+    if n:
+        own = spark.read.schema(df.schema).parquet(f"{path}/data/run={run}").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+        own.coalesce(1).write.parquet(f"{path}/manifest/run={run}")  # a row for each partition
+    return n
+
+
+def read_partitions(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """The rows of all partitions that write_missing_partitions has published below path, with the columns of schema; none before it has."""
+    there = _published(spark, path, keys)
+    if there is None:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("run", StringType())])).parquet(f"{path}/data")
+    same = functools.reduce(lambda a, b: a & b, [rows[k].eqNullSafe(there[k].cast(schema[k].dataType)) for k in keys])
+    return rows.join(there, same & (rows["run"] == there["run"]), "left_semi").select(*schema.names)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", one_file: bool = False) -> None:
