@@ -1,6 +1,7 @@
 """Column functions and geometry."""
 
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -43,6 +44,25 @@ def test_access_and_speed(spark):
     assert [tuple(r) for r in got] == [(True, True, 60.0, True), (False, True, 15.0, False), (False, False, 40.0, True)]
 
 
+def plain(t):
+    return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+
+
+def key(t):
+    return re.sub("[^A-Za-z]", "", plain(t).encode("ascii", "ignore").decode().title())
+
+
+def test_names_of_every_code_point(spark):
+    """Each alone between letters, and all kinds of writing, against Python's decomposition."""
+    texts = [f"a{chr(c)}b" for c in (*range(1, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200))]
+    texts += ["Nguyễn Thị Hồng Nhung", "Příliš žluťoučký kůň", "ＦＵＬＬ ｗｉｄｔｈ　９", "cafe\u0301 n\u0303o", "½ ﬁn ㎏ Ⅳ ⑴ 한국어 ﷺ", "\U0001d400\U0001f600 straße", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    got = {r.i: (r.n, r.k) for r in df.select("i", S.normalize_name(F.col("t")).alias("n"), S.name_key(F.col("t")).alias("k")).collect()}
+    words = lambda t: re.sub(r"\s+", " ", re.sub("[^A-Z0-9 ]", " ", plain(t).upper())).strip()
+    wrong = [(t, got[i]) for i, t in enumerate(texts) if got[i] != ((words(t), key(t)) if t is not None else (None, None))]
+    assert not wrong, wrong[:5]
+
+
 def test_names(one):
     assert one(S.normalize_name, ["San Martín-de  Porres!"]) == ["SAN MARTIN DE PORRES"]
     assert one(S.title_es, ["CALIDAD Y SALUD", "PAUCARTAMBO", "EL ALTO DE LA PAZ"]) == ["Calidad y Salud", "Paucartambo", "el Alto de la Paz"]
@@ -56,9 +76,8 @@ def test_registered_names_read_whole_texts(spark, tmp_path):
     texts = ["San Martín-de  Porres!\n" * 300 + "EL Último, ß y 7", "de la UNIÓN\t" + "x" * 5000 + " del Señor", "corto", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda f: {r[0]: tuple(r[1:]) for r in f(spark, str(tmp_path)).collect()}
-    plain = lambda t: t.translate(str.maketrans(S.ACCENTED, S.PLAIN))
     names = [t if t is None else " ".join(re.sub("[^A-Z0-9 ]", " ", plain(t).upper()).split()) for t in texts]
-    keys = [t if t is None else "".join(w.capitalize() for w in re.findall("[A-Za-z]+", plain(t))) for t in texts]
+    keys = [t if t is None else key(t) for t in texts]
     words = lambda t: t.lower().split()
     small = {"y", "de", "del", "la", "las", "los"}
     titles = [(t, t) if t is None else (" ".join(w if w in small | {"el"} else w.title() for w in words(t)), " ".join(w if i and w in small else w.capitalize() for i, w in enumerate(words(t)))) for t in texts]

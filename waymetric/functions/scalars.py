@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import params as P
 
-#: Accented letters and what is left of them; fixed values, by position.
-ACCENTED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝáàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCYaaaaaaeeeeiiiiooooouuuuncyy"
+
+@functools.cache
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition without combining marks leaves of characters, from Python's own Unicode tables.
+
+    Characters that leave one or nothing, as the two texts of a translation; and those
+    that leave several of which any is ASCII.  Hangul syllables and others leave nothing
+    but separators, as they are themselves.
+    """
+    one: dict[str, str] = {}
+    gone: list[str] = []
+    several: dict[str, str] = {}
+    for c in map(chr, (*range(128, 0xAC00), *range(0xE000, sys.maxunicode + 1))):
+        left = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if left == c:
+            continue
+        if len(left) == 1:
+            one[c] = left
+        elif not left:
+            gone.append(c)
+        elif not left.isascii() and not any(x.isascii() for x in left):
+            continue
+        else:
+            several[c] = left
+    return "".join(one) + "".join(gone), "".join(one.values()), several
 
 
 def stripped(col: Column) -> Column:
@@ -66,7 +92,13 @@ def edge_speed_kmh(highway: Column, profile: str) -> Column:
 
 
 def without_accents(col: Column) -> Column:
-    return F.translate(col, ACCENTED, PLAIN)
+    """Compatibility decomposition without combining marks, as far as any ASCII comes of it."""
+    matching, replace, several = _decompositions()
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{x}" for c, x in several.items())), F.lit("\x01"), F.lit("\x02"))
+    rare = F.translate(col, "".join(several), "") != col
+    letters = F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0))
+    spelt = F.array_join(F.transform(letters, lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.translate(F.when(rare, spelt).otherwise(col), matching, replace)
 
 
 def normalize_name(col: Column) -> Column:
@@ -92,8 +124,9 @@ def title_es(col: Column, first_word: bool = False) -> Column:
 
 
 def name_key(col: Column) -> Column:
-    """Letters only, each word capitalised, without accents."""
-    return F.regexp_replace(F.initcap(F.regexp_replace(without_accents(col), "[^A-Za-z]+", " ")), "[^A-Za-z]", "")
+    """Letters only, each word capitalised, without accents; what isn't ASCII then parts no words."""
+    ascii_only = F.regexp_replace(without_accents(col), "[^\\x00-\\x7F]+", "")
+    return F.regexp_replace(F.initcap(F.regexp_replace(ascii_only, "[^A-Za-z]+", " ")), "[^A-Za-z]", "")
 
 
 def in_scope(department: Column, departments: list[str]) -> Column:

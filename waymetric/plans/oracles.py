@@ -375,7 +375,7 @@ ORACLES: dict[str, str] = {
         JOIN (SELECT department, least(CAST(round_even(sum(population_est) / (SELECT sum(population_est) FROM o_people) * 500, 0) AS BIGINT), count(*)) AS quota FROM o_people GROUP BY department) USING (department)
         QUALIFY (SELECT count(*) FROM o_people) <= 500 OR row_number() OVER (PARTITION BY department ORDER BY draw, demand_id) <= quota""", "o_people"),
     "name_key": (
-        "SELECT doc_id, array_to_string(list_transform(string_split_regex(regexp_replace(" + PLAIN.format("text") + ", '[^A-Za-z]+', ' ', 'g'), ' +'), "
+        "SELECT doc_id, array_to_string(list_transform(string_split_regex(regexp_replace(regexp_replace(" + PLAIN.format("text") + ", '[^\\x00-\\x7F]+', '', 'g'), '[^A-Za-z]+', ' ', 'g'), ' +'), "
         "lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '') AS key FROM documents"),
     "facility_slices": _q(
         """SELECT facility_code, slice FROM (SELECT facility_code, unnest([CASE WHEN is_resolutive THEN 'resolutive' END, 'any', CASE WHEN category IN ('I-3', 'I-4') THEN 'candidate' END,
