@@ -237,3 +237,27 @@ def test_carried_values_across_ranges(spark):
     for d, i, v in rows:
         last[d] = v if v is not None else last.get(d)
         assert d is None or got[d, i] == last[d]
+
+
+def test_greedy_siting_of_many_rounds(spark):
+    """Twenty rounds against sums from scratch, with people in several departments and ties."""
+    r = random.Random(8)
+    rows = [(p, f, float(r.randint(1, 90)), 0.0, r.random() < 0.9, f < 4) for p in range(250) for f in r.sample(range(60), r.randint(0, 9))]
+    people = [(p, f"d{p % 3}", float(r.choice([0, 1, 5, 5, 8])) if p % 11 else None) for p in range(250)]
+    matrix = spark.createDataFrame(rows, "demand_id long, facility_id long, duration_min double, distance_m double, routable boolean, facility_is_resolutive boolean")
+    got = {(x.department, x["rank"]): (x.facility_id, x.marginal_population_gained) for x in O.greedy_siting(matrix, spark.createDataFrame(people, "demand_id long, department string, population_est double"), 60.0, 20).collect()}
+    pop, home = {p: w or 0.0 for p, _, w in people}, {p: d for p, d, _ in people}
+    near = [(p, f, res) for p, f, t, _, ok, res in rows if ok and t <= 60]
+    want = {}
+    for d in ("d0", "d1", "d2"):
+        done = {p for p, _, res in near if res}
+        for rank in range(1, 21):
+            gain = {}
+            for p, f in {(p, f) for p, f, res in near if not res and home[p] == d and p not in done}:
+                gain[f] = gain.get(f, 0.0) + pop[p]
+            best = min(((-g, f) for f, g in gain.items() if g > 0), default=None)
+            if best is None:
+                break
+            want[d, rank] = (best[1], -best[0])
+            done |= {p for p, f, _ in near if f == best[1] and home[p] == d}
+    assert got == want and max(k for _, k in want) > 8

@@ -17,24 +17,35 @@ def greedy_siting(matrix: DataFrame, demand: DataFrame, threshold: float = P.THR
     the threshold.  Each round takes per department the candidate with the largest
     new population, above 0, of equal ones the least facility_id.  The driver only
     counts rounds.
+
+    Pairs are written once.  A round sums anew the gains of those candidates alone that
+    share newly covered points; the others keep theirs.
     """
     people = demand.select("demand_id", "department", F.coalesce("population_est", F.lit(0.0)).alias("pop"))
     near = matrix.where(F.col("routable") & (F.col("duration_min") <= threshold))
     covered = near.where("facility_is_resolutive").select("demand_id").distinct()
     base = people.join(covered, "demand_id", "left_semi").groupBy("department").agg(F.sum("pop").alias("base"))
-    open_ = cut(near.where("not facility_is_resolutive").select("facility_id", "demand_id").distinct().join(covered, "demand_id", "left_anti").join(people, "demand_id"), "siting")
+    pairs = near.where("not facility_is_resolutive").select("facility_id", "demand_id").distinct().join(covered, "demand_id", "left_anti").join(people, "demand_id")
+    pairs = cut(pairs, "siting")
+    key = ["department", "facility_id"]
+    summed = lambda p: p.groupBy(*key).agg(F.sum("pop").alias("gain"))
+    gains = cut(summed(pairs), "gains")
     best_first = Window.partitionBy("department").orderBy(F.desc("gain"), "facility_id")
-    picks = []
+    picks, taken = [], None
     for rank in range(1, k + 1):
-        gains = open_.groupBy("department", "facility_id").agg(F.sum("pop").alias("gain")).where("gain > 0")
-        pick = cut(gains.withColumn("n", F.row_number().over(best_first)).where("n = 1").select("department", "facility_id", "gain"), "pick")
+        pick = cut(gains.where("gain > 0").withColumn("n", F.row_number().over(best_first)).where("n = 1").select(*key, "gain"), "pick")
         if pick.isEmpty():
             break
         picks.append(pick.withColumn("rank", F.lit(rank)))
-        new = open_.join(pick.select("department", "facility_id"), ["department", "facility_id"], "left_semi").select("demand_id")
-        rest = cut(open_.join(new, "demand_id", "left_anti"), "siting")
-        drop(open_)
-        open_ = rest
+        if rank == k:
+            break
+        own = pairs.join(pick.select(*key), key, "left_semi").select("demand_id")
+        new = cut(own if taken is None else own.join(taken, "demand_id", "left_anti"), "taken")
+        taken = new if taken is None else cut(taken.union(new), "taken")
+        touched = cut(pairs.join(new, "demand_id", "left_semi").select(*key).distinct(), "touched")
+        again = summed(pairs.join(touched, key, "left_semi").join(taken, "demand_id", "left_anti"))
+        gains = cut(gains.join(touched, key, "left_anti").unionByName(again), "gains")
+    drop(pairs)
     schema = "department string, facility_id long, gain double, rank int"
     all_picks = matrix.sparkSession.createDataFrame([], schema).select("department", F.col("facility_id").cast(matrix.schema["facility_id"].dataType), "gain", "rank")
     for p in picks:
