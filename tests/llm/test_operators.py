@@ -180,6 +180,17 @@ def test_exact_dedup(spark, weak):
     assert dedup_exact(frame(spark, [])).count() == 0
 
 
+def test_chain_links_part_the_texts_of_one_key(spark):
+    from waymetric.llm.exact_dedup import chain_links
+
+    texts = ["a", "b", "a", "c", "d", "d", "d", ""]
+    rows = spark.createDataFrame([(k, t, 1 if t in "abc" else 2) for k, t in enumerate(texts)], "at long, norm string, key long")
+    got = {(r.key, r.sha): (r.link, r.keep, r.group_size) for r in chain_links(rows).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    # the empty text is in every string, so that it is in the chain of the first key
+    assert got == {(1, sha("")): (0, 7, 1), (1, sha("a")): (1, 2, 2), (1, sha("b")): (2, 1, 1), (1, sha("c")): (3, 3, 1), (2, sha("d")): (0, 6, 3)}
+
+
 def test_exact_dedup_repeated_rows_keep_one(spark):
     rows = dedup_exact(frame(spark, ["a", "A", "a", "b"], [5, 5, 1, 5])).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in rows) == [(1, 5, 3), (5, 5, 1), (5, 5, 3), (5, 5, 3)] and sum(r.kept for r in rows) == 2

@@ -1,14 +1,14 @@
 """Operator 3: exact de-duplication by an extendible-hash index on shared files.
 
-Every row gets a 64-bit key.  An owner task receives the texts of its keys, once
-per scanning task, and compares bytes: equal texts become one index entry, and
-different texts of one key become a chain.  A directory of key prefixes starts at
-the depth that fits the number of entries; a bucket that holds too many splits at
-the next bit in which its keys differ, which doubles the directory where that bit
-lies below its depth, until all buckets fit or hold a single chain.  Owner tasks
-write the buckets of their key range to the shared folder.  Each row then goes from
-the directory to its bucket, to its key's chain there, and to the entry of its
-text; kept, keep_id and group_size are what that entry says.
+Every row gets a 64-bit key.  A key's owner task receives the texts of that key, once
+per scanning task, and compares their bytes: equal texts become one link of the key's
+chain, different ones further links.  A directory of key prefixes starts at the depth
+that fits the number of links; a bucket that holds too many splits at the next bit in
+which its keys differ, which doubles the directory where that bit lies below its
+depth, until all buckets fit or hold a single chain.  Owner tasks write the buckets of
+their key range to the shared folder.  Each row then goes from the directory to its
+bucket, to its key's chain there, and to its link; kept, keep_id and group_size are
+what that link says.
 """
 
 from __future__ import annotations
@@ -81,6 +81,28 @@ def look_up(rows: DataFrame, directory: DataFrame) -> DataFrame:
     return probes.withColumn("prefix", prefix_of(F.col("key"), F.col("depth"))).join(directory.select("depth", "prefix", F.col("low").alias("bucket")), ["depth", "prefix"]).drop("depth", "prefix")
 
 
+def chain_links(rows: DataFrame) -> DataFrame:
+    """(key, link, sha, n_bytes, keep, group_size): the different texts of each key.
+
+    rows: at, norm, key.  The set of a key's texts grows by comparing bytes, first in
+    the scanning tasks and then in the key's owner.  Where it holds one text, all rows
+    of the key are copies of that, so that the key's counts are the link's.  Rows of
+    the few keys with more texts come again and are compared with each link's bytes.
+    """
+    told = lambda text: (F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("n_bytes"))
+    chained = rows.groupBy("key").agg(F.collect_set("norm").alias("chain"), F.max("at").alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # texts are written only where a chain has more than one
+    chains = materialise(chained.select("key", *told(F.col("chain")[0]), "keep", "group_size", F.when(F.size("chain") > 1, F.col("chain")).alias("chain")), "exact-chains")
+    alone = chains.where("chain is null").select("key", F.lit(0).alias("link"), "sha", "n_bytes", "keep", "group_size")
+    links = chains.where("chain is not null").select("key", F.posexplode(F.array_sort("chain")).alias("link", "text"))
+    shared = rows.join(links, "key").where(F.col("norm") == F.col("text"))
+    met = shared.groupBy("key", "link").agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    parted = links.select("key", "link", *told(F.col("text"))).join(met, ["key", "link"])
+    out = materialise(alone.unionByName(parted), "exact-links")
+    discard(chains)
+    return out
+
+
 def dedup_exact(
     df: DataFrame | Rows, *, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, bucket_entries: int = BUCKET_ENTRIES, with_row: bool = False
 ) -> DataFrame:
@@ -92,26 +114,28 @@ def dedup_exact(
     ids are null, only the first by the numbers of Rows is marked kept.  keep_id
     is null only in a group without any id.  Extra columns are ignored.
 
-    df is read twice; one that is no table is written first.  with_row adds row, the
-    number that Rows gives.  `key`
-    replaces the 64-bit hash of `norm` (tests use a weak one, so that keys collide).
-    Text is shuffled once, one row per distinct text and task; the entries of a chain
-    differ in bytes, and a look-up tells them apart by digest and length.
+    Texts of any length and keys of any number of copies are whole: a copy costs an
+    owner one text for each scanning task that holds it.
+
+    df is read twice (three times where keys collide); one that is no table is written
+    first.  with_row adds row, the number that Rows gives.  `key` replaces the 64-bit
+    hash of `norm` (tests use a weak one, so that keys collide).  An owner holds the
+    different texts of one key at a time.  A look-up finds a row's link by digest and
+    length, which tell all links of the chain apart, or else the job fails.
     """
     rows = Rows.of(df).select(id=F.col(id_col), norm=normalised(F.col(text_col))).select(
         F.struct("id", (-F.col("row")).alias("turn")).alias("at"), "norm", (F.xxhash64("norm") if key is None else key).alias("key")
     )
-    entries = materialise(
-        rows.groupBy("key", "norm")
-        .agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes"), "keep", "group_size"),
-        "exact-entries",
-    )
-    directory = build_directory(entries, bucket_entries)
+    links = chain_links(rows)
+    directory = build_directory(links, bucket_entries)
     # owners: each task has a range of keys, whole buckets at a time
-    owned = look_up(entries, directory).repartitionByRange("bucket").sortWithinPartitions("bucket", "key", "sha")
+    owned = look_up(links, directory).repartitionByRange("bucket").sortWithinPartitions("bucket", "key", "link")
     index = materialise(owned, "exact-index")
-    discard(entries)
+    discard(links)
+    if not index.where("link > 0").isEmpty():
+        twins = index.groupBy("key", "sha", "n_bytes").count().where("count > 1")
+        if not twins.isEmpty():
+            raise ValueError("two different texts of one key have the same SHA-256")
     probes = look_up(rows.select("at", "key", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes")), directory)
     found = probes.join(index, ["bucket", "key", "sha", "n_bytes"])
     return found.select(
