@@ -4,6 +4,7 @@ import html
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 
@@ -52,17 +53,19 @@ def labelled_page(r, template):
 def test_labelled_templates_and_the_cuts_share():
     r = random.Random(4)
     pages = [(t, *labelled_page(r, t)) for t in ("article", "main", "form", "sidebar", "divs") for _ in range(40)]
-    weights = H.fit([p for t, p, _ in pages if t in ("article", "main")][:30])
-    right = got = wanted = changed = by_score = blocks = 0
+    model = H.fit([p for t, p, _ in pages if t in ("article", "main")][:30])
+    right = got = wanted = changed = by_score = by_cut = blocks = 0
     for _, page, want in pages:
-        found, score, keep = H.main_blocks(page, weights)
+        found, score, keep = H.main_blocks(page, model)
         text = [b.text for b, k in zip(found, keep, strict=True) if k]
         right, got, wanted = right + len(set(text) & set(want)), got + len(set(text)), wanted + len(set(want))
         changed += int(((score > 0) != np.array(keep)).sum())
-        by_score += len(set(want) - {b.text for b, s in zip(found, score, strict=True) if s > 0})
+        alone = {b.text for b, s in zip(found, score, strict=True) if s > 0}
+        by_score += len(set(want) ^ alone)  # blocks that the classifier alone misses or adds
+        by_cut += len(set(want) ^ set(text))
         blocks += len(found)
     assert right / got > 0.99 and right / wanted > 0.99, (right / got, right / wanted)
-    assert changed > 0 and wanted - right < by_score, (changed / blocks, wanted - right, by_score)
+    assert by_cut <= by_score, (changed / blocks, by_cut, by_score)
 
 
 def test_pages_without_article_and_with_formulas():
@@ -109,10 +112,67 @@ def test_whole_table_against_the_plain_reading(spark):
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_the_tables_pages_without_their_elements():
+    """The same text where no element says what is the article, the menu or the footer: labels and fit rest on the text."""
+    import pyarrow.parquet as pq
+
+    pages = [p for p in pq.read_table(f"{BASE}/pages.parquet").column("html").to_pylist() if p and "<article>" in p]
+    bare = [re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", p) for p in pages]
+    model = H.fit(bare[:200])
+    right = got = wanted = changed = 0
+    for page, whole in zip(bare, pages, strict=True):
+        found, score, keep = H.main_blocks(page, model)
+        text, want = Counter(b.text for b, k in zip(found, keep, strict=True) if k), Counter(article_text(whole).split("\n"))
+        right, got, wanted = right + (text & want).total(), got + text.total(), wanted + want.total()
+        changed += int(((score > 0) != np.array(keep)).sum())
+    assert right / got > 0.93 and right / wanted > 0.99, (right / got, right / wanted, changed)
+
+
+def test_tables_lists_recipes_and_names_in_other_languages():
+    r = random.Random(2)
+    nav = "<ul>" + "".join(f'<li><a href="/{i}">{words(r, 2)}</a></li>' for i in range(6)) + "</ul>"
+    cases = [
+        (
+            f"<div class=top>{nav}</div><div id=content><h1>Soup of the day</h1><table><tr><th>Flour</th><td>200 g</td></tr><tr><th>Salt</th><td>1 spoon</td></tr></table>"
+            "<ul><li>Mix it well</li><li>Bake it</li></ul><pre>stir 10\nbake 20</pre></div><div class=footer><p>Copyright us all</p></div>",
+            "Soup of the day\nFlour\n200 g\nSalt\n1 spoon\nMix it well\nBake it\nstir 10 bake 20",
+        ),
+        (
+            f"<nav>{nav}</nav><div><h1>Soup</h1><h2>Ingredients</h2><ul><li>two onions</li><li>salt</li></ul><h2>Method</h2><ol><li>Cut the onions.</li><li>Cook them for an hour.</li></ol></div>"
+            "<footer>x y z</footer>",
+            "Soup\nIngredients\ntwo onions\nsalt\nMethod\nCut the onions.\nCook them for an hour.",
+        ),
+        ("<article><h1>Hola</h1><p>Un texto largo sobre nada en particular.</p><section class='comentarios'><p>Muy buen texto, me gusta leer cosas como esta.</p></section></article>", "Hola\nUn texto largo sobre nada en particular."),
+        ("<article><h1>Salut</h1><p>Court.</p></article><div class='publicité'>Achetez nos produits tout de suite ici.</div>", "Salut\nCourt."),
+        (f"<div>{nav}</div><div class=post><h1>T</h1><p>One two.</p></div><div>{nav}</div>", "T\nOne two."),
+    ]
+    fitted = H.fit([labelled_page(r, t)[0] for t in ("article", "sidebar", "divs") for _ in range(20)])
+    mended = 0
+    for model in (H.STATED, fitted):
+        for page, want in cases:
+            found, score, keep = H.main_blocks(page, model)
+            assert "\n".join(b.text for b, k in zip(found, keep, strict=True) if k) == want
+            mended += int(((score > 0) != np.array(keep)).sum())
+    assert mended > 0  # cells and items that the classifier alone gets wrong
+
+
+def test_labels_rest_on_the_text_and_name_odds_on_labels():
+    r = random.Random(3)
+    pages = []
+    for _ in range(12):
+        menu = "".join(f'<p><a href="/{i}">{words(r, 2)}</a></p>' for i in range(8))
+        pages.append(f"<div class=zimbo>{menu}</div><div class=quux>{''.join(f'<p>{words(r, 40)}.</p>' for _ in range(9))}</div><div class=zimbo>{menu}</div>")
+    got = H.labels(H.blocks(pages[0]))
+    assert got == [False] * 6 + [None] * 5 + [True] * 4 + [None] * 5 + [False] * 6 or (got[:5] == [False] * 5 and got[-5:] == [False] * 5 and got[11:14] == [True] * 3), got
+    names = H.fit(pages).names
+    assert names["zimbo"] < -0.5 and names["quux"] > 0.5
+    assert H.labels([]) == [] and H.labels(H.blocks("<p>few words</p>")) == [None]
+
+
 def test_fit_without_labels_and_repeated_fits(spark):
-    assert H.fit([]) == list(H.PRIOR) and H.fit(["<p>no article</p>"]) == list(H.PRIOR)
+    assert H.fit([]) == H.STATED and H.fit(["<p>few words</p>"]) == H.STATED
     pages = spark.read.parquet(f"{BASE}/pages.parquet")
-    assert H.fitted_weights(pages.repartition(5)) == H.fitted_weights(pages)
-    few = [H.fitted_weights(p, most_pages=4) for p in (pages.repartition(3), pages)]  # candidates are a part of the table
-    assert few[0] == few[1] != list(H.PRIOR)
-    assert H.fitted_weights(pages.where("false")) == list(H.PRIOR)
+    assert H.fitted_model(pages.repartition(5)) == H.fitted_model(pages)
+    few = [H.fitted_model(p, most_pages=4) for p in (pages.repartition(3), pages)]  # candidates are a part of the table
+    assert few[0] == few[1] != H.STATED
+    assert H.fitted_model(pages.where("false")) == H.STATED

@@ -1,19 +1,25 @@
 """Operator 7: main text of web pages by a minimum cut over their blocks.
 
 A page becomes a row of text blocks.  A linear classifier over text density, links,
-sentence marks, position and class names gives each block log odds, which are the
-capacity of its edge to the content or the boilerplate terminal; neighbouring
-blocks and blocks of one parent are tied by smoothness edges on the same scale, so
-that a short paragraph goes with those around it.  The minimum cut separates the
-two.  The classifier starts from stated weights and is fitted on a bounded sample of
-the table, whose labels are the pages' own article elements.  Pages are independent,
-so that extraction runs inside the tasks of one scan.
+sentence marks and position gives each block log odds within a bound; the elements
+around it and the names of the nearest one add to them, no more than the bound.  The
+sum is the capacity of the block's edge to the content or the boilerplate terminal;
+neighbouring blocks and blocks of one parent are tied by smoothness edges on the same
+scale, so that a short paragraph, a cell or a list item goes with what is around it.
+The minimum cut separates the two.
+
+The classifier starts from stated weights and is fitted on a bounded sample of the
+table.  Its labels come from the text alone, not from any element: the run of blocks
+with the most words outside links is content, what lies clear of that run is not.  The
+same labels tell which class names and ids hold content, in any language.  Pages are
+independent, so that extraction runs inside the tasks of one scan.
 """
 
 from __future__ import annotations
 
 import html as html_entities
 import re
+import unicodedata
 from collections import Counter, deque
 from typing import NamedTuple
 
@@ -35,11 +41,14 @@ ENDS = {
 #: Elements that an implied end does not reach beyond.
 SCOPES = frozenset("ul ol dl table td th button article section div main aside nav header footer form body html".split())
 
-# Parts of class names, ids and roles that tell boilerplate, and parts that make a name say something else.
+# Parts of class names, ids and roles that tell boilerplate (English, Spanish, French, German), and parts that make a name say something else.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay"
     " newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended recommendations share sharing social footer"
-    " masthead topbar toolbar comment comments commentlist disqus reply replies respond pagination pager tagcloud skip copyright legal disclaimer login search complementary contentinfo dialog".split()
+    " masthead topbar toolbar comment comments commentlist disqus reply replies respond pagination pager tagcloud skip copyright legal disclaimer login search complementary contentinfo dialog"
+    " anuncio anuncios publicidad patrocinado aviso avisos boletin suscripcion suscribirse navegacion migas lateral relacionados recomendados compartir pie comentario comentarios respuestas buscar"
+    " publicite annonce annonces pub bandeau temoins avertissement abonnement inscription barre ariane connexes recommandes partager partage pied commentaire commentaires reponses recherche"
+    " werbung anzeige anzeigen hinweis hinweise meldung abonnieren navigationsleiste seitenleiste verwandte empfohlen teilen fusszeile kommentar kommentare antworten suche impressum datenschutz".split()
 )
 NEUTRAL_WORDS = frozenset("no non not has with without by layout wrap wrapper content main article page".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside dialog menu".split())
@@ -48,14 +57,18 @@ CONTENT_TAGS = frozenset("article main".split())
 PARAGRAPHS = frozenset("p pre blockquote li dt dd td th figcaption h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-FEATURES = ("bias", "log_words", "link_share", "sentence", "heading", "list_item", "page_edge", "density", "flagged")
+FEATURES = ("bias", "log_words", "link_share", "sentence", "heading", "page_edge", "density", "rights")
 #: Log odds of the classifier before it sees labels; the fit is drawn towards them.
-PRIOR = (-1.5, 0.6, -4.0, 0.8, 1.0, -1.0, -0.5, 1.0, -5.0)
+PRIOR = (-1.2, 0.6, -4.0, 0.8, 1.0, -0.5, 1.0, -4.0)
 #: The fit: pages at most, how many times as many are looked at, their length at most, the weight of all their blocks together and of the prior.
-FIT_PAGES, FIT_CANDIDATES, FIT_PAGE_CHARS, FIT_ROWS, FIT_PRIOR = 256, 8, 65536, 400.0, 1.0
-#: Bound of the classifier's log odds, and what the page's own markup adds.
-MOST = 4.0
-MARKUP = {"content": 1.0, "outside": -1.5, "flagged": -1.5, "boilerplate": -6.0, "plain": 0.0}
+FIT_PAGES, FIT_CANDIDATES, FIT_PAGE_CHARS, FIT_ROWS, FIT_PRIOR = 256, 8, 65536, 100.0, 1.0
+#: Labels: words that a block of a page's run has to pay for, words of a run at least, blocks at its ends that stay without a label.
+RUN_COST, RUN_WORDS, RUN_MARGIN = 10, 100, 3
+#: Names: pages of the sample that have one at least, bound of their log odds.
+NAME_PAGES, NAME_MOST = 3, 1.0
+#: Bound of what the text says, and what the elements around a block add.
+MOST = 2.5
+MARKUP = {"content": 1.5, "outside": -1.5, "flagged": -4.0, "boilerplate": -4.0, "plain": 0.0}
 # Smoothness: between neighbours, over their distance in the tree, and between blocks of one parent.
 NEIGHBOUR, SIBLING, ACROSS = 2.0, 1.0, 0.25
 #: Capacities are whole numbers of this fraction.
@@ -63,7 +76,8 @@ SCALE = 1000
 
 _TOKEN = re.compile(r"""<!--|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<""")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)  # what a block of rights begins with
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -76,36 +90,54 @@ class Block(NamedTuple):
     tag: str
     parent: int
     depth: int
+    names: tuple  # parts of the names of the nearest element that has any
+
+
+class Model(NamedTuple):
+    """The classifier's weights (see FEATURES), and the log odds for content of parts of names."""
+
+    weights: tuple[float, ...]
+    names: dict[str, float]
+
+
+STATED = Model(PRIOR, {})
 
 
 _PLAIN = [False]
 
 
+def name_parts(name: str) -> list[str]:
+    """Its words, in lower case and without accents."""
+    plain = name if name.isascii() else "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))
+    return [p.lower() for p in _PART.findall(plain)]
+
+
 def tells_boilerplate(name: str) -> bool:
     """Whether a class, id or role names boilerplate: any of its parts does, and none makes it a layout or a negation."""
-    parts = {p.lower() for p in _PART.findall(name)}
+    parts = set(name_parts(name))
     return bool(parts & BOILERPLATE_WORDS) and not parts & NEUTRAL_WORDS
 
 
-def _reads(tag: str, attrs: str, above: str) -> tuple[str, bool]:
-    """Place of an element's text, and whether the element is flagged."""
+def _reads(tag: str, attrs: str, above: str) -> tuple[str, bool, tuple]:
+    """Place of an element's text, whether the element is flagged, and the parts of its names."""
     if above == "boilerplate" or tag in BOILERPLATE_TAGS or (tag == "header" and above != "content"):
-        return "boilerplate", False
-    flagged = tag in FORM_TAGS
+        return "boilerplate", False, ()
+    flagged, names = tag in FORM_TAGS, ()
     if attrs and tag not in ("html", "body"):
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-                return "boilerplate", False
+                return "boilerplate", False, ()
             if name in ("class", "id", "role"):
                 flagged = flagged or any(tells_boilerplate(v) for v in value.split())
-    return ("content" if tag in CONTENT_TAGS and not flagged else above), flagged
+                names += tuple(name_parts(value))
+    return ("content" if tag in CONTENT_TAGS and not flagged else above), flagged, names
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in its order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, list, int]] = [("", "plain", _PLAIN, 0)]  # tag, place, flag, number
+    stack: list[tuple[str, str, list, int, tuple]] = [("", "plain", _PLAIN, 0, ())]  # tag, place, flag, number, names
     holders = [stack[0]]  # the open elements that are not inline
     newest = 0
     open_tags: Counter = Counter()
@@ -120,10 +152,10 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                tag, _, _, own = holders[-1]
+                tag, _, _, own, _ = holders[-1]
                 # a paragraph's parent is what holds it, that of text between other blocks is its element
                 parent = holders[-2][3] if len(holders) > 1 and (tag in PARAGRAPHS or (leaf and own == newest)) else own
-                out.append(Block(whole, min(linked, len(whole)), max(upto - begin, len(whole)), stack[-1][1], stack[-1][2], tag, parent, len(scopes)))
+                out.append(Block(whole, min(linked, len(whole)), max(upto - begin, len(whole)), stack[-1][1], stack[-1][2], tag, parent, len(scopes), stack[-1][4]))
             text.clear()
         linked, begin = 0, upto
 
@@ -137,7 +169,7 @@ def blocks(page: str) -> list[Block]:
 
     def pop(to: int) -> None:
         while len(stack) > to:
-            tag, _, flag, own = stack.pop()
+            tag, _, flag, own, _ = stack.pop()
             if own == holders[-1][3]:
                 holders.pop()
             open_tags[tag] -= 1
@@ -197,7 +229,7 @@ def blocks(page: str) -> list[Block]:
             pos = m.end() if m else end
             continue
         number += 1
-        place, flagged = _reads(tag, m[3], stack[-1][1])
+        place, flagged, names = _reads(tag, m[3], stack[-1][1])
         flag = stack[-1][2]
         if flagged:
             flag = [True]
@@ -206,7 +238,7 @@ def blocks(page: str) -> list[Block]:
             for f in raised:  # what holds the page's heading or article is a wrapper
                 f[0] = False
             raised.clear()
-        stack.append((tag, place, flag, number))
+        stack.append((tag, place, flag, number, names or stack[-1][4]))
         if not inline:
             holders.append(stack[-1])
             newest = number
@@ -231,59 +263,91 @@ def features(found: list[Block]) -> np.ndarray:
         words = b.text.count(" ") + 1
         rows.append(
             (
-                1.0, min(words, 60).bit_length(), b.linked / len(b.text), b.text[-1] in ".!?\"'”»…:", b.tag in HEADINGS, b.tag in ("li", "dt", "dd"), abs(2 * (i + 0.5) / n - 1),
-                len(b.text) / b.source, b.flag[0],
+                1.0, min(words, 60).bit_length(), b.linked / len(b.text), b.text[-1] in ".!?\"'”»…:", b.tag in HEADINGS, abs(2 * (i + 0.5) / n - 1), len(b.text) / b.source,
+                bool(_RIGHTS.match(b.text)),
             )
         )
     return np.array(rows, float).reshape(n, len(FEATURES))
 
 
-def scores(found: list[Block], weights=PRIOR) -> np.ndarray:
-    """Log odds of each block for content: the classifier's within its bound, and the markup's."""
-    return np.clip(features(found) @ np.asarray(weights), -MOST, MOST) + np.array([MARKUP[p] for p in places(found)])
-
+def scores(found: list[Block], model: Model = STATED) -> np.ndarray:
+    """Log odds of each block for content: of its text, of its names and of the elements around it.
 
-def labelled(page: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (1 for content) of the blocks that a page with an article or main element labels itself."""
-    found = blocks(page)
-    kind = places(found)
-    if "content" not in kind:
-        return np.zeros((0, len(FEATURES))), np.zeros(0)
-    # a flagged block within the article may be anything
-    use = [i for i, b in enumerate(found) if kind[i] != "flagged" or b.place != "content"]
-    return features(found)[use], np.array([float(kind[i] == "content") for i in use])
+    A box amid the text has that text's labels, so that names which tell boilerplate don't gain by them.
+    """
+    named = [max(-NAME_MOST, min(0.0 if b.flag[0] else NAME_MOST, sum(model.names.get(x, 0.0) for x in b.names))) for b in found]
+    return np.clip(features(found) @ np.asarray(model.weights), -MOST, MOST) + np.array(named) + np.array([MARKUP[p] for p in places(found)])
 
 
-def fit(pages: list[str]) -> list[float]:
-    """Weights of most posterior probability under the stated ones; the stated ones without labels.
+def labels(found: list[Block]) -> list[bool | None]:
+    """Labels that the text alone gives: the run of most words outside links is content.
 
-    All blocks together weigh FIT_ROWS at most, so that the scale of the scores does
-    not grow with the sample.
+    A block's words outside links, less RUN_COST and less its words inside them, are
+    summed; the first run of the greatest sum counts, if it has RUN_WORDS.  RUN_MARGIN
+    blocks on both sides of either end have no label (None).
+    """
+    gains, words = [], []
+    for b in found:
+        n, share = b.text.count(" ") + 1, b.linked / len(b.text)
+        words.append(n)
+        gains.append(n * (1 - 2 * share) - RUN_COST)
+    best, at, run, start = 0.0, (0, 0), 0.0, 0
+    for i, g in enumerate(gains):
+        if run <= 0:
+            run, start = 0.0, i
+        run += g
+        if run > best:
+            best, at = run, (start, i + 1)
+    lo, hi = at
+    if sum(words[lo:hi]) < RUN_WORDS:
+        return [None] * len(found)
+    return [None if min(abs(i + 0.5 - lo), abs(i + 0.5 - hi)) < RUN_MARGIN else lo <= i < hi for i in range(len(found))]
+
+
+def fit(pages: list[str]) -> Model:
+    """Weights of most posterior probability under the stated ones, and names' log odds; the stated model without labels.
+
+    All blocks together weigh FIT_ROWS at most, content and the rest alike, so that the
+    scale of the scores does not grow with the sample.
     """
-    parts = [labelled(p) for p in pages]
-    x, y = np.concatenate([np.zeros((0, len(FEATURES))), *(p[0] for p in parts)]), np.concatenate([np.zeros(0), *(p[1] for p in parts)])
+    x, y, counts = [np.zeros((0, len(FEATURES)))], [], {}
+    for page in pages:
+        found = blocks(page)
+        got = labels(found)
+        use = [i for i, k in enumerate(got) if k is not None]
+        x.append(features(found)[use])
+        y += [float(got[i]) for i in use]
+        here: dict[str, list[int]] = {}
+        for i in use:
+            for name in set(found[i].names):
+                here.setdefault(name, [0, 0])[got[i]] += 1
+        for name, (no, yes) in here.items():  # a page says one thing of a name
+            c = counts.setdefault(name, [0, 0])
+            c[yes > no] += 1
+    x, y = np.concatenate(x), np.array(y)
     w = prior = np.array(PRIOR)
     if len(y):
-        each = min(1.0, FIT_ROWS / len(y))
-        for _ in range(30):  # Newton's steps, halved where they overshoot
+        each = np.where(y > 0, 1 / max(1.0, y.sum()), 1 / max(1.0, (1 - y).sum())) * min(FIT_ROWS, len(y)) / 2
+        for _ in range(30):  # Newton's steps, cut short where they overshoot
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            slope = each * (x.T @ (y - p)) - FIT_PRIOR * (w - prior)
-            step = np.linalg.solve(each * (x.T * (p * (1 - p))) @ x + FIT_PRIOR * np.eye(len(w)), slope)
+            slope = x.T @ (each * (y - p)) - FIT_PRIOR * (w - prior)
+            step = np.linalg.solve((x.T * (each * p * (1 - p))) @ x + FIT_PRIOR * np.eye(len(w)), slope)
             w = w + step / max(1.0, float(np.abs(step).max()))
-    return np.round(w, 4).tolist()
+    odds = {n: round(float(np.log((yes + 1) / (no + 1))) / 2, 4) for n, (no, yes) in sorted(counts.items()) if no + yes >= NAME_PAGES}
+    return Model(tuple(np.round(w, 4).tolist()), odds)
 
 
-def fitted_weights(df: DataFrame, html_col: str = "html", most_pages: int = FIT_PAGES) -> list[float]:
+def fitted_model(df: DataFrame, html_col: str = "html", most_pages: int = FIT_PAGES) -> Model:
     """The classifier fitted on at most most_pages pages of at most FIT_PAGE_CHARS characters.
 
-    Some FIT_CANDIDATES x most_pages pages are looked at, those with small hashes; the
-    labelled ones of them with the least hashes are the sample.  So tasks send the
-    driver a bounded number of pages together, whatever the size of the table.
+    Some FIT_CANDIDATES x most_pages pages are looked at, those with small hashes; those
+    of them with the least hashes are the sample.  So tasks send the driver a bounded
+    number of pages together, whatever the size of the table.
     """
     html, key = F.col(html_col), F.xxhash64(html_col)
     share = min(1.0, FIT_CANDIDATES * most_pages / max(1, df.count()))
     small = key <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True)
-    sample = df.where(small & (F.length(html) <= FIT_PAGE_CHARS) & html.rlike("(?i)<(article|main)[ >]")).select(html.alias("html"))
+    sample = df.where(small & (F.length(html) <= FIT_PAGE_CHARS)).select(html.alias("html"))
     return fit([r.html for r in sample.orderBy(F.xxhash64("html"), "html").limit(most_pages).collect()])
 
 
@@ -392,44 +456,44 @@ def _flow_side(part: list[int], cap: list[int], near: list[dict[int, int]]) -> s
                     path.append(v)
 
 
-def main_blocks(page: str, weights=PRIOR) -> tuple[list[Block], np.ndarray, list[bool]]:
+def main_blocks(page: str, model: Model = STATED) -> tuple[list[Block], np.ndarray, list[bool]]:
     """All blocks, their scores, and whether the cut puts them on the content side."""
     found = blocks(page)
-    s = scores(found, weights)
+    s = scores(found, model)
     return found, s, minimum_cut((SCALE * s).astype(int).tolist(), smoothness(found)) if found else []
 
 
-def main_text(page: str, weights=PRIOR) -> str:
+def main_text(page: str, model: Model = STATED) -> str:
     """The main text of one page, blocks joined by newlines; empty if there is none."""
-    found, _, keep = main_blocks(page, weights)
+    found, _, keep = main_blocks(page, model)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
-def _extract(weights):
+def _extract(model: Model):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = [main_text(p.as_py() or "", weights) for p in batch.column("html")]
+            texts = [main_text(p.as_py() or "", model) for p in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     return run
 
 
-def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: list[float] | None = None) -> DataFrame:
+def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Model | None = None) -> DataFrame:
     """One row per input row: id_col, url_col, text, n_chars (code points).
 
     Null and empty pages, and pages without main text, have an empty text.  Markup
     may be broken in any way: open elements, comments and quotes end with the page.
     Formulas and drawn text inside the article belong to it; what a page shows only
     without scripts, and form controls, do not.  Ids and URLs pass through, null or
-    repeated; other columns are ignored.  Without weights the classifier is fitted on
-    a sample of df, which reads the table once more (see fitted_weights); equal
-    tables give equal weights.  A page takes time in proportion to its length, but
+    repeated; other columns are ignored.  Without a model one is fitted on
+    a sample of df, which reads the table once more (see fitted_model); equal
+    tables give equal models.  A page takes time in proportion to its length, but
     for the flow among blocks that neither classifier nor neighbours settle.
     """
-    weights = fitted_weights(df, html_col) if weights is None else weights
+    model = fitted_model(df, html_col) if model is None else model
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return src.mapInArrow(_extract(weights), "id long, url string, text string").select(
+    return src.mapInArrow(_extract(model), "id long, url string, text string").select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars")
     )
