@@ -94,12 +94,13 @@ def chain_links(rows: DataFrame) -> DataFrame:
     # texts are written only where a chain has more than one
     chains = materialise(chained.select("key", *told(F.col("chain")[0]), "keep", "group_size", F.when(F.size("chain") > 1, F.col("chain")).alias("chain")), "exact-chains")
     alone = chains.where("chain is null").select("key", F.lit(0).alias("link"), "sha", "n_bytes", "keep", "group_size")
-    links = chains.where("chain is not null").select("key", F.posexplode(F.array_sort("chain")).alias("link", "text"))
+    # a table of its own, so that Spark knows how small it is and leaves the rows where they are
+    links = materialise(chains.where("chain is not null").select("key", F.posexplode(F.array_sort("chain")).alias("link", "text")), "exact-collisions")
     shared = rows.join(links, "key").where(F.col("norm") == F.col("text"))
     met = shared.groupBy("key", "link").agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("group_size"))
     parted = links.select("key", "link", *told(F.col("text"))).join(met, ["key", "link"])
     out = materialise(alone.unionByName(parted), "exact-links")
-    discard(chains)
+    discard(chains, links)
     return out
 
 
