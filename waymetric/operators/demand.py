@@ -11,13 +11,15 @@ from .. import params as P
 def apportion_population(places: DataFrame, population: DataFrame) -> DataFrame:
     """Adds population_est: the district's population by the place's share of weight; 0 where the code has none.
 
+    Of repeated codes the largest figure counts.
+
     Weights are summed by an aggregate that joins back, not by a window, so that a
     capital with most of all places does not meet in one task.
     """
     table = F.create_map(*[F.lit(x) for kv in P.CAPITAL_WEIGHTS.items() for x in kv])
     weighted = places.withColumn("_w", F.coalesce(F.element_at(table, F.col("is_capital")), F.lit(1)))
     sums = weighted.groupBy("ubigeo").agg(F.sum("_w").alias("_sum"))
-    known = population.where(F.col("ubigeo").isNotNull() & (F.trim("ubigeo") != "")).groupBy("ubigeo").agg(F.first("poblacion_2017").alias("_pop"))
+    known = population.where(F.col("ubigeo").isNotNull() & (F.trim("ubigeo") != "")).groupBy("ubigeo").agg(F.max("poblacion_2017").alias("_pop"))
     shares = sums.join(known, "ubigeo")
     return weighted.join(shares, "ubigeo", "left").withColumn("population_est", F.coalesce(F.col("_w") / F.col("_sum") * F.col("_pop"), F.lit(0.0))).drop("_w", "_sum", "_pop")
 

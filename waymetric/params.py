@@ -25,6 +25,8 @@ TAG_PATTERN = r'"((?:[^"\\]|\\.)*)"=>"((?:[^"\\]|\\.)*)"'
 ACTIVE_STATUS = ("ACTIVO",)
 UPGRADEABLE_CATEGORIES = ("I-3", "I-4")
 ENCODINGS = ("utf-8", "latin-1", "cp1252")
+# Bytes that stand for no character, as a class of Latin-1 characters.
+UNUSED_BYTES = {"ascii": r"\x80-\xff", "iso8859-1": "", "cp1252": r"\x81\x8d\x8f\x90\x9d"}
 
 TOLERANCE_M = 500.0
 UTM_ZONE = 18

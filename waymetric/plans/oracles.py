@@ -318,6 +318,10 @@ ORACLES: dict[str, str] = {
         FROM v_files WHERE lower(format) = 'csv') ORDER BY y DESC, m DESC, d DESC, url DESC LIMIT 1""", "v_files"),
     "missing_partitions": _q("SELECT demand_id, province, department, ubigeo FROM v_demand", "v_demand"),
     "boundaries_flatten": _q("SELECT ubigeo, department, province, district, has_shape = 1 AS has_polygons, CASE WHEN has_shape = 1 THEN x0 END AS first_x FROM v_district", "v_district"),
+    "boundaries_read": _q("SELECT ubigeo, department, province, district, has_shape = 1 AS has_polygons, CASE WHEN has_shape = 1 THEN x0 END AS first_x FROM v_district", "v_district"),
+    "encoding_of_files": """
+        SELECT written, lang, CASE WHEN written <> 'UTF-8' AND coalesce(bool_or(regexp_matches(text, '[\\x{80}-\\x{FF}]')), false) THEN 'latin-1' ELSE 'utf-8' END AS encoding
+        FROM documents, (VALUES ('UTF-8'), ('ISO-8859-1')) w(written) GROUP BY written, lang""",
     "dq_missing_coordinates": _q("SELECT ordinal, has_valid_coords FROM o_flags", "o_flags"),
     "dq_out_of_bbox": _q("SELECT ordinal, in0 AS in_bbox FROM o_flags", "o_flags"),
     "dq_swapped_lat_lon": _q("SELECT ordinal, lat, lon, in_bbox, was_coord_swapped FROM o_fixed", "o_fixed"),

@@ -94,6 +94,33 @@ def boundaries_flatten(s, d):
     return flat.select("ubigeo", "department", "province", "district", F.col("polygons").isNotNull().alias("has_polygons"), F.col("polygons")[0][0][0][0].alias("first_x"))
 
 
+@query
+def boundaries_read(s, d):
+    """The districts written as GeoJSON, a collection for each, and read back in splits."""
+    shapes = districts(s, d)
+    properties = F.struct(*[F.col(v).alias(k) for k, v in T.BOUNDARY_COLUMNS.items()])
+    geometry = F.when(F.col("polygons").isNotNull(), F.struct(F.lit("Polygon").alias("type"), F.col("polygons")[0].alias("coordinates")))
+    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))
+    collection = F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))
+    path = scratch(s, "boundaries")
+    shapes.select(F.to_json(collection, {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    flat = T.read_boundaries(s, path)
+    return flat.select("ubigeo", "department", "province", "district", F.col("polygons").isNotNull().alias("has_polygons"), F.col("polygons")[0][0][0][0].alias("first_x"))
+
+
+@query
+def encoding_of_files(s, d):
+    """The texts written as files of two encodings, a folder for each language and encoding, and judged by their lines."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select("lang", "text")
+    found = None
+    for name in ("UTF-8", "ISO-8859-1"):
+        path = scratch(s, "encodings")
+        docs.write.partitionBy("lang").option("encoding", name).csv(path)
+        files = T.detect_file_encoding(s, path).select(F.lit(name).alias("written"), F.nullif(F.regexp_extract("path", "lang=([^/]*)/", 1), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("lang"), "encoding")
+        found = files if found is None else found.unionByName(files)
+    return found.groupBy("written", "lang").agg(F.min("encoding").alias("encoding"))
+
+
 @query
 def population_union(s, d):
     whole = view(s, d, "v_population")

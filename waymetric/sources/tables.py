@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
 import uuid
 from datetime import UTC, datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import params as P
+from ..checkpoints import cut
 from ..functions.geometry import POLYGONS
 from ..functions.scalars import normalize_category, pad_code
 
@@ -68,10 +69,61 @@ def flatten_boundaries(features: DataFrame) -> DataFrame:
 
 
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """A GeoJSON FeatureCollection per file."""
+    """GeoJSON FeatureCollections, however large a file and however its lines are broken; see array_objects.
+
+    A broken feature is an error.  Objects of other types are left out.
+    """
     properties = "struct<" + ",".join(f"{k}:string" for k in BOUNDARY_COLUMNS) + ">"
-    schema = f"features array<struct<properties:{properties},geometry:struct<type:string,coordinates:string>>>"
-    return flatten_boundaries(spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.*"))
+    schema = f"struct<type:string,properties:{properties},geometry:struct<type:string,coordinates:string>>"
+    objects = array_objects(spark, path).where(F.col("object").startswith("{"))
+    features = objects.select(F.from_json("object", schema, {"mode": "FAILFAST"}).alias("f")).where("coalesce(f.type, 'Feature') = 'Feature'")
+    return flatten_boundaries(features.select("f.properties", "f.geometry"))
+
+
+def array_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, object): the objects in the top-level arrays of JSON files that hold one object each, as texts.
+
+    A file is cut at closing braces, so that Spark reads it in splits wherever its lines
+    break.  What a piece does to the depth depends on whether it begins within a string:
+    a split sums both cases, and the splits' totals, one row each, tell which one holds
+    and how deep a split begins.  An object ends where the depth is back at one brace and
+    one bracket.  Only an object's own text meets in one group.  Members before an array
+    must not hold arrays of objects themselves; an object that follows other kinds of
+    values in its array keeps them in front of it.
+    """
+    raw = spark.read.option("lineSep", "}").text(path)
+    meta = raw.metadataColumn("_metadata")
+    raw = raw.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    parts = F.split(F.regexp_replace("piece", r"(?s)\\.", ""), '"', -1)  # between the quotes, without escapes
+    in_split = Window.partitionBy("file", "start").orderBy("at")
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    sums = raw.withColumn("parts", parts).withColumn("quotes", F.size("parts") - 1)
+    sums = sums.withColumn("seen", F.coalesce(F.sum("quotes").over(before), F.lit(0)))
+    for inside in (0, 1):  # whether the split begins within a string
+        plain = F.array_join(F.filter("parts", lambda _, i: (i + F.col("seen") + inside) % 2 == 0), "")  # noqa: B023
+        ends = F.when((F.col("seen") + F.col("quotes") + inside) % 2 == 0, 1).otherwise(0)  # the brace that ends the piece is no text
+        count = lambda c, text=plain: F.length(text) - F.length(F.translate(text, c, ""))
+        sums = sums.withColumns({f"ends{inside}": ends, f"braces{inside}": count("{") - ends, f"brackets{inside}": count("[") - count("]")})
+    depths = {f"{k}{i}": F.sum(f"{k}{i}").over(in_split) for k in ("braces", "brackets") for i in (0, 1)}
+    pieces = cut(sums.drop("parts").withColumns(depths), "json-pieces")
+
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    sofar = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    splits = pieces.groupBy("file", "start").agg(F.sum("quotes").alias("quotes"), *[F.max_by(k, "at").alias(k) for k in depths])
+    splits = splits.withColumn("inside", sofar("quotes") % 2)
+    held = lambda k: F.when(F.col("inside") == 0, F.col(f"{k}0")).otherwise(F.col(f"{k}1"))
+    splits = splits.select("file", "start", "inside", *[held(k).alias(k) for k in ("braces", "brackets")])
+    splits = splits.select("file", "start", "inside", *[sofar(k).alias(f"{k}_before") for k in ("braces", "brackets")])
+    done = (held("ends") == 1) & (held("braces") + F.col("braces_before") == 1) & (held("brackets") + F.col("brackets_before") == 1)
+    placed = pieces.join(splits, ["file", "start"]).select("file", "start", "at", "piece", done.cast("long").alias("done"))
+    numbers = placed.groupBy("file", "start").agg(F.sum("done").alias("n")).select("file", "start", sofar("n").alias("first"))
+    numbered = placed.join(numbers, ["file", "start"]).withColumn("number", F.col("first") + F.coalesce(F.sum("done").over(before), F.lit(0)))
+    whole = numbered.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("start", "at", "piece"))).alias("p"), F.max("done").alias("whole")).where("whole = 1")
+    text = F.concat(F.array_join(F.col("p.piece"), "}"), F.lit("}"))
+    # what stands before the object: a comma, or at the first one the beginning of the file up to its array
+    head = r'(?s)^(?:[^"\[]++|"(?:[^"\\]++|\\.)*+"|\[(?!\s*\{))*+\[\s*(?=\{)'
+    first = F.when(text.rlike(r"^\s*,\s*\{") & (F.col("number") > 0), F.regexp_replace(text, r"^\s*,\s*", "")).otherwise(F.regexp_replace(text, head, ""))
+    return whole.select("file", "number", first.alias("object"))
 
 
 def read_population(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -96,37 +148,51 @@ def ways_in_bbox(ways: DataFrame, bbox: P.BoundingBox) -> DataFrame:
     return ways.where(f"highway is not null and maxx >= {bbox.lon_min} and minx <= {bbox.lon_max} and maxy >= {bbox.lat_min} and miny <= {bbox.lat_max}")
 
 
-def latest_snapshot(resources: DataFrame, prefix: str) -> DataFrame:
-    """The url of the newest dated CSV file `<prefix>_DD-MM-YYYY.csv`; no row if there is none."""
+def latest_snapshot(resources: DataFrame, prefix: str, required: bool = False) -> DataFrame:
+    """The url of the newest dated CSV file `<prefix>_DD-MM-YYYY.csv`; if there is none, no row, or an error where one is required."""
     pattern = rf"(?i){prefix}_(\d{{2}})-(\d{{2}})-(\d{{4}})\.csv$"
     part = lambda i: F.regexp_extract("url", pattern, i).cast("int")
     dated = resources.where((F.lower("format") == "csv") & F.col("url").rlike(pattern))
     newest = dated.agg(F.max(F.struct(part(3).alias("year"), part(2).alias("month"), part(1).alias("day"), "url")).alias("m"))
+    if required:
+        newest = newest.select(F.coalesce("m", F.raise_error(F.lit(f"no file {prefix}_DD-MM-YYYY.csv among the resources")).cast(newest.schema["m"].dataType)).alias("m"))
     return newest.where("m is not null").select("m.url", "m.year", "m.month", "m.day")
 
 
-def detect_encoding(files: DataFrame, candidates: tuple[str, ...] = P.ENCODINGS) -> DataFrame:
-    """files: path, content.  Adds the first candidate that decodes all bytes, and which ones failed before it.
+def _decodes(content: Column, encoding: str) -> Column:
+    """Whether bytes are text of an encoding in which a line feed is one byte of its own; each byte as a character of Latin-1 tells."""
+    name = codecs.lookup(encoding).name
+    if name == "utf-8":
+        return F.is_valid_utf8(content)
+    if name not in P.UNUSED_BYTES:
+        raise ValueError(f"no rule for {encoding}")
+    unused = P.UNUSED_BYTES[name]
+    return ~F.decode(content, "ISO-8859-1").rlike(f"[{unused}]") if unused else content.isNotNull()
 
-    UTF-8 is checked in the JVM; other codecs need a vectorised helper.
-    """
-    @F.pandas_udf("string")
-    def first(content: pd.Series) -> pd.Series:
-        def codec(raw):
-            for c in candidates:
-                try:
-                    bytes(raw).decode(c)
-                    return c
-                except (UnicodeDecodeError, LookupError):
-                    continue
-            return None
-
-        return content.map(codec, na_action="ignore")
 
+def _first_that_decodes(df: DataFrame, candidates: tuple[str, ...]) -> DataFrame:
+    """Adds encoding and failed to df, whose columns _0, _1, ... say which candidates decode."""
+    used = F.coalesce(*[F.when(F.col(f"_{i}"), F.lit(i)) for i in range(len(candidates))], F.lit(len(candidates)))
     names = F.array(*[F.lit(c) for c in candidates])
-    used = F.when(F.is_valid_utf8(F.col("content")), F.lit("utf-8")).otherwise(first("content")) if candidates[0] == "utf-8" else first("content")
-    out = files.withColumn("encoding", used)
-    return out.withColumn("failed", F.slice(names, 1, F.greatest(F.when(F.col("encoding").isNull(), F.size(names)).otherwise(F.array_position(names, F.col("encoding")).cast("int") - 1), F.lit(0))))
+    return df.withColumns({"encoding": F.get(names, used), "failed": F.slice(names, F.lit(1), used)}).drop(*[f"_{i}" for i in range(len(candidates))])
+
+
+def detect_encoding(files: DataFrame, candidates: tuple[str, ...] = P.ENCODINGS) -> DataFrame:
+    """files: path, content.  Adds the first candidate that decodes all bytes, and which ones failed before it; null content fails all."""
+    return _first_that_decodes(files.withColumns({f"_{i}": F.coalesce(_decodes(F.col("content"), c), F.lit(False)) for i, c in enumerate(candidates)}), candidates)
+
+
+def detect_file_encoding(spark: SparkSession, path: str, candidates: tuple[str, ...] = P.ENCODINGS) -> DataFrame:
+    """(path, encoding, failed) of each file below path, as detect_encoding says it.
+
+    No character of these encodings spans a line feed, so that a file is text where all
+    its lines are: splits are judged apart, and no task holds a file.  Spark skips empty
+    files, which have no row.
+    """
+    lines = spark.read.text(path)
+    lines = lines.select(lines.metadataColumn("_metadata")["file_path"].alias("path"), F.col("value").cast("binary").alias("line"))
+    said = lines.groupBy("path").agg(*[F.bool_and(_decodes(F.col("line"), c)).alias(f"_{i}") for i, c in enumerate(candidates)])
+    return _first_that_decodes(said, candidates)
 
 
 def _published(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
