@@ -64,6 +64,23 @@ def test_census_words(spark):
     assert got == [(1, "PROVINCIA", "PROVINCIA CUSCO", 12345, "PROVINCIA CUSCO"), (1, "DISTRITO", "Wanchaq", 7, "PROVINCIA CUSCO"), (2, "DISTRITO", "San Blas", 9, "PROVINCIA CUSCO")]
 
 
+def test_census_digits_beyond_a_long(spark):
+    """Numbers of several columns run together: no error, no value, and the digits stay whole."""
+    rows = [("a", 1, "Total", 100.0, 120.0, 10.0, 14.0), ("a", 1, "Hombres", 140.0, 160.0, 10.0, 15.0)]
+    for top, digits in ((50.0, ["16292417", "326274394313"]), (70.0, ["9223372036854775807"]), (90.0, [])):
+        rows += [("a", 1, "Urcos", 5.0, 20.0, top, top + 4)] + [("a", 1, t, 100.0 + k, 105.0 + k, top, top + 4) for k, t in enumerate(digits)]
+    df = Q.words_to_entries(spark.createDataFrame(rows, "doc string, page long, text string, x0 double, x1 double, top double, bottom double"))
+    assert [(r.value, r.digits) for r in df.orderBy("row_no").collect()] == [(None, "16292417326274394313"), (2**63 - 1, "9223372036854775807"), (None, "")]
+
+
+def test_tied_words_share_a_row(spark):
+    """Words of equal place and text are in one row, the one after the gap, in whatever order they come."""
+    rows = [(k, "p", "x" * (k == 0), 0.0, 10.0 * (k > 0)) for k in range(6)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "k long, doc string, text string, x0 double, top double").repartition(3)
+        assert {(r.k, r.row_no) for r in Q.cluster_rows(df, page=("doc",)).collect()} == {(k, int(k > 0)) for k in range(6)}
+
+
 PLACES = [(1, "140101", "L", "1"), (2, "140101", "L", "0"), (3, "140101", "L", "0"), (4, "140102", "L", "3"), (5, "140102", "L", "0"), (6, "999999", "L", "0"), (7, None, "L", None)]
 
 
@@ -77,6 +94,14 @@ def test_apportion_and_urban(spark):
     assert got == {1: (1000.0, True), 2: (10.0, False), 3: (10.0, False), 4: (100.0, True), 5: (10.0, False), 6: (0.0, False), 7: (0.0, True)}
 
 
+def test_prepare_demand(spark):
+    """Without a cap every place with coordinates comes out, with one a sample."""
+    places = spark.range(60).selectExpr("id AS demand_id", "'140101' AS ubigeo", "'L' AS department", "'0' AS is_capital", "id % 6 <> 0 AS has_valid_coords")
+    census = spark.createDataFrame([("140101", 1000)], "ubigeo string, poblacion_2017 long")
+    assert {(r.demand_id, r.population_est, r.is_urban) for r in D.prepare_demand(places, census, None).collect()} == {(k, 20.0, False) for k in range(60) if k % 6}
+    assert D.prepare_demand(places, census, 10).count() == 10
+
+
 def test_sample(spark):
     df = demand(spark)
     assert D.sample_demand(df, 10).count() == 7

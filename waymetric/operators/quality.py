@@ -202,11 +202,13 @@ AGE_WORDS = ("ANO", "ANOS")
 
 
 def words_to_entries(words: DataFrame) -> DataFrame:
-    """Census entries (doc, page, level, label, value, province) from positioned words (doc, page, text, x0, x1, top, bottom).
+    """Census entries (doc, page, level, label, value, province, digits) from positioned words (doc, page, text, x0, x1, top, bottom).
 
     The leftmost `Total` and `Hombres` bound the column of numbers; pages without
     them use the bounds of the page before.  Digits within the bounds are the value,
-    words to the left the label; provinces carry down to their districts.
+    words to the left the label; provinces carry down to their districts.  Digits that
+    are no long (numbers of several columns run together) leave the value null and stay
+    whole in the column digits, which is empty for a row without any.
     """
     left = lambda t: F.min_by(F.struct("x0", "x1"), F.when(F.col("text") == t, F.struct("x0", "x1")))
     heads = F.col("text").isin("Hombres", "Mujeres") & (F.col("top") < 130)
@@ -226,6 +228,6 @@ def words_to_entries(words: DataFrame) -> DataFrame:
         .when(name.startswith("PROVINCIA "), "PROVINCIA")
         .when((name != "") & ~name.rlike("[0-9]") & ~F.arrays_overlap(F.split(name, " "), F.array(*[F.lit(w) for w in AGE_WORDS])), "DISTRITO")
     )
-    rows = rows.select("doc", "page", "row_no", level.alias("level"), "label", F.when(F.col("digits") != "", F.col("digits").cast("long")).alias("value")).where("level is not null")
+    rows = rows.select("doc", "page", "row_no", level.alias("level"), "label", F.col("digits").try_cast("long").alias("value"), "digits").where("level is not null")
     rows = rows.withColumn("section", F.when(F.col("level") != "DISTRITO", F.struct("level", "label")))
-    return carried(rows, ["doc"], ["page", "row_no"], "section", "s").select("doc", "page", "row_no", "level", "label", "value", F.when(F.col("s.level") == "PROVINCIA", F.col("s.label")).alias("province"))
+    return carried(rows, ["doc"], ["page", "row_no"], "section", "s").select("doc", "page", "row_no", "level", "label", "value", F.when(F.col("s.level") == "PROVINCIA", F.col("s.label")).alias("province"), "digits")
