@@ -39,3 +39,17 @@ def test_query_equals_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), c.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert values(got, sorted(got.columns)) == values(want, sorted(got.columns))
+
+
+LARGER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test data")
+def test_prepare_demand_is_whole_beyond_the_cap(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("customer", "nation", "region", "orders"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{LARGER}/{t}.parquet'")
+    got, want = QUERIES["prepare_demand"](spark, LARGER).toPandas(), c.sql(ORACLES["prepare_demand"]).df()
+    assert len(want) > 5000 and values(got, sorted(got.columns)) == values(want, sorted(got.columns))

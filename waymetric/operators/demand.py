@@ -51,6 +51,7 @@ def sample_demand(df: DataFrame, max_points: int = P.MAX_POINTS, seed: int = P.S
     return first.withColumn("_k", F.row_number().over(whole)).where("_k <= _quota").select(*df.columns)
 
 
-def prepare_demand(places: DataFrame, population: DataFrame, max_points: int = P.MAX_POINTS, threshold: float = P.URBAN_POPULATION) -> DataFrame:
-    """Places with valid coordinates, wherever they lie, as demand points."""
-    return sample_demand(classify_urban(apportion_population(places.where("has_valid_coords"), population), threshold), max_points)
+def prepare_demand(places: DataFrame, population: DataFrame, max_points: int | None = P.MAX_POINTS, threshold: float = P.URBAN_POPULATION) -> DataFrame:
+    """Places with valid coordinates, wherever they lie, as demand points: a sample of at most max_points, or all of them if it is None."""
+    points = classify_urban(apportion_population(places.where("has_valid_coords"), population), threshold)
+    return points if max_points is None else sample_demand(points, max_points)
