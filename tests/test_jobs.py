@@ -102,6 +102,27 @@ def test_prepare_demand(spark):
     assert D.prepare_demand(places, census, 10).count() == 10
 
 
+def test_nearest_is_made_once(spark):
+    """Whatever reads the access dataset, and however often, the rows of the nearest facilities are made once."""
+    from pyspark.sql import functions as F
+
+    from waymetric.operators import metrics as M
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(t):
+        made.add(1)
+        return t
+
+    points = spark.createDataFrame([(k, "A" if k < 6 else "B", 10.0) for k in range(8)], "demand_id long, department string, population_est double")
+    near = spark.createDataFrame([(k, float(k), True) for k in range(5)], "demand_id long, t double, routable boolean").select("demand_id", counted("t").alias("duration_min"), "routable")
+    access = M.build_access_dataset(points, near)
+    assert {(r.demand_id, r.t_min) for r in access.collect()} == {(k, float(k) if k < 5 else None) for k in range(6)}
+    assert [tuple(r) for r in access.groupBy("department").agg(F.max("t_min")).collect()] == [("A", 4.0)]
+    assert made.value == 5
+
+
 def test_sample(spark):
     df = demand(spark)
     assert D.sample_demand(df, 10).count() == 7

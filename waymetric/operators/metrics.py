@@ -16,7 +16,12 @@ def access_time_by_point(nearest: DataFrame) -> DataFrame:
 
 
 def build_access_dataset(demand: DataFrame, nearest: DataFrame) -> DataFrame:
-    """Demand with its nearest facility, for departments that have any result."""
+    """Demand with its nearest facility, for departments that have any result.
+
+    The nearest facilities, a row per point, are written once, so that the travel
+    matrix that they come from is not made again for each use of them.
+    """
+    nearest = cut(nearest, "nearest")
     ready = demand.join(nearest.select("demand_id"), "demand_id", "left_semi").select("department").distinct()
     return access_time_by_point(demand.join(ready, "department", "left_semi").join(nearest, "demand_id", "left"))
 
