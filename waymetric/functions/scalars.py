@@ -70,8 +70,10 @@ def parse_tags(col: Column) -> Column:
     """Map of the "key"=>"value" pairs of a text; the last value of a key wins, null gives an empty map."""
     text = F.coalesce(col, F.lit(""))
     entries = F.arrays_zip(F.regexp_extract_all(text, F.lit(P.TAG_PATTERN), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(P.TAG_PATTERN), F.lit(2)).alias("v"))
-    later = lambda e, i: ~F.array_contains(F.transform(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["k"]), e["k"])
-    return F.map_from_entries(F.filter(entries, later))
+    k = lambda e: e["k"]
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.array_contains(F.transform(F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), k), k(e)))
+    # an array of one, so that the text is searched once, not for each entry
+    return F.map_from_entries(F.element_at(F.transform(F.array(entries), last), 1))
 
 
 def access_excluded(tags: Column, profile: str) -> Column:
